@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivec.llm import mixing, packing, splitting
+from lexivec.llm import garbled, lookalike, mixing, packing, splitting
 from lexivec.session import table
 
 
@@ -12,6 +12,27 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "source", "text")
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "canonical_records").select("record_id", *lookalike.FIELDS)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.same_look_pairs(_records(spark, d))
+
+
+def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
+    records = _records(spark, d)
+    return lookalike.canonical_values(records, lookalike.learn(records))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.find_garbled(_records(spark, d)).select("record_id", "field")
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.find_garbled(_records(spark, d))
+
+
 def p5_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_docs(spark, d))
 
@@ -45,6 +66,10 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_canonical": p2_canonical,
+    "p3_found": p3_found,
+    "p3_restored": p3_restored,
     "p5_pack": p5_pack,
     "p5_report": p5_report,
     "p6_found": p6_found,
