@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from lexivec.plans import training
+
+QUERIES: dict = {**training.QUERIES}
+SQL: dict[str, str] = {**training.SQL}

@@ -1,0 +1,45 @@
+"""Queries of the training-data operators of the core."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lexivec.operators import calibrate
+from lexivec.session import table
+
+_RECORD_COLUMNS = ("qid", "label_en", "label_vi", "instance_of_qids")
+
+
+def _sample(spark: SparkSession, d: str) -> calibrate.Sample:
+    records = table(spark, d, "canonical_records").select(*_RECORD_COLUMNS)
+    return calibrate.calibrated_sample(records, table(spark, d, "seed_categories"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _sample(spark, d).report.where("short").select("seed_name")
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return _sample(spark, d).report
+
+
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _sample(spark, d).rows
+
+
+QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample}
+
+SQL = {
+    "p4_found": """
+with r as (
+  select trim(qid) as qid, instance_of_qids from canonical_records
+  where qid is not null and (trim(coalesce(label_en, '')) <> '' or trim(coalesce(label_vi, '')) <> '')
+), m as (
+  select distinct r.qid, s.seed_name
+  from (select qid, unnest(instance_of_qids) as class from r) r join seed_categories s on trim(r.class) = s.instance_of_qid
+), n as (select count(distinct qid) // 5 as size from m)
+select s.seed_name from seed_categories s left join m on m.seed_name = s.seed_name, n
+group by s.seed_name, s.weight, n.size
+having count(distinct m.qid) < greatest(5, ceil(n.size * s.weight / (select sum(weight) from seed_categories)))
+""",
+}
