@@ -1,0 +1,395 @@
+"""Problem 1: the most similar vectors for every vector.
+
+Method: multi-index hashing.  Each index (model) learns rotated binary codes from a bounded
+sample: principal axes and rotations that bring the vectors close to the corners of the
+cube.  A code is split into substrings, each with its own table.  By the pigeonhole
+principle two codes of at most ``tables * (radius + 1) - 1`` different bits share a
+substring within ``radius`` bits, so probing every table within that radius retrieves
+them all.  Candidates are reranked by the floats.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from lexivec.session import cut_lineage
+
+#: Vectors of each index that the codes are learned from, at most about so many.
+SAMPLE_VECTORS = 16_384
+ITERATIONS = 25
+TABLES = 10
+MIN_BITS = 16
+#: Rows of one part of a table; parts of more than HOT times as many are split into pairs of blocks.
+PART_ROWS = 262_144
+HOT = 4
+MAX_BLOCKS = 4096
+#: Pairs expanded at a time in a task.
+CHUNK = 2_000_000
+MAX_INDEXES = 1000
+
+
+def word(bits: int) -> type:
+    """The type that holds a substring."""
+    return np.uint16 if bits <= 16 else np.uint32
+
+
+@dataclass
+class Codebook:
+    """Learned codes of one index: ``tables`` substrings of ``bits`` bits."""
+
+    dims: int
+    bits: int
+    mean: np.ndarray
+    axes: np.ndarray  # dims x (tables * bits)
+
+    def encode(self, unit: np.ndarray) -> np.ndarray:
+        """Codes as rows of ``tables`` substrings."""
+        signs = ((unit - self.mean) @ self.axes) > 0
+        parts = signs.reshape(len(unit), -1, self.bits)
+        whole = (parts * (np.uint32(1) << np.arange(self.bits, dtype=np.uint32))).sum(axis=2, dtype=np.uint32)
+        return whole.astype(word(self.bits))
+
+
+def learn_codes(sample: np.ndarray, dims: int, tables: int, bits: int, seed: int = 7) -> Codebook:
+    """Iterative quantization: rotations, each from another start, until the code is long enough."""
+    rng = np.random.default_rng(seed)
+    mean = sample.mean(axis=0) if len(sample) else np.zeros(dims, np.float32)
+    centred = (sample - mean).astype(np.float32)
+    pca = np.linalg.svd(centred.T @ centred)[0].astype(np.float32) if len(sample) else np.eye(dims, dtype=np.float32)
+    v = centred @ pca
+    blocks = []
+    for _ in range(-(-tables * bits // dims)):
+        r = np.linalg.qr(rng.standard_normal((dims, dims)))[0].astype(np.float32)
+        for _ in range(ITERATIONS if len(sample) > 2 * dims else 0):
+            b = np.where(v @ r > 0, np.float32(1), np.float32(-1))
+            u, _, w = np.linalg.svd(b.T @ v)
+            r = (u @ w).T
+        blocks.append(pca @ r)
+    axes = np.concatenate(blocks, axis=1)
+    # neighbouring bits of one rotation go to different substrings
+    order = np.arange(tables * bits).reshape(bits, tables).T.ravel()
+    return Codebook(dims, bits, mean.astype(np.float32), axes[:, order].astype(np.float32))
+
+
+def usable_rows(vectors: pa.ChunkedArray | pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the usable vectors and their first ``dims`` components.
+
+    Usable: not null, long enough, the first ``dims`` finite and not all zero.
+    """
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    offsets = vectors.offsets.to_numpy()
+    lengths = np.diff(offsets)
+    if vectors.null_count:
+        lengths = np.where(vectors.is_valid().to_numpy(zero_copy_only=False), lengths, 0)
+    at = np.flatnonzero(lengths >= dims)
+    flat = vectors.values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+    m = flat[offsets[:-1][at][:, None] + np.arange(dims)] if len(at) else np.zeros((0, dims), np.float32)
+    with np.errstate(invalid="ignore"):
+        good = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
+    return at[good], m[good]
+
+
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1, also where squares would overflow or vanish."""
+    x = m.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+class Vectors:
+    """The usable vectors of all indexes, encoded.
+
+    ``codes``: ``id, idx, copy, code``, one row for each usable vector, without its floats.
+    ``rows()``: ``id, idx, vec`` with the unit vector's float32 bytes.
+    """
+
+    def __init__(self, df: DataFrame, indexes: DataFrame, id_col: str, vec_col: str, key_col: str, dims_col: str,
+                 tables: int = TABLES, min_bits: int = MIN_BITS):
+        meta = (
+            indexes.where(F.col(key_col).isNotNull() & (F.col(dims_col) > 0))
+            .groupBy(key_col).agg(F.max(dims_col).alias("d")).orderBy(key_col).limit(MAX_INDEXES + 1).collect()
+        )
+        if len(meta) > MAX_INDEXES:
+            raise ValueError(f"more than {MAX_INDEXES} indexes")
+        self.dims = [int(r.d) for r in meta]
+        self.keys = [r[0] for r in meta]
+        self.tables = tables
+        spark = df.sparkSession
+        number = F.create_map(*[F.lit(x) for i, k in enumerate(self.keys) for x in (k, i)]) if meta else None
+        source = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.col(key_col).isin(self.keys))
+        idx = F.element_at(number, F.col(key_col)).cast("int") if meta else F.lit(0)
+        self.source = source.select(F.col(id_col).alias("id"), idx.alias("idx"), F.col(vec_col).alias("v"))
+        self.id_type = df.schema[id_col].dataType.simpleString()
+        self.n = df.count()
+        self.bits = max(min_bits, int(np.ceil(np.log2(max(2, self.n)))) - 2)
+        self.books = self._learn(tables)
+        if not meta:
+            self.codes = spark.createDataFrame([], f"id {self.id_type}, idx int, copy binary, code binary")
+        else:
+            self.codes = cut_lineage(self._encode())
+
+    def _learn(self, tables: int) -> list[Codebook]:
+        share = min(1.0, 1.2 * SAMPLE_VECTORS / max(1, self.n))
+        limit = int(share * (2**31 - 1))
+        picked = self.source.where(F.pmod(F.xxhash64("id"), F.lit(2**31 - 1)) <= limit)
+        got: list[list[np.ndarray]] = [[] for _ in self.dims]
+        if self.dims:
+            table = picked.limit(2 * SAMPLE_VECTORS).toArrow()
+            idx = table["idx"].to_numpy()
+            for i, d in enumerate(self.dims):
+                _, m = usable_rows(table["v"].filter(pa.array(idx == i)), d)
+                got[i].append(unit_rows(m).astype(np.float32))
+        return [learn_codes(np.concatenate(g), d, tables, self.bits) for g, d in zip(got, self.dims)]
+
+    def _each(self, batch: pa.RecordBatch):
+        idx = batch["idx"].to_numpy()
+        for i, d in enumerate(self.dims):
+            of = np.flatnonzero(idx == i)
+            if len(of):
+                at, m = usable_rows(batch["v"].take(pa.array(of)), d)
+                if len(at):
+                    yield i, of[at], unit_rows(m)
+
+    def _encode(self) -> DataFrame:
+        from hashlib import blake2b
+
+        books, each = self.books, self._each_fn()
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, at, unit in each(batch):
+                    u32 = unit.astype(np.float32)
+                    codes = books[i].encode(u32)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch["id"].take(pa.array(at)),
+                            pa.array(np.full(len(at), i, np.int32)),
+                            pa.array([blake2b(r.tobytes(), digest_size=16).digest() for r in u32], pa.binary()),
+                            pa.array([c.tobytes() for c in codes], pa.binary()),
+                        ],
+                        ["id", "idx", "copy", "code"],
+                    )
+
+        return self.source.mapInArrow(encode, f"id {self.id_type}, idx int, copy binary, code binary")
+
+    def _each_fn(self):
+        dims = self.dims
+
+        class Holder:
+            pass
+
+        holder = Holder()
+        holder.dims = dims
+        return lambda batch: Vectors._each(holder, batch)
+
+    def rows(self) -> DataFrame:
+        each = self._each_fn()
+
+        def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, at, unit in each(batch):
+                    vecs = pa.array([r.tobytes() for r in unit.astype(np.float32)], pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch["id"].take(pa.array(at)), pa.array(np.full(len(at), i, np.int32)), vecs],
+                        ["id", "idx", "vec"],
+                    )
+
+        return self.source.mapInArrow(slim, f"id {self.id_type}, idx int, vec binary")
+
+    def points(self, k: int) -> DataFrame:
+        """The first ``k + 1`` rows of each group of exact copies, by id.
+
+        Later copies are in no list of the ``k`` most similar: the earlier copies are as similar to any
+        vector and come first.  The limit is applied in each task before the shuffle.
+        """
+        w = Window.partitionBy("idx", "copy").orderBy("id")
+        return self.codes.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k + 1)
+
+
+def flips(bits: int, radius: int) -> np.ndarray:
+    """All masks of at most ``radius`` of ``bits`` bits, the empty one first."""
+    out = [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
+    return np.array(out, dtype=np.int64)
+
+
+def ragged(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (i, j) with ``lo[i] <= j < hi[i]``, about CHUNK at a time."""
+    n = np.maximum(0, hi - lo)
+    total = np.concatenate(([0], np.cumsum(n)))
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + CHUNK, side="right")) - 1)
+        part = n[at:to]
+        i = np.repeat(np.arange(at, to), part)
+        j = np.arange(total[to] - total[at]) - np.repeat(total[at:to] - total[at], part) + np.repeat(lo[at:to], part)
+        # a single row may have more than a chunk
+        for s in range(0, len(i), CHUNK):
+            yield i[s : s + CHUNK], j[s : s + CHUNK]
+        at = to
+
+
+def close_codes(v: Vectors, k: int, max_bits: int, part_rows: int = PART_ROWS, hot: int = HOT) -> DataFrame:
+    """``idx, a, b``: pairs of points with a substring within one bit and at most ``max_bits`` different bits.
+
+    Every pair comes out once.  Tables are cut into parts by the first bits of the substring; a row is in its own
+    part and, as a guest, in those whose first bits differ by one.  Parts that hold very many rows are
+    split into blocks and searched block against block, so no task has more than a few blocks.
+    """
+    points = cut_lineage(v.points(k).select("id", "idx", "code"))
+    n = points.count()
+    tables, bits = v.tables, v.bits
+    head = max(0, min(bits - 8, int(np.ceil(np.log2(max(1, n / part_rows))))))
+    tail = bits - head
+
+    def parts_of(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.frombuffer(b"".join(batch["code"]), dtype=word(bits)).reshape(len(batch), tables)
+        return codes, codes.astype(np.int64) >> tail
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple, int] = {}
+        for batch in batches:
+            _, heads = parts_of(batch)
+            base = (batch["idx"].to_numpy(np.int64)[:, None] * tables + np.arange(tables)) << head
+            keys, counts = np.unique(base + heads, return_counts=True)
+            for key, c in zip(keys.tolist(), counts.tolist()):
+                total[key] = total.get(key, 0) + c
+        yield pd.DataFrame({"part": list(total), "n": list(total.values())}, dtype="int64")
+
+    sizes = points.select("idx", "code").mapInPandas(tally, "part bigint, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
+    # at most tables * n / (hot * part_rows) parts
+    blocks = {r.part: min(MAX_BLOCKS, -(-r.n // part_rows)) for r in sizes.where(F.col("n") > hot * part_rows).collect()}
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            _, heads = parts_of(batch)
+            ids = batch["id"].to_numpy()
+            idx = batch["idx"].to_numpy(np.int64)
+            lot = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+            out = []
+            for t in range(tables):
+                for f in [0, *(1 << b for b in range(head))]:
+                    part = ((idx * tables + t) << head) + (heads[:, t] ^ f)
+                    guest = np.full(len(batch), f > 0)
+                    big = np.array([blocks.get(p, 1) for p in part.tolist()]) if blocks else np.ones(len(part), np.int64)
+                    own = (lot % big.astype(np.uint64)).astype(np.int64)
+                    row = np.repeat(np.arange(len(batch)), big)
+                    other = np.arange(len(row)) - np.repeat(np.cumsum(big) - big, big)
+                    lo, hi = np.minimum(own[row], other), np.maximum(own[row], other)
+                    out.append((row, part[row], guest[row], lo, hi, own[row]))
+            row, part, guest, lo, hi, own = (np.concatenate([o[c] for o in out]) for c in range(6))
+            cell = (part * MAX_BLOCKS + lo) * MAX_BLOCKS + hi
+            mark = (own * 2 + guest).astype("int32")
+            yield pd.DataFrame({"cell": cell, "mark": mark, "id": ids[row], "code": batch["code"].to_numpy()[row]})
+
+    placed = points.mapInPandas(place, f"cell bigint, mark int, id {v.id_type}, code binary")
+    masks = flips(tail, 1)
+
+    def probe(g: pd.DataFrame) -> pd.DataFrame:
+        rest, hi = divmod(int(g["cell"].iloc[0]), MAX_BLOCKS)
+        part, lo = divmod(rest, MAX_BLOCKS)
+        t = (part >> head) % tables
+        codes, _ = parts_of(g)
+        ids, own, guest = g["id"].to_numpy(), g["mark"].to_numpy() >> 1, (g["mark"].to_numpy() & 1).astype(bool)
+        suffix = codes[:, t].astype(np.int64) & ((1 << tail) - 1)
+        order = np.lexsort((ids, suffix, guest))
+        homes = int((~guest).sum())
+        codes, ids, own, suffix = codes[order], ids[order], own[order], suffix[order]
+        first = np.searchsorted(suffix[:homes], np.arange((1 << tail) + 1))
+        found_a, found_b = [], []
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            if lo != hi:
+                ok = own[i] != own[j]
+                i, j = i[ok], j[ok]
+            far = np.bitwise_count(codes[i] ^ codes[j])
+            ok = far.sum(axis=1) <= max_bits
+            if t:
+                ok &= (far[:, :t] > 1).all(axis=1)  # else an earlier table has the pair
+            found_a.append(np.minimum(ids[i[ok]], ids[j[ok]]))
+            found_b.append(np.maximum(ids[i[ok]], ids[j[ok]]))
+
+        here = np.arange(homes)
+        for i, j in ragged(here + 1, first[suffix[:homes] + 1]):
+            keep(i, j)
+        for f in masks[1:].tolist():
+            up = here[(suffix[:homes] & f) == 0]
+            for i, j in ragged(first[suffix[up] + f], first[suffix[up] + f + 1]):
+                keep(up[i], j)
+        visitors = np.arange(homes, len(ids))
+        for i, j in ragged(first[suffix[homes:]], first[suffix[homes:] + 1]):
+            ok = ids[visitors[i]] < ids[j]  # the other is a guest in this one's part too
+            keep(visitors[i[ok]], j[ok])
+        a = np.concatenate(found_a) if found_a else ids[:0]
+        b = np.concatenate(found_b) if found_b else ids[:0]
+        ok = a != b
+        return pd.DataFrame({"idx": np.full(int(ok.sum()), (part >> head) // tables, "int32"), "a": a[ok], "b": b[ok]})
+
+    return placed.groupBy("cell").applyInPandas(probe, f"idx int, a {v.id_type}, b {v.id_type}")
+
+
+def reranked(v: Vectors, pairs: DataFrame) -> DataFrame:
+    """``idx, a, b, cosine`` of the pairs, from the floats.  The vectors are shuffled once."""
+    sided = pairs.select("idx", "a", "b", F.explode(F.array("a", "b")).alias("id"))
+    both = (
+        sided.join(v.rows(), ["idx", "id"])
+        .groupBy("idx", "a", "b")
+        .agg(F.min_by("vec", "id").alias("x"), F.max_by("vec", "id").alias("y"))
+    )
+
+    @F.pandas_udf("double")
+    def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(
+            [float(np.dot(np.frombuffer(p, np.float32).astype(np.float64), np.frombuffer(q, np.float32))) for p, q in zip(x, y)],
+            dtype="float64",
+        )
+
+    return both.select("idx", "a", "b", cosine("x", "y").alias("cosine"))
+
+
+def bits_for(cosine: float, bits: int, slack: float = 3.0) -> int:
+    """So many of ``bits`` bits differ at most, ``slack`` deviations out, for vectors of this cosine."""
+    p = float(np.arccos(np.clip(cosine, -1, 1)) / np.pi)
+    return int(np.ceil(bits * p + slack * np.sqrt(bits * p * (1 - p)))) + 2
+
+
+def mutual_neighbours(
+    df: DataFrame,
+    indexes: DataFrame,
+    k: int = 10,
+    least: float = 0.92,
+    id_col: str = "vec_id",
+    vec_col: str = "embeddings",
+    key_col: str = "model_fingerprint",
+    dims_col: str = "dimensions",
+) -> DataFrame:
+    """Pairs ``<id>_a < <id>_b`` of cosine at least ``least``, each among the other's ``k`` most similar.
+
+    Vectors of one index are compared over its first ``dims`` components.  Vectors that are null, too short,
+    not finite or all zero, and those of unknown indexes or null ids, have no pairs.  Ties go to the lower
+    id.  Ids must be unique.  Empty tables give no pairs; other columns are ignored.
+    """
+    v = Vectors(df, indexes, id_col, vec_col, key_col, dims_col)
+    near = reranked(v, close_codes(v, k, bits_for(least, v.tables * v.bits))).where(F.col("cosine") >= least)
+    sides = F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("q")), F.struct(F.col("b").alias("p"), F.col("a").alias("q"))))
+    w = Window.partitionBy("idx", "p").orderBy(F.col("cosine").desc(), "q")
+    listed = (
+        near.select("idx", "cosine", sides.alias("s"))
+        .select("idx", "cosine", "s.p", "s.q")
+        .withColumn("rank", F.row_number().over(w))
+        .where(F.col("rank") <= k)
+    )
+    return (
+        listed.groupBy(F.least("p", "q").alias(f"{id_col}_a"), F.greatest("p", "q").alias(f"{id_col}_b"))
+        .count()
+        .where("count = 2")
+        .drop("count")
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivec.operators import calibrate
+from lexivec.operators import calibrate, mih
 from lexivec.session import table
 
 _RECORD_COLUMNS = ("qid", "label_en", "label_vi", "instance_of_qids")
@@ -27,7 +27,15 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d).rows
 
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample}
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embed_results").select("vec_id", "model_fingerprint", "embeddings")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return mih.mutual_neighbours(_vectors(spark, d), table(spark, d, "index_metadata"))
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample}
 
 SQL = {
     "p4_found": """
