@@ -113,7 +113,7 @@ class Vectors:
     """
 
     def __init__(self, df: DataFrame, indexes: DataFrame, id_col: str, vec_col: str, key_col: str, dims_col: str,
-                 tables: int = TABLES, min_bits: int = MIN_BITS):
+                 tables: int = TABLES, min_bits: int = MIN_BITS, grow: bool = True):
         meta = (
             indexes.where(F.col(key_col).isNotNull() & (F.col(dims_col) > 0))
             .groupBy(key_col).agg(F.max(dims_col).alias("d")).orderBy(key_col).limit(MAX_INDEXES + 1).collect()
@@ -130,7 +130,8 @@ class Vectors:
         self.source = source.select(F.col(id_col).alias("id"), idx.alias("idx"), F.col(vec_col).alias("v"))
         self.id_type = df.schema[id_col].dataType.simpleString()
         self.n = df.count()
-        self.bits = max(min_bits, int(np.ceil(np.log2(max(2, self.n)))) - 2)
+        # substrings grow with the table, so buckets do not
+        self.bits = max(min_bits, int(np.ceil(np.log2(max(2, self.n)))) - 2) if grow else min_bits
         self.books = self._learn(tables)
         if not meta:
             self.codes = spark.createDataFrame([], f"id {self.id_type}, idx int, copy binary, code binary")
@@ -393,3 +394,123 @@ def mutual_neighbours(
         .where("count = 2")
         .drop("count")
     )
+
+
+#: Rows of one block of the index, and of the queries searched in it at a time.
+INDEX_BLOCK = 65_536
+QUERY_BLOCK = 16_384
+SEARCH_TABLES = 16
+SEARCH_BITS = 8
+
+
+class _Best:
+    """The ``k`` best candidates so far of each query."""
+
+    def __init__(self, n: int, k: int, id_type: np.dtype):
+        self.sim = np.full((n, k), -np.inf, dtype=np.float32)
+        self.ids = np.zeros((n, k), dtype=id_type)
+
+    def offer(self, q: np.ndarray, sims: np.ndarray, ids: np.ndarray) -> None:
+        """Candidates ``ids`` with ``sims[i, j]`` for query ``q[i]``; those already held are not taken twice."""
+        better = sims > self.sim[q, -1][:, None]
+        rows, cols = np.nonzero(better)
+        if not len(rows):
+            return
+        k = self.sim.shape[1]
+        row = np.concatenate((np.repeat(np.arange(len(q)), k), rows))
+        sim = np.concatenate((self.sim[q].ravel(), sims[rows, cols]))
+        got = np.concatenate((self.ids[q].ravel(), ids[cols]))
+        order = np.lexsort((got, -sim, row))
+        row, sim, got = row[order], sim[order], got[order]
+        again = np.zeros(len(row), dtype=bool)
+        by_id = np.lexsort((np.isneginf(sim), got, row))
+        r, g, s = row[by_id], got[by_id], sim[by_id]
+        again[by_id[1:]] = (r[1:] == r[:-1]) & (g[1:] == g[:-1]) & ~np.isneginf(s[1:])
+        row, sim, got = row[~again], sim[~again], got[~again]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        ok = place < k
+        self.sim[q[row[ok]], place[ok]] = sim[ok]
+        self.ids[q[row[ok]], place[ok]] = got[ok]
+
+
+def search_block(
+    ids: np.ndarray, unit: np.ndarray, codes: np.ndarray, qids: np.ndarray, qunit: np.ndarray, qcodes: np.ndarray,
+    bits: int, k: int, radius: int,
+) -> _Best:
+    """Probe all tables of one block of the index within ``radius`` bits; rerank what they hold by the floats.
+
+    Queries with the same substring share their buckets, and so one matrix product.
+    """
+    best = _Best(len(qids), k + 1, ids.dtype)
+    masks = flips(bits, radius)
+    for t in range(codes.shape[1]):
+        order = np.argsort(codes[:, t], kind="stable")
+        first = np.searchsorted(codes[order, t], np.arange((1 << bits) + 1))
+        q_order = np.argsort(qcodes[:, t], kind="stable")
+        values, starts = np.unique(qcodes[q_order, t], return_index=True)
+        for value, q in zip(values.tolist(), np.split(q_order, starts[1:])):
+            spans = [order[first[b] : first[b + 1]] for b in (value ^ masks).tolist()]
+            cand = np.concatenate(spans)
+            for at in range(0, len(cand), 8192):
+                c = cand[at : at + 8192]
+                best.offer(q, qunit[q] @ unit[c].T, ids[c])
+    return best
+
+
+def similar_to(
+    df: DataFrame,
+    indexes: DataFrame,
+    every: int = 20,
+    k: int = 10,
+    radius: int = 1,
+    id_col: str = "vec_id",
+    vec_col: str = "embeddings",
+    key_col: str = "model_fingerprint",
+    dims_col: str = "dimensions",
+) -> DataFrame:
+    """For each usable vector whose id is divisible by ``every``, its ``k`` most similar of all vectors.
+
+    ``<id>, rank, neighbour, similarity``.  Every usable vector is indexed.  Codes of SEARCH_TABLES *
+    SEARCH_BITS bits are probed within ``radius`` bits of each substring, which retrieves all codes within
+    ``SEARCH_TABLES * (radius + 1) - 1`` bits.  The index and the queries are cut into blocks; a task
+    searches one block of queries in one block of the index, and only its best go on.  Unusable vectors
+    neither ask nor answer; ties go to the lower id; exact copies are each other's most similar.
+    """
+    v = Vectors(df, indexes, id_col, vec_col, key_col, dims_col, SEARCH_TABLES, SEARCH_BITS, grow=False)
+    rows = v.rows()
+    counts = {r.idx: (r.n, r.q) for r in v.codes.groupBy("idx").agg(
+        F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).collect()}
+    grid = {i: (-(-n // INDEX_BLOCK), max(1, -(-q // QUERY_BLOCK))) for i, (n, q) in counts.items()}
+    books, tables, bits = v.books, v.tables, v.bits
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for idx, g in batch.groupby("idx"):
+                nb, nq = grid[idx]
+                ids = g["id"].to_numpy()
+                lot = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+                for c in range(nq):
+                    yield pd.DataFrame({"idx": idx, "b": (lot % nb).astype("int32"), "c": np.int32(c), "asks": False, "id": ids, "vec": g["vec"]})
+                asks = ids % every == 0
+                for b in range(nb):
+                    yield pd.DataFrame({"idx": idx, "b": np.int32(b), "c": (lot[asks] % nq).astype("int32"), "asks": True, "id": ids[asks], "vec": g["vec"][asks]})
+
+    placed = rows.mapInPandas(place, f"idx int, b int, c int, asks boolean, id {v.id_type}, vec binary")
+
+    def search(g: pd.DataFrame) -> pd.DataFrame:
+        idx = int(g["idx"].iloc[0])
+        asks = g["asks"].to_numpy()
+        unit = np.frombuffer(b"".join(g["vec"]), np.float32).reshape(len(g), -1)
+        codes = books[idx].encode(unit)
+        ids = g["id"].to_numpy()
+        best = search_block(ids[~asks], unit[~asks], codes[~asks], ids[asks], unit[asks], codes[asks], bits, k, radius)
+        qids = np.repeat(ids[asks], k + 1)
+        ok = ~np.isneginf(best.sim.ravel()) & (best.ids.ravel() != qids)
+        return pd.DataFrame({"idx": idx, "q": qids[ok], "n": best.ids.ravel()[ok], "s": best.sim.ravel()[ok].astype("float64")})
+
+    found = placed.groupBy("idx", "b", "c").applyInPandas(search, f"idx int, q {v.id_type}, n {v.id_type}, s double")
+    w = Window.partitionBy("q").orderBy(F.col("s").desc(), "n")
+    return (
+        found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        .select(F.col("q").alias(id_col), "rank", F.col("n").alias("neighbour"), F.round("s", 6).alias("similarity"))
+    )

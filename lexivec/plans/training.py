@@ -35,7 +35,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return mih.mutual_neighbours(_vectors(spark, d), table(spark, d, "index_metadata"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample}
+def p1_knn(spark: SparkSession, d: str) -> DataFrame:
+    return mih.similar_to(_vectors(spark, d), table(spark, d, "index_metadata"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_knn": p1_knn, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample}
 
 SQL = {
     "p4_found": """
