@@ -39,7 +39,7 @@ def fingerprint(value: object) -> str:
 
 
 @F.udf("string")
-def map_fingerprint(value: dict) -> str:
+def map_fingerprint(value):
     """For maps whose keys are not known before; one hash a row."""
     return None if value is None else fingerprint(value)
 

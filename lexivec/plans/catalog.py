@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lexivec.plans import training
+from lexivec.plans import acquisition, benchmarks, searches, texts, training
 
-QUERIES: dict = {**training.QUERIES}
-SQL: dict[str, str] = {**training.SQL}
+_PLANS = (searches, texts, acquisition, benchmarks, training)
+QUERIES: dict = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
+SQL: dict[str, str] = {k: v for p in _PLANS for k, v in p.SQL.items()}
