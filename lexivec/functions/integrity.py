@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Markers and patterns of the artifact and evidence scans.
 NAME_MARKERS = ("api-key", "api_key", "trycloudflare.com", "/secrets/", "\\secrets\\")
@@ -38,7 +39,7 @@ def fingerprint(value: object) -> str:
     return sha256(canonical_json(value).encode("utf-8")).hexdigest()
 
 
-@F.udf("string")
+@F.udf(T.StringType())
 def map_fingerprint(value):
     """For maps whose keys are not known before; one hash a row."""
     return None if value is None else fingerprint(value)

@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Sequences that UTF-8 text read as a Western single-byte encoding leaves behind.
 MOJIBAKE = r"(?:Ã[\x80-\xBF§©®±¼½¾]|Â[\x80-\xBF]|â(?:€|™|œ|ž|€“|€”|€™)|ðŸ|ï¿½)"
@@ -32,12 +33,12 @@ VIETNAMESE_LETTERS = (
 _NOT_ASCII = r"[^\x00-\x7F]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _compose_each(arrays: pd.Series) -> pd.Series:
     def one(xs):
         return None if xs is None else [None if x is None else unicodedata.normalize("NFC", x) for x in xs]

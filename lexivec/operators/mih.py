@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivec.session import cut_lineage
+from lexivec.session import cut_lineage, spread_out
 
 #: Vectors of each index that the codes are learned from, at most about so many.
 SAMPLE_VECTORS = 16_384
 ITERATIONS = 25
-TABLES = 10
+TABLES = 12
 MIN_BITS = 16
 #: Rows of one part of a table; parts of more than HOT times as many are split into pairs of blocks.
 PART_ROWS = 262_144
@@ -127,7 +127,7 @@ class Vectors:
         number = F.create_map(*[F.lit(x) for i, k in enumerate(self.keys) for x in (k, i)]) if meta else None
         source = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.col(key_col).isin(self.keys))
         idx = F.element_at(number, F.col(key_col)).cast("int") if meta else F.lit(0)
-        self.source = source.select(F.col(id_col).alias("id"), idx.alias("idx"), F.col(vec_col).alias("v"))
+        self.source = spread_out(source.select(F.col(id_col).alias("id"), idx.alias("idx"), F.col(vec_col).alias("v")))
         self.id_type = df.schema[id_col].dataType.simpleString()
         self.n = df.count()
         # substrings grow with the table, so buckets do not
@@ -144,7 +144,7 @@ class Vectors:
         picked = self.source.where(F.pmod(F.xxhash64("id"), F.lit(2**31 - 1)) <= limit)
         got: list[list[np.ndarray]] = [[] for _ in self.dims]
         if self.dims:
-            table = picked.limit(2 * SAMPLE_VECTORS).toArrow()
+            table = picked.limit(2 * SAMPLE_VECTORS).toArrow().sort_by("id")
             idx = table["idx"].to_numpy()
             for i, d in enumerate(self.dims):
                 _, m = usable_rows(table["v"].filter(pa.array(idx == i)), d)

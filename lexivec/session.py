@@ -42,3 +42,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(column: str, buckets: int):
     """A deterministic bucket of ``column`` in ``0 .. buckets - 1``."""
     return F.pmod(F.xxhash64(column), F.lit(max(1, buckets))).cast("int")
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """``df`` on all cores before Python work: small inputs of few files are repartitioned.
+
+    Inputs with as many partitions as cores, so all large ones, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
