@@ -12,11 +12,11 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.session import cut_lineage
+from lexivec.session import cut_lineage, spread_out
 
 # Letters and signs of other scripts that are drawn like the first of their line.
 LETTERS = """
@@ -203,36 +203,41 @@ class Rewriter:
         return " ".join(s.split())
 
 
-def _values(row_ids, columns) -> Iterator[tuple[object, str, str]]:
-    for name, col in columns:
-        for rid, v in zip(row_ids, col):
-            if v is None:
-                continue
-            for x in [v] if isinstance(v, str) else v:
+def _values(batch: pa.RecordBatch, fields: tuple[str, ...]) -> Iterator[tuple[object, str, str]]:
+    """Id, field and text of every value; arrays give each of their entries."""
+    ids = batch["id"].to_pylist() if "id" in batch.schema.names else [None] * len(batch)
+    for name in fields:
+        for rid, v in zip(ids, batch[name].to_pylist()):
+            for x in [v] if isinstance(v, str) else v or ():
                 if x is not None:
                     yield rid, name, x
 
 
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
 def member_counts(df: DataFrame, fields: tuple[str, ...], members: list[str]) -> dict[str, int]:
     """How often each member occurs in all values, counted in partitions and summed once.
 
     ``members`` is a fixed set taken from the Unicode tables, so the result is bounded.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         single = {m for m in members if len(m) == 1}
         strings = automaton((m, m) for m in members if len(m) > 1)
         for batch in batches:
-            for _, _, v in _values(range(len(batch)), [(f, batch[f]) for f in fields]):
+            for _, _, v in _values(batch, fields):
                 v = unicodedata.normalize("NFD", v)
                 total.update(v)
                 if not v.isascii() or "..." in v:
                     total.update(m for _, m in strings.iter(v))
-        kept = {m: n for m, n in total.items() if len(m) > 1 or m in single}
-        yield pd.DataFrame({"member": list(kept), "n": list(kept.values())})
+        kept = [(m, n) for m, n in total.items() if len(m) > 1 or m in single]
+        yield _batch(kept, ["member", "n"], [pa.string(), pa.int64()])
 
-    rows = df.select(*fields).mapInPandas(count, "member string, n bigint")
+    rows = spread_out(df.select(*fields)).mapInArrow(count, "member string, n bigint")
     return {r.member: r.n for r in rows.groupBy("member").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -252,14 +257,15 @@ def canonical_values(
     """
     kind = df.schema[id_col].dataType.simpleString()
 
-    def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = Rewriter(rewrites)
         for batch in batches:
-            rows = [(i, f, v, to(v)) for i, f, v in _values(batch["id"], [(f, batch[f]) for f in fields])]
-            yield pd.DataFrame(rows, columns=["id", "field", "value", "canonical"])
+            rows = [(i, f, v, to(v)) for i, f, v in _values(batch, fields)]
+            kinds = [batch.schema.field("id").type, pa.string(), pa.string(), pa.string()]
+            yield _batch(rows, ["id", "field", "value", "canonical"], kinds)
 
-    cols = df.select(F.col(id_col).alias("id"), *fields)
-    return cols.mapInPandas(rewrite, f"id {kind}, field string, value string, canonical string").withColumnRenamed(
+    cols = spread_out(df.select(F.col(id_col).alias("id"), *fields))
+    return cols.mapInArrow(rewrite, f"id {kind}, field string, value string, canonical string").withColumnRenamed(
         "id", id_col
     )
 
@@ -268,21 +274,21 @@ def keyed_values(df: DataFrame, rewrites: dict[str, str], id_col: str, fields: t
     """``id, field, form, raw``: 16-byte digests of each value's form and of the value; blank values are left out."""
     kind = df.schema[id_col].dataType.simpleString()
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = Rewriter(rewrites)
         for batch in batches:
             rows = []
-            for i, f, v in _values(batch["id"], [(f, batch[f]) for f in fields]):
+            for i, f, v in _values(batch, fields):
                 c = to(v)
                 if c:
                     raw = blake2b(v.encode("utf-8", "surrogatepass"), digest_size=16).digest()
                     form = raw if c == v else blake2b(c.encode("utf-8", "surrogatepass"), digest_size=16).digest()
                     rows.append((i, fields.index(f), form, raw))
-            yield pd.DataFrame(rows, columns=["id", "field", "form", "raw"])
+            kinds = [batch.schema.field("id").type, pa.int8(), pa.binary(), pa.binary()]
+            yield _batch(rows, ["id", "field", "form", "raw"], kinds)
 
-    return df.select(F.col(id_col).alias("id"), *fields).mapInPandas(
-        digest, f"id {kind}, field tinyint, form binary, raw binary"
-    )
+    cols = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *fields)
+    return spread_out(cols).mapInArrow(digest, f"id {kind}, field tinyint, form binary, raw binary")
 
 
 def same_look_pairs(
@@ -291,13 +297,13 @@ def same_look_pairs(
     """Pairs of rows whose values of a field look the same but differ in code points.
 
     ``<id>_a, <id>_b, field`` with ``a < b``, once for each pair and field.  Nulls and blank values
-    have no pairs; equal values have none with each other.
+    have no pairs, nor have rows with a null id; equal values have none with each other.
 
     Values are grouped by their form with partial aggregation; only forms written in more than one
     way go on.  Their distinct spellings are paired, and spellings are then joined to their rows, so
     a spelling shared by very many rows is never compared with itself; the work follows the result.
     """
-    values = cut_lineage(keyed_values(df, rewrites or learn(df, fields), id_col, fields)).where("id is not null")
+    values = cut_lineage(keyed_values(df, rewrites or learn(df, fields), id_col, fields))
     several = (
         values.groupBy("field", "form")
         .agg(F.min("raw").alias("least"), F.max("raw").alias("most"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.llm.tokens import DEFAULT_VOCABULARY, token_count
-from lexivec.session import cut_lineage
+from lexivec.session import cut_lineage, spread_out
 
 BLOCK_TOKENS = 1024
 SHARD_TOKENS = 4_000_000
@@ -96,7 +96,7 @@ class Mixture:
             raise ValueError(f"more than {MAX_SOURCES} target sources")
         names = [r.source for r in listed]
         self.sized = cut_lineage(
-            docs.where(F.col("source").isin(names)).select(
+            spread_out(docs.where(F.col("source").isin(names)).select("doc_id", "source", "text")).select(
                 "doc_id", "source", token_count(F.col("text"), vocabulary).alias("n_tokens")
             )
         )

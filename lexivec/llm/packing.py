@@ -12,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm.tokens import DEFAULT_VOCABULARY, token_count
+from lexivec.session import spread_out
 
 POOL_ITEMS = 8192
 PACKED = "container string, part int, n_tokens int"
@@ -202,16 +203,16 @@ def pack(
     """
     kind = df.schema[id_col].dataType.simpleString()
     pools = max(1, -(-df.count() // pool_items))
-    sized = df.select(
-        F.col(id_col).alias("id"),
-        F.pmod(F.xxhash64(id_col, text_col), F.lit(pools)).cast("int").alias("pool"),
-        token_count(F.col(text_col), vocabulary).alias("n"),
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sized = spread_out(rows).select(
+        "id",
+        F.pmod(F.xxhash64("id", "text"), F.lit(pools)).cast("int").alias("pool"),
+        token_count(F.col("text"), vocabulary).alias("n"),
     )
 
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n", "id"], kind="stable")
-        pool = int(group["pool"].iloc[0])
-        ids = group["id"].to_numpy()
+    def fill(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("n", "ascending"), ("id", "ascending")])
+        pool = group["pool"][0].as_py()
         sizes = group["n"].to_numpy()
         full = sizes // capacity
         rest = sizes - full * capacity
@@ -229,16 +230,17 @@ def pack(
         n_full = len(rows[0])
         part = np.concatenate([np.arange(f) for f in full[full > 0]] + [full[rows[1]], np.zeros(len(rows[2]), int)])
         names = [f"{pool}-f{k}" for k in range(n_full)] + [f"{pool}-{b}" for b in box_of[rows[1]]]
-        return pd.DataFrame(
+        n_tokens = np.concatenate([np.full(n_full, capacity), rest[rows[1]], sizes[rows[2]]])
+        return pa.table(
             {
-                "id": ids[np.concatenate(rows)],
-                "container": names + [None] * len(rows[2]),
-                "part": part.astype("int32"),
-                "n_tokens": np.concatenate([np.full(n_full, capacity), rest[rows[1]], sizes[rows[2]]]).astype("int32"),
+                "id": group["id"].take(pa.array(np.concatenate(rows))),
+                "container": pa.array(names + [None] * len(rows[2]), pa.string()),
+                "part": pa.array(part.astype("int32")),
+                "n_tokens": pa.array(n_tokens.astype("int32")),
             }
         )
 
-    packed = sized.groupBy("pool").applyInPandas(fill, f"id {kind}, {PACKED}")
+    packed = sized.groupBy("pool").applyInArrow(fill, f"id {kind}, {PACKED}")
     return packed.withColumnRenamed("id", id_col)
 
 

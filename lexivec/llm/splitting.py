@@ -14,11 +14,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm.tokens import DEFAULT_VOCABULARY, encoder
+from lexivec.session import spread_out
 
 LEVELS = ("section", "paragraph", "sentence", "word", "character")
 SECTION, PARAGRAPH, SENTENCE, WORD, CHARACTER = range(5)
@@ -39,6 +40,8 @@ PIECES = (
     "piece_no int, start_char int, end_char int, overlap_tokens int, n_tokens int, cut string, piece string"
 )
 
+_ARROW = (*[pa.int32()] * 5, pa.string(), pa.string())
+
 
 @lru_cache(maxsize=2)
 def token_bytes(vocabulary: str) -> np.ndarray:
@@ -139,21 +142,23 @@ def split_oversized(
     if overlap < 0 or limit < 4 * max(1, overlap):
         raise ValueError("limit must be at least four times the overlap")
     kind = df.schema[id_col].dataType.simpleString()
+    names = [p.split()[0] for p in PIECES.split(", ")]
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["id", *(p.split()[0] for p in PIECES.split(", "))]
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, text in zip(batch["id"], batch["text"]):
-                key = None if pd.isna(key) else key
-                rows += [(key, *p) for p in split_text(text, limit, overlap, vocabulary)]
-                if len(rows) > 2000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=names)
+            kinds = pa.schema([("id", batch.schema.field("id").type), *zip(names, _ARROW)])
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                rows = [
+                    (key, *p)
+                    for key, text in zip(part["id"].to_pylist(), part["text"].to_pylist())
+                    for p in split_text(text, limit, overlap, vocabulary)
+                ]
+                if rows:
+                    columns = zip(kinds, zip(*rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in columns], schema=kinds)
 
     long = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(
         F.octet_length("text") > limit
     )
-    return long.mapInPandas(pieces, f"id {kind}, {PIECES}").withColumnRenamed("id", id_col)
+    return spread_out(long).mapInArrow(pieces, f"id {kind}, {PIECES}").withColumnRenamed("id", id_col)
