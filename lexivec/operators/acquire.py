@@ -47,7 +47,7 @@ def quotas(seeds: DataFrame, target_rows: int, overfetch: float) -> DataFrame:
     checked = F.when(F.col("total") > 0, F.ceil(F.lit(want) * F.col("weight") / F.col("total"))).otherwise(
         F.raise_error(F.lit("seed weights must sum to a positive number")).cast("bigint")
     )
-    return seeds.crossJoin(F.broadcast(total)).select("seed_name", F.greatest(F.lit(1), checked).cast("bigint").alias("quota"))  # one row
+    return seeds.select("seed_name", "weight").crossJoin(F.broadcast(total)).select("seed_name", F.greatest(F.lit(1), checked).cast("bigint").alias("quota"))  # one row
 
 
 def discovered(pages: DataFrame) -> DataFrame:

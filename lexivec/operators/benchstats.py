@@ -81,7 +81,7 @@ def final_results(targets: DataFrame, executed: DataFrame) -> DataFrame:
     Targets that were neither executed nor blocked are left out.  ``targets``: target_tokens.
     """
     w = Window.orderBy("target_tokens").rowsBetween(Window.unboundedPreceding, -1)  # a handful of targets
-    joined = targets.join(executed.withColumn("ran", F.lit(True)), "target_tokens", "left")
+    joined = targets.select("target_tokens").join(executed.withColumn("ran", F.lit(True)), "target_tokens", "left")
     blocker = F.first(F.when(F.col("ran") & (F.col("status") != "PASS"), F.col("target_tokens")), ignorenulls=True).over(w)
     out = joined.withColumn("blocker", blocker).where("ran or blocker is not null")
     return out.select(
@@ -97,7 +97,7 @@ def remaining_targets(targets: DataFrame, executed: DataFrame, order: str) -> Da
         F.max_by("status", order).alias("last"), F.coalesce(F.max("target_tokens"), F.lit(0)).alias("reached")
     )
     return (
-        targets.crossJoin(F.broadcast(state))  # one row
+        targets.select("target_tokens").crossJoin(F.broadcast(state))  # one row
         .where("(last is null or last = 'PASS') and target_tokens > reached")
         .select("target_tokens")
     )

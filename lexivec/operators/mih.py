@@ -27,8 +27,10 @@ SAMPLE_VECTORS = 16_384
 ITERATIONS = 25
 TABLES = 12
 MIN_BITS = 16
-#: Rows of one part of a table; parts of more than HOT times as many are split into pairs of blocks.
+#: Rows of a block of a table's part.  A part with its guests has up to GUESTS times as many on average; parts that
+#: alone hold more than HOT times as many are split into pairs of blocks.
 PART_ROWS = 262_144
+GUESTS = 4
 HOT = 4
 MAX_BLOCKS = 4096
 #: Pairs expanded at a time in a task.
@@ -105,6 +107,17 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def fixed_width(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
+    """A matrix of a binary column whose values all hold ``width`` numbers of ``kind``; no copy of each value."""
+    parts = []
+    for chunk in column.chunks:
+        size = width * np.dtype(kind).itemsize
+        offsets = chunk.buffers()[1]
+        first = int(np.frombuffer(offsets, np.int32)[chunk.offset]) if len(chunk) else 0
+        parts.append(np.frombuffer(chunk.buffers()[2] or b"", np.uint8)[first : first + size * len(chunk)])
+    return np.concatenate(parts).view(kind).reshape(-1, width) if parts else np.zeros((0, width), kind)
+
+
 class Vectors:
     """The usable vectors of all indexes, encoded.
 
@@ -248,7 +261,7 @@ def close_codes(v: Vectors, k: int, max_bits: int, part_rows: int = PART_ROWS, h
     points = cut_lineage(v.points(k).select("id", "idx", "code"))
     n = points.count()
     tables, bits = v.tables, v.bits
-    head = max(0, min(bits - 8, int(np.ceil(np.log2(max(1, n / part_rows))))))
+    head = next(h for h in range(bits - 7) if h == bits - 8 or (h + 1) * n / 2**h <= GUESTS * part_rows)
     tail = bits - head
 
     def parts_of(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -294,12 +307,13 @@ def close_codes(v: Vectors, k: int, max_bits: int, part_rows: int = PART_ROWS, h
     placed = points.mapInPandas(place, f"cell bigint, mark int, id {v.id_type}, code binary")
     masks = flips(tail, 1)
 
-    def probe(g: pd.DataFrame) -> pd.DataFrame:
-        rest, hi = divmod(int(g["cell"].iloc[0]), MAX_BLOCKS)
+    def probe(g: pa.Table) -> pa.Table:
+        rest, hi = divmod(g["cell"][0].as_py(), MAX_BLOCKS)
         part, lo = divmod(rest, MAX_BLOCKS)
         t = (part >> head) % tables
-        codes, _ = parts_of(g)
-        ids, own, guest = g["id"].to_numpy(), g["mark"].to_numpy() >> 1, (g["mark"].to_numpy() & 1).astype(bool)
+        codes = fixed_width(g["code"], word(bits), tables)
+        mark = g["mark"].to_numpy()
+        ids, own, guest = g["id"].to_numpy(), mark >> 1, (mark & 1).astype(bool)
         suffix = codes[:, t].astype(np.int64) & ((1 << tail) - 1)
         order = np.lexsort((ids, suffix, guest))
         homes = int((~guest).sum())
@@ -331,10 +345,10 @@ def close_codes(v: Vectors, k: int, max_bits: int, part_rows: int = PART_ROWS, h
             keep(visitors[i[ok]], j[ok])
         a = np.concatenate(found_a) if found_a else ids[:0]
         b = np.concatenate(found_b) if found_b else ids[:0]
-        ok = a != b
-        return pd.DataFrame({"idx": np.full(int(ok.sum()), (part >> head) // tables, "int32"), "a": a[ok], "b": b[ok]})
+        idx = np.full(len(a), (part >> head) // tables, "int32")
+        return pa.table({"idx": idx, "a": a, "b": b}).filter(pa.array(a != b))
 
-    return placed.groupBy("cell").applyInPandas(probe, f"idx int, a {v.id_type}, b {v.id_type}")
+    return placed.groupBy("cell").applyInArrow(probe, f"idx int, a {v.id_type}, b {v.id_type}")
 
 
 def reranked(v: Vectors, pairs: DataFrame) -> DataFrame:

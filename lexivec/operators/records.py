@@ -154,9 +154,10 @@ def first_accepted(canonical: DataFrame, limit: int, ordinal: str) -> DataFrame:
 
 def scanned_until(canonical: DataFrame, limit: int, ordinal: str) -> DataFrame:
     """One row, ``scanned``: records read until the ``limit``-th accepted one, or all."""
-    last = first_accepted(canonical, limit, ordinal).agg(F.count("*").alias("n"), F.max(ordinal).alias("last"))
+    rows = canonical.select("reject_reason", F.col(ordinal).alias("at"))
+    last = first_accepted(rows, limit, "at").agg(F.count("*").alias("kept"), F.max("at").alias("last"))
     return (
-        canonical.crossJoin(F.broadcast(last))  # one row
-        .where((F.col("n") < limit) | (F.col(ordinal) <= F.col("last")))
+        rows.crossJoin(F.broadcast(last))  # one row
+        .where((F.col("kept") < limit) | (F.col("at") <= F.col("last")))
         .agg(F.count("*").alias("scanned"))
     )
