@@ -63,9 +63,12 @@ def sainte_lague(weights: list[float], seats: int, most: list[int]) -> list[int]
 
 
 def apportion(budget: int, block: int, weights: list[float], capacity: list[int]) -> tuple[list[int], list[int]]:
-    """Blocks and tokens for each source.  What is less than a block goes out last, by the same quotients."""
-    blocks = sainte_lague(weights, budget // block, [c // block for c in capacity])
-    tokens = [b * block for b in blocks]
+    """Blocks and tokens for each source; the last block of a source may be a part.
+
+    What is less than a block, or what such parts leave, goes out last by the same quotients.
+    """
+    blocks = sainte_lague(weights, budget // block, [-(-c // block) for c in capacity])
+    tokens = [min(b * block, c) for b, c in zip(blocks, capacity)]
     while (left := budget - sum(tokens)) > 0:
         open_ = [i for i, w in enumerate(weights) if w > 0 and tokens[i] < capacity[i]]
         if not open_:
