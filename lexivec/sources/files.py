@@ -31,7 +31,7 @@ def checked_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
     Line numbers count within a file; a file is one partition here, as the reader must know its lines.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("at", "text")).where(F.trim("text") != "")
     parsed = lines.select("file", (F.col("at") + 1).alias("line"), "text", F.from_json("text", schema).alias("r"))
     is_object = F.trim("text").startswith("{") & F.try_parse_json("text").isNotNull()
