@@ -18,8 +18,8 @@ from lexivec.session import cut_lineage, spread_out
 
 BLOCK_TOKENS = 1024
 SHARD_TOKENS = 4_000_000
-MAX_SHARDS = 4096  # per source; beyond it shards grow, as sorting spills
-MAX_SOURCES = 100_000
+MAX_SHARDS = 65_536  # beyond it shards grow, as sorting spills; their sizes are collected
+MAX_SOURCES = 10_000
 
 REPORT = (
     "source string, target_weight double, max_uses int, target_tokens double, available_tokens bigint, "
@@ -116,8 +116,9 @@ class Mixture:
             for r, t, c, b, q in zip(listed, tokens, capacity, self.blocks, self.quota)
         ]
         self.report = spark.createDataFrame(rows, REPORT)
+        shard = max(shard_tokens, sum(tokens) // MAX_SHARDS)
         self.listed = {
-            r.source: (int(r.u), q, min(MAX_SHARDS, max(1, -(-t // shard_tokens))))
+            r.source: (int(r.u), q, max(1, -(-t // shard)))
             for r, t, q in zip(listed, tokens, self.quota)
             if q > 0
         }
@@ -147,7 +148,7 @@ class Mixture:
         shard_plan = spark.createDataFrame(quotas, "source string, shard int, shard_quota bigint, shard_tokens bigint")
         w = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(self.seed + 1)), "doc_id", "n_tokens")
         run = (
-            placed.join(F.broadcast(shard_plan), ["source", "shard"])  # one row per SHARD_TOKENS tokens
+            placed.join(F.broadcast(shard_plan), ["source", "shard"])  # <= MAX_SHARDS + MAX_SOURCES rows
             .withColumn("before", F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)))
             .withColumn("before", F.coalesce("before", F.lit(0)))
             .withColumn("use_no", F.explode(F.expr("sequence(1, uses)")))
