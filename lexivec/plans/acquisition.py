@@ -20,7 +20,7 @@ def _quotas(spark: SparkSession, d: str) -> DataFrame:
     return acquire.quotas(table(spark, d, "seed_categories"), TARGET, OVERFETCH)
 
 
-def p01_valid_qids(spark: SparkSession, d: str) -> DataFrame:
+def prj01_valid_qids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "crawl_pages").groupBy(records.is_qid(F.col("qid")).alias("valid")).agg(F.count("*").alias("n"))
 
 
@@ -106,7 +106,7 @@ def e01_late_rows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p01_valid_qids, s07_page, w06_quotas, w07_within_quota, w08_early_stop, a21_attributed, a22_provenance, a23_accepted_count,
+        prj01_valid_qids, s07_page, w06_quotas, w07_within_quota, w08_early_stop, a21_attributed, a22_provenance, a23_accepted_count,
         j03_hydrated, j08_unseen, u01_confirmed_provenance, u02_seed_union, u04_missing_provenance, e01_late_rows,
     )
 }
@@ -128,7 +128,7 @@ def _canonical() -> str:
 
 
 SQL = {
-    "p01_valid_qids": "select coalesce(regexp_full_match(qid, 'Q[1-9][0-9]*'), false) as valid, count(*)::bigint as n from crawl_pages group by 1",
+    "prj01_valid_qids": "select coalesce(regexp_full_match(qid, 'Q[1-9][0-9]*'), false) as valid, count(*)::bigint as n from crawl_pages group by 1",
     "s07_page": f"with {_FOUND} select distinct qid from found where seed_name = 'river' order by qid limit 50 offset 20",
     "w06_quotas": f"with {_QUOTAS} select * from quotas",
     "w07_within_quota": f"with {_FOUND}, {_QUOTAS}, firsts as (select seed_name, qid, min((page_offset, item_pos)) as spot from found group by seed_name, qid), "

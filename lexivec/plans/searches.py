@@ -172,7 +172,7 @@ def w09_rank_or_absent(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-def p13_nonfinite(spark: SparkSession, d: str) -> DataFrame:
+def prj13_nonfinite(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embed_results").where("embeddings is not null")
     return e.where(~vectors.is_finite(F.col("embeddings"))).select("vec_id", F.size("embeddings").cast("bigint").alias("components"))
 
@@ -189,7 +189,7 @@ QUERIES = {
     for f in (
         x03_topk_single, x04_rank_string_tiebreak, w01_topk_many, f06_normalize, f07_mrl_project, f08_dot_cosine, a08_hit_rates,
         b09_mrl_sweep, a10_covered_metrics, a11_status_counts, a12_rollup, a29_case_report, a13_overlap, a14_mean_overlap,
-        w09_rank_or_absent, p13_nonfinite, a27_storage,
+        w09_rank_or_absent, prj13_nonfinite, a27_storage,
     )
 }
 
@@ -262,7 +262,7 @@ SQL = {
     "a14_mean_overlap": f"select round(avg(overlap), 6) as mean_overlap, count(*)::bigint as pairs from ({_OVERLAP})",
     "w09_rank_or_absent": f"with {_LISTS} select query_id, coalesce(nullif(list_position(r[1:2], r[3]), 0)::varchar, 'not in top 2') as in_two, "
     "coalesce(nullif(list_position(r[1:5], r[3]), 0)::varchar, 'not in top 5') as in_five from l",
-    "p13_nonfinite": "select vec_id, len(embeddings)::bigint as components from embed_results where embeddings is not null and "
+    "prj13_nonfinite": "select vec_id, len(embeddings)::bigint as components from embed_results where embeddings is not null and "
     "len(list_filter(embeddings, lambda x: x is null or isnan(x) or isinf(x))) > 0",
     "a27_storage": f"select round(min(n), 6) as min_norm, round(max(n), 6) as max_norm, (count(*) * max(d) * 4)::bigint as vector_bytes from (select {_norm_sql(_V)} as n, len(embedding) as d from embeddings)",
 }

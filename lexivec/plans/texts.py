@@ -52,27 +52,27 @@ def f05_suspected_english(spark: SparkSession, d: str) -> DataFrame:
     return r.select("field", "n", "non_null", F.round("rate", 9).alias("rate"))
 
 
-def p07_documents(spark: SparkSession, d: str) -> DataFrame:
+def prj07_documents(spark: SparkSession, d: str) -> DataFrame:
     c = records.accepted(_canonical(spark, d))
     return c.select("record_id", "document_en", "document_vi")
 
 
-def p08_canonicalize(spark: SparkSession, d: str) -> DataFrame:
+def prj08_canonicalize(spark: SparkSession, d: str) -> DataFrame:
     c = records.accepted(_canonical(spark, d))
     joined = [F.array_join(x, "|").alias(x) for x in (*records.ARRAYS, "instance_of_qids", "quality_flags")]
     return c.select("record_id", "qid", *records.SCALARS, *joined, "source", "source_license")
 
 
-def p08_rejected(spark: SparkSession, d: str) -> DataFrame:
+def prj08_rejected(spark: SparkSession, d: str) -> DataFrame:
     return _canonical(spark, d).where("reject_reason is not null").select("record_id", "qid", F.col("reject_reason").alias("reason"))
 
 
-def p11_index_text(spark: SparkSession, d: str) -> DataFrame:
+def prj11_index_text(spark: SparkSession, d: str) -> DataFrame:
     c = records.accepted(_canonical(spark, d))
     return c.select("record_id", text.index_text(F.col("document_en"), F.col("document_vi")).alias("index_text"))
 
 
-def p22_unicode_gate(spark: SparkSession, d: str) -> DataFrame:
+def prj22_unicode_gate(spark: SparkSession, d: str) -> DataFrame:
     return records.gate_violations(table(spark, d, "canonical_records"), records.SCALARS)
 
 
@@ -138,17 +138,17 @@ def w05_scanned(spark: SparkSession, d: str) -> DataFrame:
     return records.scanned_until(_canonical(spark, d), 1000, "record_id")
 
 
-def p12_item_status(spark: SparkSession, d: str) -> DataFrame:
+def prj12_item_status(spark: SparkSession, d: str) -> DataFrame:
     s = F.coalesce(requests.item_status(F.col("text")), F.lit(200))
     return _docs(spark, d).groupBy(s.cast("bigint").alias("status")).agg(F.count("*").alias("n"))
 
 
-def p14_instructed(spark: SparkSession, d: str) -> DataFrame:
+def prj14_instructed(spark: SparkSession, d: str) -> DataFrame:
     t = text.instructed(F.col("text"), F.coalesce(F.col("source") == "qa_log", F.lit(False)), "Query: ")
     return _docs(spark, d).where("text is not null").select("doc_id", F.md5(t).alias("md5"))
 
 
-def p24_body_limit(spark: SparkSession, d: str) -> DataFrame:
+def prj24_body_limit(spark: SparkSession, d: str) -> DataFrame:
     s = F.coalesce(requests.body_status(F.col("text"), 8192), F.lit(200))
     return _docs(spark, d).groupBy(s.cast("bigint").alias("status")).agg(F.count("*").alias("n"))
 
@@ -169,18 +169,18 @@ def f16_scan(spark: SparkSession, d: str) -> DataFrame:
     return integrity.scan_evidence(files).groupBy("kind", "reason").agg(F.count("*").alias("n"))
 
 
-def p23_tunnel(spark: SparkSession, d: str) -> DataFrame:
+def prj23_tunnel(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).agg(F.count(text.tunnel_url(F.col("text"))).alias("found"), F.count("*").alias("texts"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        f01_normalize_text, f02_mojibake, f03_aliases, f04_tokens, f05_suspected_english, p07_documents, p08_canonicalize,
-        p08_rejected, p11_index_text, p22_unicode_gate, a01_reject_counts, a02_flag_counts, a02_flags_as_delivered,
+        f01_normalize_text, f02_mojibake, f03_aliases, f04_tokens, f05_suspected_english, prj07_documents, prj08_canonicalize,
+        prj08_rejected, prj11_index_text, prj22_unicode_gate, a01_reject_counts, a02_flag_counts, a02_flags_as_delivered,
         a03_null_rates, a04_falsy_rates, a05_identical_pairs, a07_category_coverage, u03_ordered_distinct, u05_first_per_qid,
-        x01_canonical_order, x02_numeric_order, w05_first_accepted, w05_scanned, p12_item_status, p14_instructed,
-        p24_body_limit, f12_text_hash, f13_json_hash, f16_scan, p23_tunnel,
+        x01_canonical_order, x02_numeric_order, w05_first_accepted, w05_scanned, prj12_item_status, prj14_instructed,
+        prj24_body_limit, f12_text_hash, f13_json_hash, f16_scan, prj23_tunnel,
     )
 }
 
@@ -295,14 +295,14 @@ SQL = {
         lambda f: f"count(*) filter (where {_looks_english(f)})",
         lambda f: f"count(*) filter (where {f} <> '')",
     ),
-    "p07_documents": f"with {CANONICAL} select record_id, document_en, document_vi from good",
-    "p08_canonicalize": f"with {CANONICAL} select record_id, qid, {', '.join(records.SCALARS)}, "
+    "prj07_documents": f"with {CANONICAL} select record_id, document_en, document_vi from good",
+    "prj08_canonicalize": f"with {CANONICAL} select record_id, qid, {', '.join(records.SCALARS)}, "
     + ", ".join(f"coalesce(array_to_string({c}, '|'), '') as {c}" for c in (*records.ARRAYS, "instance_of_qids"))
     + f", quality_flags, '{records.SOURCE}' as source, '{records.SOURCE_LICENSE}' as source_license from good",
-    "p08_rejected": f"with {CANONICAL} select record_id, q as qid, reason from judged where reason is not null",
-    "p11_index_text": f"with {CANONICAL} select record_id, nullif(concat_ws(chr(10), case when document_en <> '' then 'English: ' || document_en end, "
+    "prj08_rejected": f"with {CANONICAL} select record_id, q as qid, reason from judged where reason is not null",
+    "prj11_index_text": f"with {CANONICAL} select record_id, nullif(concat_ws(chr(10), case when document_en <> '' then 'English: ' || document_en end, "
     "case when document_vi <> '' then 'Vietnamese: ' || document_vi end), '') as index_text from good",
-    "p22_unicode_gate": " union all ".join(
+    "prj22_unicode_gate": " union all ".join(
         f"select '{c}' as field, count(*) filter (where {_norm(c)} <> {c})::bigint as n from canonical_records" for c in records.SCALARS
     ),
     "a01_reject_counts": f"with {CANONICAL} select reason, count(*)::bigint as n from judged where reason is not null group by reason",
@@ -328,10 +328,10 @@ SQL = {
     "w05_first_accepted": f"with {CANONICAL} select record_id, qid from good order by record_id limit 1000",
     "w05_scanned": f"with {CANONICAL}, cut as (select record_id from good order by record_id limit 1000), l as (select count(*) as n, max(record_id) as last from cut) "
     "select count(*)::bigint as scanned from canonical_records, l where n < 1000 or record_id <= last",
-    "p12_item_status": f"select (case when length(text) > 32768 then 413 when text is null or {_err('text')} is not null or {_sq('text')} = '' then 422 else 200 end)::bigint as status, "
+    "prj12_item_status": f"select (case when length(text) > 32768 then 413 when text is null or {_err('text')} is not null or {_sq('text')} = '' then 422 else 200 end)::bigint as status, "
     "count(*)::bigint as n from documents group by 1",
-    "p14_instructed": "select doc_id, md5(case when source = 'qa_log' then 'Query: ' || text else text end) as md5 from documents where text is not null",
-    "p24_body_limit": "select (case when strlen(text) > 8192 then 413 else 200 end)::bigint as status, count(*)::bigint as n from documents group by 1",
+    "prj14_instructed": "select doc_id, md5(case when source = 'qa_log' then 'Query: ' || text else text end) as md5 from documents where text is not null",
+    "prj24_body_limit": "select (case when strlen(text) > 8192 then 413 else 200 end)::bigint as status, count(*)::bigint as n from documents group by 1",
     "f12_text_hash": "select doc_id, sha256(text) as sha256 from documents where text is not null",
     "f13_json_hash": """select doc_id, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}') as sha256
         from documents where lang is not null and source is not null""",
@@ -339,6 +339,6 @@ SQL = {
         f"select distinct doc_id, 'secret' as kind, '{reason}' as reason from documents where regexp_matches(text, '{pattern}')"
         for reason, pattern in _EVIDENCE
     ) + ") group by kind, reason",
-    "p23_tunnel": r"select count(nullif(regexp_extract(text, 'https://[a-z0-9-]+\.trycloudflare\.com\b'), ''))::bigint as found, count(*)::bigint as texts from documents",
+    "prj23_tunnel": r"select count(nullif(regexp_extract(text, 'https://[a-z0-9-]+\.trycloudflare\.com\b'), ''))::bigint as found, count(*)::bigint as texts from documents",
 }
 SQL["x02_numeric_order"] = f"select qid from ({SQL['x02_numeric_order']})"
