@@ -42,6 +42,16 @@ def p1_knn(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p1_knn": p1_knn, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample}
 
 SQL = {
+    "p1_found": """
+with v as (
+  select vec_id, model_fingerprint as f, (embeddings[1:dimensions])::double[] as e from embed_results join index_metadata using (model_fingerprint)
+  where len(embeddings) >= dimensions and len(list_filter(embeddings[1:dimensions], lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embeddings[1:dimensions], lambda x: x <> 0)) > 0
+), s as (
+  select a.vec_id as p, b.vec_id as q, list_cosine_similarity(a.e, b.e) as c from v a join v b on a.f = b.f and a.vec_id <> b.vec_id
+), l as (select p, q from s where c >= 0.92 qualify row_number() over (partition by p order by round(c, 6) desc, q) <= 10)
+select x.p as vec_id_a, x.q as vec_id_b from l x join l y on x.p = y.q and x.q = y.p where x.p < x.q
+""",
     "p4_found": """
 with r as (
   select trim(qid) as qid, instance_of_qids from canonical_records
