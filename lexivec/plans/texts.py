@@ -130,6 +130,18 @@ def x02_numeric_order(spark: SparkSession, d: str) -> DataFrame:
     return q.orderBy(records.qid_number("qid"), "qid").limit(100)
 
 
+def x01_canonical_positions(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table in canonical order; x01_canonical_order is its first 100 rows."""
+    c = records.accepted(_canonical(spark, d)).select("record_id", "qid", "label_en", "label_vi")
+    return records.numbered(c, *records.canonical_order(), "record_id")
+
+
+def x02_numeric_positions(spark: SparkSession, d: str) -> DataFrame:
+    """All distinct ids in numeric order; x02_numeric_order is its first 100 rows."""
+    q = table(spark, d, "qid_provenance").select("qid").distinct()
+    return records.numbered(q, records.qid_number("qid"), "qid")
+
+
 def w05_first_accepted(spark: SparkSession, d: str) -> DataFrame:
     return records.first_accepted(_canonical(spark, d), 1000, "record_id").select("record_id", "qid")
 
@@ -179,8 +191,8 @@ QUERIES = {
         f01_normalize_text, f02_mojibake, f03_aliases, f04_tokens, f05_suspected_english, prj07_documents, prj08_canonicalize,
         prj08_rejected, prj11_index_text, prj22_unicode_gate, a01_reject_counts, a02_flag_counts, a02_flags_as_delivered,
         a03_null_rates, a04_falsy_rates, a05_identical_pairs, a07_category_coverage, u03_ordered_distinct, u05_first_per_qid,
-        x01_canonical_order, x02_numeric_order, w05_first_accepted, w05_scanned, prj12_item_status, prj14_instructed,
-        prj24_body_limit, f12_text_hash, f13_json_hash, f16_scan, prj23_tunnel,
+        x01_canonical_order, x01_canonical_positions, x02_numeric_order, x02_numeric_positions, w05_first_accepted, w05_scanned,
+        prj12_item_status, prj14_instructed, prj24_body_limit, f12_text_hash, f13_json_hash, f16_scan, prj23_tunnel,
     )
 }
 
@@ -325,6 +337,9 @@ SQL = {
     "u05_first_per_qid": "select qid, record_id, label_en from canonical_records where qid is not null qualify row_number() over (partition by qid order by record_id) = 1",
     "x01_canonical_order": f"with {CANONICAL} select record_id, qid, label_en, label_vi from good order by qid, coalesce(label_en, ''), coalesce(label_vi, ''), record_id limit 100",
     "x02_numeric_order": f"select distinct qid, {_QNUM} as o from qid_provenance order by o, qid limit 100",
+    "x01_canonical_positions": f"with {CANONICAL} select record_id, qid, label_en, label_vi, "
+    "row_number() over (order by qid, coalesce(label_en, ''), coalesce(label_vi, ''), record_id) as position from good",
+    "x02_numeric_positions": f"select qid, row_number() over (order by {_QNUM}, qid nulls first) as position from (select distinct qid from qid_provenance)",
     "w05_first_accepted": f"with {CANONICAL} select record_id, qid from good order by record_id limit 1000",
     "w05_scanned": f"with {CANONICAL}, cut as (select record_id from good order by record_id limit 1000), l as (select count(*) as n, max(record_id) as last from cut) "
     "select count(*)::bigint as scanned from canonical_records, l where n < 1000 or record_id <= last",

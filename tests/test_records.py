@@ -179,3 +179,22 @@ def test_state_and_agent(tmp_path):
     for bad in ("", "curl/8 (https://x)", "Reader/1.0 no contact", None):
         with pytest.raises(ValueError):
             acquire.checked_user_agent(bad)
+
+
+def test_positions_of_the_whole_table(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("n"), (F.col("id") % 3).alias("id"))
+    got = records.numbered(df.repartition(7), F.col("n").desc()).collect()
+    assert sorted(r.position for r in got) == list(range(1, 5001)) and all(r.position == 5000 - r.n for r in got)
+    assert records.numbered(df.limit(0), "n").count() == 0
+
+
+def test_sorts_give_every_row(spark):
+    data = os.path.join("/root/testdata", "sf0.001")
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    from lexivec.plans import texts
+
+    for whole, first in (("x01_canonical_positions", "x01_canonical_order"), ("x02_numeric_positions", "x02_numeric_order")):
+        rows = sorted(texts.QUERIES[whole](spark, data).collect(), key=lambda r: r.position)
+        assert len(rows) > 250 and [r.position for r in rows] == list(range(1, len(rows) + 1))
+        assert [tuple(r)[:-1] for r in rows[:100]] == [tuple(r) for r in texts.QUERIES[first](spark, data).collect()]
