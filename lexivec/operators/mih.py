@@ -38,6 +38,20 @@ CHUNK = 2_000_000
 MAX_INDEXES = 1000
 
 
+def miss_rate(cosine: float, bits: int, tables: int) -> float:
+    """The share of pairs of this cosine with no substring within one bit, for independent bits."""
+    p = float(np.arccos(np.clip(cosine, -1, 1)) / np.pi)
+    return float((1 - (1 - p) ** bits - bits * p * (1 - p) ** (bits - 1)) ** tables)
+
+
+def tables_for(cosine: float, bits: int, tables: int = TABLES, short: int = MIN_BITS) -> int:
+    """So many tables of ``bits`` bits that no more pairs of this cosine are missed than by ``tables`` of ``short``."""
+    most = miss_rate(cosine, short, tables)
+    while miss_rate(cosine, bits, tables) > most:
+        tables += 1
+    return tables
+
+
 def word(bits: int) -> type:
     """The type that holds a substring."""
     return np.uint16 if bits <= 16 else np.uint32
@@ -126,7 +140,7 @@ class Vectors:
     """
 
     def __init__(self, df: DataFrame, indexes: DataFrame, id_col: str, vec_col: str, key_col: str, dims_col: str,
-                 tables: int = TABLES, min_bits: int = MIN_BITS, grow: bool = True):
+                 tables: int = TABLES, min_bits: int = MIN_BITS, grow: bool = True, least: float | None = None):
         meta = (
             indexes.where(F.col(key_col).isNotNull() & (F.col(dims_col) > 0))
             .groupBy(key_col).agg(F.max(dims_col).alias("d")).orderBy(key_col).limit(MAX_INDEXES + 1).collect()
@@ -135,7 +149,6 @@ class Vectors:
             raise ValueError(f"more than {MAX_INDEXES} indexes")
         self.dims = [int(r.d) for r in meta]
         self.keys = [r[0] for r in meta]
-        self.tables = tables
         spark = df.sparkSession
         number = F.create_map(*[F.lit(x) for i, k in enumerate(self.keys) for x in (k, i)]) if meta else None
         source = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.col(key_col).isin(self.keys))
@@ -145,7 +158,9 @@ class Vectors:
         self.n = df.count()
         # substrings grow with the table, so buckets do not
         self.bits = max(min_bits, int(np.ceil(np.log2(max(2, self.n)))) - 2) if grow else min_bits
-        self.books = self._learn(tables)
+        # longer substrings are within one bit less often; for pairs of cosine ``least`` more tables make up for it
+        self.tables = tables if least is None else tables_for(least, self.bits, tables)
+        self.books = self._learn(self.tables)
         if not meta:
             self.codes = spark.createDataFrame([], f"id {self.id_type}, idx int, copy binary, code binary")
         else:
@@ -392,7 +407,7 @@ def mutual_neighbours(
     not finite or all zero, and those of unknown indexes or null ids, have no pairs.  Ties go to the lower
     id.  Ids must be unique.  Empty tables give no pairs; other columns are ignored.
     """
-    v = Vectors(df, indexes, id_col, vec_col, key_col, dims_col)
+    v = Vectors(df, indexes, id_col, vec_col, key_col, dims_col, least=least)
     near = reranked(v, close_codes(v, k, bits_for(least, v.tables * v.bits))).where(F.col("cosine") >= least)
     sides = F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("q")), F.struct(F.col("b").alias("p"), F.col("a").alias("q"))))
     w = Window.partitionBy("idx", "p").orderBy(F.col("cosine").desc(), "q")

@@ -115,3 +115,21 @@ def test_pigeonhole():
     lo, hi = np.array([0, 5, 5]), np.array([3, 5, 6])
     got = [(int(i), int(j)) for a, b in mih.ragged(lo, hi) for i, j in zip(a, b)]
     assert got == [(0, 0), (0, 1), (0, 2), (2, 5)]
+
+
+def test_longer_substrings_get_more_tables(spark):
+    for bits in range(16, 27):
+        assert mih.miss_rate(0.92, bits, mih.tables_for(0.92, bits)) <= mih.miss_rate(0.92, 16, mih.TABLES)
+    assert mih.tables_for(0.92, 16) == mih.TABLES and mih.tables_for(0.92, 19) > mih.TABLES
+    df = spark.createDataFrame([(i, "a", [float(y) for y in x]) for i, x in enumerate(clustered(300, 32, 3))], SCHEMA)
+    names = ("vec_id", "embeddings", "model_fingerprint", "dimensions")
+    v = mih.Vectors(df, metadata(spark, ("a", 32)), *names, min_bits=19, grow=False, least=0.92)  # as with 2 million rows
+    assert v.tables == mih.tables_for(0.92, 19)
+    codes = {r.id: np.frombuffer(r.code, np.uint32) for r in v.points(10).collect()}
+    assert {len(c) for c in codes.values()} == {v.tables}
+    ids = sorted(codes)
+    c = np.array([codes[i] for i in ids])
+    far = np.bitwise_count(c[:, None] ^ c[None])
+    near = (far <= 1).any(axis=2) & (far.sum(axis=2) <= 60)
+    pairs = {(r.a, r.b) for r in mih.close_codes(v, 10, 60).collect()}
+    assert pairs == {(ids[i], ids[j]) for i, j in zip(*np.nonzero(near)) if i < j}
