@@ -20,6 +20,8 @@ from lexivec.llm.tokens import DEFAULT_VOCABULARY, token_count
 from lexivec.session import spread_out
 
 POOL_ITEMS = 8192
+#: The search may open this many times the containers of a packing, so that it completes some.
+DIVES = 4
 PACKED = "container string, part int, n_tokens int"
 
 
@@ -118,12 +120,14 @@ def completions(counts: np.ndarray, room: int, most_waste: int, keep: int, steps
 def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 2000, keep: int = 8) -> list[list[int]]:
     """The fewest containers found for items with ``counts[s]`` items of size s, 1 <= s <= capacity.
 
-    ``nodes`` bounds the containers opened by the search; the result is a whole packing in any case.
+    ``nodes``, or DIVES whole packings if those are more, bounds the containers opened by the search; the result is a
+    whole packing in any case.
     """
     total = int((counts * np.arange(len(counts))).sum())
     if not total:
         return []
     best = best_fit_decreasing(counts, capacity)
+    nodes = max(nodes, DIVES * len(best))
     least = -(-total // capacity)
     big = int(counts[capacity // 2 + 1 :].sum())  # no two of these share a container
     least = max(least, big)

@@ -54,6 +54,13 @@ def test_beats_best_fit():
     assert len(packing.bin_completion(c, 2048)) < len(packing.best_fit_decreasing(c, 2048))
 
 
+def test_search_completes_packings_of_many_containers():
+    c = counts(np.random.default_rng(5).integers(500, 901, 8192), 2048)
+    boxes = packing.bin_completion(c, 2048)
+    assert len(boxes) < len(packing.best_fit_decreasing(c, 2048))
+    assert max(map(sum, boxes)) <= 2048 and (counts([s for b in boxes for s in b], 2048) == c).all()
+
+
 def test_dominance_and_completions():
     assert packing.dominates([10], [6, 4]) and not packing.dominates([6, 4], [10]) and packing.dominates([6, 4], [6, 3])
     found = packing.completions(counts([6, 4, 10, 3], 20), 10, 10, 8, 1000)
