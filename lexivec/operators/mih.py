@@ -432,22 +432,50 @@ SEARCH_TABLES = 16
 SEARCH_BITS = 8
 
 
+def row_products(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of the rows ``a[i]`` and ``b[j]`` in doubles; the same rows give the same bits wherever they stand."""
+    out = np.empty(len(i))
+    for s in range(0, len(i), 65_536):
+        part = slice(s, s + 65_536)
+        out[part] = (a[i[part]].astype(np.float64) * b[j[part]]).sum(axis=1)
+    return out
+
+
+def first_copies(ids: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
+    """Positions of the first ``n`` ids of each group of equal rows."""
+    whole = np.ascontiguousarray(unit).view(np.dtype((np.void, unit.itemsize * unit.shape[1]))).ravel()
+    _, group = np.unique(whole, return_inverse=True)
+    order = np.lexsort((ids, group))
+    group = group[order]
+    return np.sort(order[np.arange(len(group)) - np.searchsorted(group, group) < n])
+
+
 class _Best:
     """The ``k`` best candidates so far of each query."""
 
     def __init__(self, n: int, k: int, id_type: np.dtype):
-        self.sim = np.full((n, k), -np.inf, dtype=np.float32)
+        self.sim = np.full((n, k), -np.inf)
         self.ids = np.zeros((n, k), dtype=id_type)
 
-    def offer(self, q: np.ndarray, sims: np.ndarray, ids: np.ndarray) -> None:
-        """Candidates ``ids`` with ``sims[i, j]`` for query ``q[i]``; those already held are not taken twice."""
-        better = sims > self.sim[q, -1][:, None]
+    def offer(self, q: np.ndarray, qunit: np.ndarray, unit: np.ndarray, ids: np.ndarray) -> None:
+        """Candidates ``ids`` with vectors ``unit`` for queries ``q``; those already held are not taken twice.
+
+        The matrix product only says which candidates may be among the best, ties and its rounding allowed
+        for; these are compared by sums that come out the same for equal vectors, then by the lower id.
+        """
+        k = self.sim.shape[1]
+        sims = qunit[q] @ unit.T
+        slack = 2 * unit.shape[1] * np.finfo(np.float32).eps
+        better = sims >= (self.sim[q, -1] - slack).astype(np.float32)[:, None]
+        many = np.flatnonzero(better.sum(axis=1) > 2 * k)
+        if len(many):
+            some = sims[many]
+            better[many] &= some >= np.partition(some, -k, axis=1)[:, -k, None] - np.float32(slack)
         rows, cols = np.nonzero(better)
         if not len(rows):
             return
-        k = self.sim.shape[1]
         row = np.concatenate((np.repeat(np.arange(len(q)), k), rows))
-        sim = np.concatenate((self.sim[q].ravel(), sims[rows, cols]))
+        sim = np.concatenate((self.sim[q].ravel(), row_products(qunit, q[rows], unit, cols)))
         got = np.concatenate((self.ids[q].ravel(), ids[cols]))
         order = np.lexsort((got, -sim, row))
         row, sim, got = row[order], sim[order], got[order]
@@ -468,8 +496,11 @@ def search_block(
 ) -> _Best:
     """Probe all tables of one block of the index within ``radius`` bits; rerank what they hold by the floats.
 
-    Queries with the same substring share their buckets, and so one matrix product.
+    Queries with the same substring share their buckets, and so one matrix product.  Exact copies beyond the first
+    ``k + 1`` ids are left out: the others are as similar and come first.
     """
+    kept = first_copies(ids, unit, k + 1)
+    ids, unit, codes = ids[kept], unit[kept], codes[kept]
     best = _Best(len(qids), k + 1, ids.dtype)
     masks = flips(bits, radius)
     for t in range(codes.shape[1]):
@@ -482,7 +513,9 @@ def search_block(
             cand = np.concatenate(spans)
             for at in range(0, len(cand), 8192):
                 c = cand[at : at + 8192]
-                best.offer(q, qunit[q] @ unit[c].T, ids[c])
+                near, names = unit[c], ids[c]
+                for s in range(0, len(q), 2048):
+                    best.offer(q[s : s + 2048], qunit, near, names)
     return best
 
 

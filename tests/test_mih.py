@@ -133,3 +133,20 @@ def test_longer_substrings_get_more_tables(spark):
     near = (far <= 1).any(axis=2) & (far.sum(axis=2) <= 60)
     pairs = {(r.a, r.b) for r in mih.close_codes(v, 10, 60).collect()}
     assert pairs == {(ids[i], ids[j]) for i, j in zip(*np.nonzero(near)) if i < j}
+
+
+def test_search_gives_ties_to_the_lower_id():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((9400, 32))
+    x[:9000] = x[0]  # one vector delivered more often than candidates are looked at at a time
+    x[9000:9030] = x[9000]
+    u = mih.unit_rows(x).astype(np.float32)
+    ids = np.arange(10_000, 19_400)
+    book = mih.learn_codes(u[8500:], 32, mih.SEARCH_TABLES, mih.SEARCH_BITS)
+    asks = np.array([3, 8000, 9005, 9029, 9300])
+    p = np.arange(len(u))[::-1]  # the lowest ids come last
+    best = mih.search_block(ids[p], u[p], book.encode(u[p]), ids[asks], u[asks], book.encode(u[asks]), mih.SEARCH_BITS, 10, 1)
+    assert best.ids[:2].tolist() == [list(range(10_000, 10_011))] * 2
+    assert best.ids[2:4].tolist() == [list(range(19_000, 19_011))] * 2
+    s = u.astype(np.float64) @ u[9300]
+    assert best.ids[4, 0] == 19_300 and np.all(np.diff(best.sim[4]) <= 0) and np.allclose(best.sim[4], s[best.ids[4] - 10_000])
