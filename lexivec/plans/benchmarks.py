@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexivec.functions import vectors
@@ -78,6 +78,25 @@ def w04_remaining_targets(spark: SparkSession, d: str) -> DataFrame:
     return benchstats.remaining_targets(targets, executed.where("status = 'PASS'"), "target_tokens")
 
 
+def _event_plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The targets, of which the first three were executed, with results made of all events."""
+    targets, _ = _plan(spark)
+    lot = F.pmod("user_id", F.lit(5)).cast("int")
+    target = F.get(F.array(*[F.lit(t) for t in benchstats.TARGETS]), lot)
+    executed = _events(spark, d).where(lot < 3).groupBy(target.alias("target_tokens")).agg(
+        F.when(F.count("*") % 2 == 0, "PASS").otherwise("OOM").alias("status"), F.round(F.avg("value"), 6).alias("latency_seconds")
+    )
+    return targets, executed
+
+
+def w03_event_results(spark: SparkSession, d: str) -> DataFrame:
+    return benchstats.final_results(*_event_plan(spark, d))
+
+
+def w04_event_targets(spark: SparkSession, d: str) -> DataFrame:
+    return benchstats.remaining_targets(*_event_plan(spark, d), "target_tokens")
+
+
 def _batches(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).select(
         F.pmod("user_id", F.lit(4)).alias("worker_id"), F.lit(1).cast("bigint").alias("items"), F.col("value").alias("latency"),
@@ -157,6 +176,23 @@ def f09_last_token(spark: SparkSession, d: str) -> DataFrame:
     return h.select("id", F.get(vectors.last_token(F.col("hidden"), F.col("mask"), F.col("all_end")), F.lit(0)).alias("first"))
 
 
+def f09_last_token_pool(spark: SparkSession, d: str) -> DataFrame:
+    """The pooling of all vectors of requests, their components taken as hidden states; a request is a batch.
+
+    Requests are padded on the left or on the right.
+    """
+    e = table(spark, d, "embed_results").where("request_id is not null and size(embeddings) > 0").select(
+        "vec_id", "request_id", F.transform("embeddings", lambda x: F.array(x.cast("double"))).alias("hidden"),
+        (F.pmod(F.coalesce("token_count", F.lit(1)), F.size("embeddings")) + 1).cast("int").alias("n"),
+        (F.md5(F.col("request_id").cast("string")) < "8").alias("left"),
+    )
+    ones, zeros = F.array_repeat(F.lit(1), F.col("n")), F.array_repeat(F.lit(0), F.size("hidden") - F.col("n"))
+    e = e.withColumn("mask", F.when(F.col("left"), F.concat(zeros, ones)).otherwise(F.concat(ones, zeros)))
+    ends = F.min(F.element_at("mask", -1)).over(Window.partitionBy("request_id")) == 1
+    h = e.withColumn("all_end", ends)
+    return h.select("vec_id", F.get(vectors.last_token(F.col("hidden"), F.col("mask"), F.col("all_end")), F.lit(0)).alias("first"))
+
+
 def b08_search(spark: SparkSession, d: str) -> DataFrame:
     """Embed all index texts with the stand-in and find the ten nearest of one question."""
     from lexivec.functions import text
@@ -175,7 +211,8 @@ QUERIES = {
     for f in (
         a15_latency_summary, a16_throughput, a17_best_stable, w02_flattening, j06_matched_scaling, w03_final_results,
         w04_remaining_targets, a19_worker_metrics, a19_snapshot, a28_status_tally, a26_token_usage, b01_micro_batches,
-        a25_batch_costs, b02_admissions, b03_placements, b05_chunks, k13_answers, f09_last_token, b08_search,
+        a25_batch_costs, b02_admissions, b03_placements, b05_chunks, k13_answers, f09_last_token, f09_last_token_pool, b08_search,
+        w03_event_results, w04_event_targets,
     )
 }
 
@@ -200,6 +237,11 @@ fold as (
     lateral (select f.n >= 4 or f.n * f.top >= 256 or f.n + 1 > 4 or (f.n + 1) * greatest(f.top, s.tokens) > 256 as fresh) x
 )
 """
+_EXECUTED_SQL = """
+t as (select unnest([4096, 8192, 16384, 24576, 32768]) as target_tokens),
+ex as (select [4096, 8192, 16384][(user_id % 5 + 1)::int] as target_tokens, case when count(*) % 2 = 0 then 'PASS' else 'OOM' end as status,
+  round(avg(value), 6) as latency_seconds from events where user_id % 5 < 3 group by 1)
+"""
 _BATCHES = "b as (select user_id % 4 as worker_id, value, event_id from events)"
 _FINITE = "len(list_filter(embeddings, lambda x: x is null or isnan(x) or isinf(x))) = 0"
 
@@ -239,5 +281,14 @@ SQL = {
     "case when f.l0 <= f.l1 then 0 else 1 end from fold f join seq s on s.request_id = f.request_id and s.pos = f.pos + 1) "
     "select request_id, string_agg(w::varchar, ',' order by pos) as workers from fold group by request_id",
     "b05_chunks": f"with {_ITEMS} select request_id, (pos - 1) // 3 as chunk, count(*)::bigint as n from seq group by 1, 2",
+    "w03_event_results": f"with {_EXECUTED_SQL}, j as (select target_tokens, latency_seconds, status, min(case when status <> 'PASS' then target_tokens end) over "
+    "(order by target_tokens rows between unbounded preceding and 1 preceding) as b from t left join ex using (target_tokens)) "
+    "select target_tokens, latency_seconds, coalesce(status, 'NOT_RUN_AFTER_OOM') as status, (case when status is null then b end)::int as blocked_by_target_tokens "
+    "from j where status is not null or b is not null",
+    "w04_event_targets": f"with {_EXECUTED_SQL} select target_tokens from t where coalesce((select arg_max(status, target_tokens) from ex), 'PASS') = 'PASS' "
+    "and target_tokens > coalesce((select max(target_tokens) from ex), 0)",
+    "f09_last_token_pool": "with e as (select vec_id, request_id, embeddings, len(embeddings) as l, coalesce(token_count, 1) % len(embeddings) + 1 as n, md5(request_id::varchar) < '8' as le "
+    "from embed_results where request_id is not null and len(embeddings) > 0), b as (select *, min((le or n = l)::int) over (partition by request_id) = 1 as all_end from e) "
+    "select vec_id, embeddings[(case when all_end then l else n end)::int]::double as first from b",
     "f09_last_token": "select * from (values (1, 3.0::double), (2, 2.0::double)) t(id, first)",
 }

@@ -175,3 +175,16 @@ def test_embedding_keeps_order_and_nulls(spark):
     got = {r.i: r.v for r in df.withColumn("v", embed.embedding(F.col("t"), embed.HashingEmbedder)).collect()}
     assert got[1] is None and got[2] == got[3] and sum(x * x for x in got[0]) == pytest.approx(1.0)
     assert embed.split([420, *[8] * 15]) == [slice(0, 1), slice(1, 16)]
+
+
+def test_pooling_and_plans_read_whole_tables(spark):
+    import os
+
+    from lexivec.plans import benchmarks
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    usable = spark.read.parquet(f"{data}/embed_results.parquet").where("request_id is not null and size(embeddings) > 0").count()
+    assert benchmarks.QUERIES["f09_last_token_pool"](spark, data).count() == usable > 100
+    assert benchmarks.QUERIES["w03_event_results"](spark, data).count() >= 3
