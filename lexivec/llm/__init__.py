@@ -1,4 +1,4 @@
-"""Operators for training data: tokens, packing, mixing, splitting, look-alikes, garbled text.
+"""Operators for training data: similar vectors, look-alikes, garbled text, calibrated samples, packing, mixing, splitting.
 
 Nothing outside this subpackage imports it.
 """

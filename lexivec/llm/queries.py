@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivec.llm import garbled, lookalike, mixing, packing, splitting
+from lexivec.llm import calibrate, garbled, lookalike, mih, mixing, packing, splitting
 from lexivec.session import table
 
 
@@ -65,7 +65,44 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(_docs(spark, d))
 
 
+_RECORD_COLUMNS = ("qid", "label_en", "label_vi", "instance_of_qids")
+
+
+def _sample(spark: SparkSession, d: str) -> calibrate.Sample:
+    records = table(spark, d, "canonical_records").select(*_RECORD_COLUMNS)
+    return calibrate.calibrated_sample(records, table(spark, d, "seed_categories"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _sample(spark, d).report.where("short").select("seed_name")
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return _sample(spark, d).report
+
+
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _sample(spark, d).rows
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embed_results").select("vec_id", "model_fingerprint", "embeddings")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return mih.mutual_neighbours(_vectors(spark, d), table(spark, d, "index_metadata"))
+
+
+def p1_knn(spark: SparkSession, d: str) -> DataFrame:
+    return mih.similar_to(_vectors(spark, d), table(spark, d, "index_metadata"))
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_knn": p1_knn,
+    "p4_found": p4_found,
+    "p4_report": p4_report,
+    "p4_sample": p4_sample,
     "p2_found": p2_found,
     "p2_canonical": p2_canonical,
     "p3_found": p3_found,
@@ -79,4 +116,27 @@ QUERIES = {
     "p7_pieces": p7_pieces,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p1_found": """
+with v as (
+  select vec_id, model_fingerprint as f, (embeddings[1:dimensions])::double[] as e from embed_results join index_metadata using (model_fingerprint)
+  where len(embeddings) >= dimensions and len(list_filter(embeddings[1:dimensions], lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embeddings[1:dimensions], lambda x: x <> 0)) > 0
+), s as (
+  select a.vec_id as p, b.vec_id as q, list_cosine_similarity(a.e, b.e) as c from v a join v b on a.f = b.f and a.vec_id <> b.vec_id
+), l as (select p, q from s where c >= 0.92 qualify row_number() over (partition by p order by round(c, 6) desc, q) <= 10)
+select x.p as vec_id_a, x.q as vec_id_b from l x join l y on x.p = y.q and x.q = y.p where x.p < x.q
+""",
+    "p4_found": """
+with r as (
+  select trim(qid) as qid, instance_of_qids from canonical_records
+  where qid is not null and (trim(coalesce(label_en, '')) <> '' or trim(coalesce(label_vi, '')) <> '')
+), m as (
+  select distinct r.qid, s.seed_name
+  from (select qid, unnest(instance_of_qids) as class from r) r join seed_categories s on trim(r.class) = s.instance_of_qid
+), n as (select count(distinct qid) // 5 as size from m)
+select s.seed_name from seed_categories s left join m on m.seed_name = s.seed_name, n
+group by s.seed_name, s.weight, n.size
+having count(distinct m.qid) < greatest(5, ceil(n.size * s.weight / (select sum(weight) from seed_categories)))
+""",
+}
