@@ -1,10 +1,10 @@
 """Problem 7: cut oversized texts into pieces under a token limit.
 
-Method: a recursive separator hierarchy.  Each piece is filled greedily with as
-many whole parts of the text as the limit allows: a part ends at a section break
-where one lies late enough in the piece, else at a paragraph, a sentence, a word
-and, last, a character.  Each piece begins with the last ``overlap`` tokens of the
-piece before it.
+Method: a recursive separator hierarchy.  A text is split into sections; whole sections are packed
+greedily into a piece while they fit.  A section that does not fit into a piece of its own is split
+into paragraphs, which are packed in the same way, a paragraph into sentences, a sentence into
+words, a word into characters.  So a piece is cut at a lower level only where no boundary of a
+higher one lies in it.  Each piece begins with the last ``overlap`` tokens of the piece before it.
 """
 
 from __future__ import annotations
@@ -32,9 +32,11 @@ SEPARATORS = (
     re.compile(r"\s+"),
 )
 
-#: Shares of a piece that must be full for a cut there, in the order they are tried:
-#: a late natural boundary, an earlier one, then any word.
-FULL_ENOUGH = ((0.9, (SECTION, PARAGRAPH, SENTENCE)), (0.5, (SECTION, PARAGRAPH, SENTENCE)), (0.1, (WORD,)))
+#: A heading is a part of the paragraph after it.
+HEADING = re.compile(r"#{1,6} ")
+
+#: Characters a separator is looked for beyond the piece's end, so that it is seen whole.
+BEYOND = 4096
 
 PIECES = (
     "piece_no int, start_char int, end_char int, overlap_tokens int, n_tokens int, cut string, piece string"
@@ -53,14 +55,27 @@ def token_bytes(vocabulary: str) -> np.ndarray:
     return out
 
 
-def _last_cut(text: str, level: int, lo: int, hi: int) -> int:
-    """The last place in ``lo < place <= hi`` where ``text`` may be cut at ``level``, or 0."""
-    found = 0
-    for m in SEPARATORS[level].finditer(text, max(0, lo - 8), min(len(text), hi + 8)):
+def part_ends(text: str, level: int, lo: int, reach: int) -> Iterator[int]:
+    """Where the parts of ``text[lo:]`` at ``level`` end, in order, as far as ``reach``."""
+    for m in SEPARATORS[level].finditer(text, lo, reach + BEYOND):
         at = m.end() if level == SENTENCE else m.start()
-        if lo < at <= hi:
-            found = at
-    return found
+        if at > reach:
+            return
+        if at > lo and not (level == PARAGRAPH and HEADING.match(text, text.rfind("\n", 0, at) + 1)):
+            yield at
+
+
+def fill_piece(text: str, lo: int, reach: int, level: int = SECTION) -> tuple[int, int]:
+    """Where the piece whose own text begins at ``lo`` is cut, at most at ``reach``, and the cut's level.
+
+    Whole parts of ``level`` are packed while they fit; a first part that does not fit is split at the next level.
+    """
+    if level == CHARACTER:
+        return max(lo + 1, reach), level
+    at = lo
+    for at in part_ends(text, level, lo, reach):
+        pass
+    return (at, level) if at > lo else fill_piece(text, lo, reach, level + 1)
 
 
 def split_text(text: str, limit: int, overlap: int, vocabulary: str = DEFAULT_VOCABULARY) -> list[tuple]:
@@ -97,13 +112,8 @@ def split_text(text: str, limit: int, overlap: int, vocabulary: str = DEFAULT_VO
         whole = np.append(begins, True)[ends]  # tokens that end between characters
         char_end = before[ends] - ~whole
         own, reach = done - lead, int(char_end[-1])
-        at = level = 0
-        for share, levels in FULL_ENOUGH:
-            lo = max(own, int(char_end[int(limit * share) - 1]) if share else own)
-            level = next((k for k in levels if (at := _last_cut(window, k, lo, reach))), CHARACTER)
-            if at:
-                break
-        at = at or max(own + 1, reach)
+        at, level = fill_piece(text, done, lead + reach)
+        at -= lead
         k = int(np.searchsorted(char_end, at, side="right"))
         if level == CHARACTER or char_end[k - 1] != at or not whole[k - 1]:
             while len(used := encode(window[:at])) > limit:  # merges differ at the cut

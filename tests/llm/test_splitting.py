@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexivec.llm.splitting import split_oversized, split_text
+from lexivec.llm.splitting import CHARACTER, LEVELS, part_ends, split_oversized, split_text
 from lexivec.llm.tokens import encoder, token_count
 
 
@@ -61,6 +63,37 @@ def test_boundaries_are_preferred():
     assert cuts <= {"section", "paragraph", "sentence", "end"} and "section" in cuts
 
 
+def test_a_section_break_comes_before_any_later_boundary():
+    first, second = SENTENCE * 60, SENTENCE * 200
+    text = f"# Một\n\n{first}\n\n# Hai\n\n{second}"
+    pieces = split_text(text, 2048, 64)
+    check(text, pieces, 2048, 64)
+    assert pieces[0][5] == "section" and pieces[0][2] == text.index("\n\n# Hai")
+    assert {p[5] for p in pieces[1:]} <= {"sentence", "end"}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_no_lower_cut_where_a_higher_one_fits(seed):
+    rng = random.Random(seed)
+    makers = [
+        lambda: SENTENCE * rng.randint(1, 30), lambda: "dài" * rng.randint(1, 900), lambda: "## Phần\n", lambda: "\n\n", lambda: "\n\n\n\n",
+        lambda: "\f", lambda: " ", lambda: "\n",
+    ]
+    text = "".join(rng.choice(makers)() for _ in range(200))
+    limit, overlap = 256, 16
+    pieces = split_text(text, limit, overlap)
+    check(text, pieces, limit, overlap)
+    begins = [0, *(p[2] for p in pieces)]
+    for own, p in zip(begins, pieces[:-1]):
+        level = LEVELS.index(p[5])
+        for higher in range(level):
+            assert not list(part_ends(text, higher, own, p[2]))
+        # greedy: no further part of the cut's level would have fitted
+        if level < CHARACTER:
+            more = next(part_ends(text, level, p[2], p[2] + 4000), None)
+            assert more is None or len(encoder().encode_ordinary(text[p[1] : more])) > limit
+
+
 def test_operator(spark):
     rows = [(1, SENTENCE * 500), (2, "short"), (3, None), (4, ""), (None, SENTENCE * 500), (2**60 + 1, SENTENCE * 500), (1, SENTENCE * 500)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"id": F.lit(0), "piece_no": F.lit(0), "piece": F.lit("")})
