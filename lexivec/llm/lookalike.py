@@ -3,67 +3,43 @@
 Method: look-alike pairs over strings and code points are joined by union-find into
 transitive classes; each class is represented by its most frequent member in the
 corpus; a multi-pattern automaton rewrites every value greedily (leftmost, longest).
+
+The pairs come from the Unicode tables: the confusable skeletons that Spark's own ICU library
+holds, for all letters of scripts written from left to right, and compatibility characters.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.session import cut_lineage, spread_out
 
-# Letters and signs of other scripts that are drawn like the first of their line.
-LETTERS = """
-A АᎪ Α
-B В Β Ᏼ
-C С Ϲ Ⅽ
-E Е Ε
-G Ԍ
-H Н Η
-I І Ι Ӏ
-J Ј Ϳ
-K К Κ
-M М Μ
-N Ν
-O О Ο
-P Р Ρ
-Q Ԛ
-S Ѕ
-T Т Τ
-V Ѵ
-W Ԝ
-X Х Χ
-Y У Υ Ү
-Z Ζ
-Đ Ð Ɖ
-a а ɑ
-c с ϲ
-d ԁ
-e е
-g ɡ
-h һ
-i і
-j ј ϳ
-l ӏ
-o о ο
-p р
-q ԛ
-s ѕ
-v ν ѵ
-w ԝ
-x х
-y у ү
+#: Letters that others may be drawn like.
+BASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzĐđ"
+
+# Signs and letters the skeletons join too coarsely or not at all, drawn like the first of their line.
+DRAWN_LIKE = """
 - ‐ ‑
+– −
 ’ ʼ
 : ∶
+! ǃ
+e ℮
+l ӏ ǀ
 """
 
+#: Letters whose skeleton is a letter they can be told apart from: without its dot, of another shape or height.
+TOLD_APART = "ǀıɩɪιꙇᎥ𑣃ꭵӏ" "гᴦⲅꭇꭈꮁ" "γɣʏỿყᶌꭚ" "υʋꭎꭒ" "ɯƦƍƄЬƖſքẝꬵ" "ᎽᏚᏀ"
+
 #: Compatibility characters that are drawn like their expansion, as ranges of code points.
 DRAWN_ALIKE = ((0x00B5, 0x00B5), (0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x2024, 0x2026),
                (0x2160, 0x217F), (0x2F00, 0x2FD5), (0xFB00, 0xFB06))
@@ -88,13 +64,62 @@ def is_unseen(ch: str) -> bool:
     )
 
 
-def alike_pairs() -> list[tuple[str, str]]:
+def skeletons(spark: SparkSession, letters: list[str]) -> dict[str, str]:
+    """The confusable skeleton of each letter, from the ICU library on Spark's class path."""
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    return dict(zip(letters, checker.getSkeleton("\n".join(letters)).split("\n")))
+
+
+@lru_cache(maxsize=None)
+def candidates() -> list[str]:
+    """Letters that may be drawn like one of BASE: of scripts written from left to right, no ideographs or syllables."""
+    skipped = ("CJK", "HANGUL", "TANGUT", "NUSHU", "KHITAN", "EGYPTIAN", "CUNEIFORM", "ANATOLIAN", "BAMUM", "VAI", "YI ")
+    out = []
+    for cp in range(0x80, 0x20000):
+        ch = chr(cp)
+        if unicodedata.category(ch) in ("Lu", "Ll", "Lo", "Nl") and unicodedata.bidirectional(ch) == "L":
+            if not unicodedata.decomposition(ch) and not unicodedata.name(ch, "CJK").startswith(skipped) and ch not in TOLD_APART:
+                out.append(ch)
+    return out
+
+
+def drawn_like_letters(spark: SparkSession) -> list[tuple[str, str]]:
+    """Letters of other scripts and the letter of BASE they are drawn like.
+
+    Case is seen: of letters with one skeleton a capital goes with the capital, and no letter of a script with
+    cases goes with one of the other case.
+    """
+    of = skeletons(spark, [*BASE, *candidates()])
+    by_skeleton: dict[str, list[str]] = {}
+    for b in BASE:
+        by_skeleton.setdefault(of[b], []).append(b)
+    out = []
+    for ch in candidates():
+        targets = by_skeleton.get(of[ch], [])
+        kind = unicodedata.category(ch)
+        small = [b for b in targets if b.islower()]
+        large = [b for b in targets if b.isupper()]
+        cased = kind in ("Lu", "Ll") and unicodedata.name(ch).startswith(("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "COPTIC"))
+        order = small + large if kind == "Ll" else large + small
+        order = [b for b in order if not cased or b.isupper() == (kind == "Lu")]
+        if order:
+            out.append((ch, order[0]))
+    return out
+
+
+def alike_pairs(spark: SparkSession) -> list[tuple[str, str]]:
     """Pairs of strings that look the same, in NFD; the second is '' for what is not drawn."""
-    out: list[tuple[str, str]] = []
-    for line in LETTERS.split("\n"):
+    out: list[tuple[str, str]] = drawn_like_letters(spark)
+    for line in DRAWN_LIKE.split("\n"):
         first, *others = [c for c in line if c != " "] or [""]
-        out += [(unicodedata.normalize("NFD", o), unicodedata.normalize("NFD", first)) for o in others]
-    out += [(i + m, "i" + m) for i in DOTLESS for m in OVER_DOT]
+        out += [(o, first) for o in others]
+    return out + [(i + m, "i" + m) for i in DOTLESS for m in OVER_DOT] + table_pairs()
+
+
+@lru_cache(maxsize=None)
+def table_pairs() -> list[tuple[str, str]]:
+    """What is not drawn, and characters drawn like their compatibility expansion."""
+    out: list[tuple[str, str]] = []
     for cp in range(0x80, 0x110000):
         ch = chr(cp)
         if is_unseen(ch):
@@ -177,13 +202,32 @@ def automaton(keys: Iterable[tuple[str, object]]):
 
 
 class Rewriter:
-    """Rewrites values to their one form."""
+    """Rewrites values to their one form.
+
+    Values of characters that no rewrite touches, most of all, only lose blanks.  In values that hold no string
+    of several characters the automaton's single characters are a translation table.
+    """
 
     def __init__(self, rewrites: dict[str, str]):
         self.machine = automaton((k, (len(k), v)) for k, v in rewrites.items()) if rewrites else None
-        self.ascii_stays = not any(k.isascii() and k.isprintable() for k in rewrites)
+        long = [k for k in rewrites if len(k) > 1]
+        self.strings = automaton((k, k) for k in long) if long else None
+        self.table = {ord(k): v for k, v in rewrites.items() if len(k) == 1}
+        touched = {k for k in rewrites if len(k) == 1}
+        for k in long:  # one character of each string, not a mark where possible
+            if not touched.intersection(k):
+                touched.add(max(k, key=lambda c: (not unicodedata.combining(c), not c.isascii())))
+        plain = [c for c in map(chr, [*range(0x20, 0x7F), *range(0xA1, 0x250), *range(0x1E00, 0x1F00)]) if self._stays(c, touched)]
+        self.plain = re.compile(f"[{''.join(map(re.escape, plain))} ]*").fullmatch
+
+    @staticmethod
+    def _stays(ch: str, touched: set[str]) -> bool:
+        d = unicodedata.normalize("NFD", ch)
+        return not touched.intersection(d) and not unicodedata.combining(ch) and unicodedata.normalize("NFC", d) == ch
 
     def _greedy(self, s: str) -> str:
+        if self.strings is None or next(self.strings.iter(s), None) is None:
+            return s.translate(self.table)
         out, at = [], 0
         for end, (n, to) in self.machine.iter_long(s):
             out += (s[at : end + 1 - n], to)
@@ -191,7 +235,7 @@ class Rewriter:
         return "".join((*out, s[at:])) if out else s
 
     def __call__(self, s: str) -> str:
-        if not (self.ascii_stays and s.isascii() and s.isprintable()):
+        if not self.plain(s):
             s = unicodedata.normalize("NFD", s)
             while self.machine is not None:
                 # what is not drawn may have kept marks from their order: until nothing changes
@@ -243,7 +287,7 @@ def member_counts(df: DataFrame, fields: tuple[str, ...], members: list[str]) ->
 
 def learn(df: DataFrame, fields: tuple[str, ...] = FIELDS) -> dict[str, str]:
     """The rewrites for the values of ``fields`` (strings or arrays of strings)."""
-    classes = LookAlikes(alike_pairs())
+    classes = LookAlikes(alike_pairs(df.sparkSession))
     return classes.rewrites(member_counts(df, fields, classes.members()))
 
 
@@ -303,14 +347,7 @@ def same_look_pairs(
     way go on.  Their distinct spellings are paired, and spellings are then joined to their rows, so
     a spelling shared by very many rows is never compared with itself; the work follows the result.
     """
-    values = cut_lineage(keyed_values(df, rewrites or learn(df, fields), id_col, fields))
-    several = (
-        values.groupBy("field", "form")
-        .agg(F.min("raw").alias("least"), F.max("raw").alias("most"))
-        .where("least != most")
-        .select("field", "form")
-    )
-    v = cut_lineage(values.join(several, ["field", "form"], "left_semi").distinct())
+    v = several_spellings(df, id_col, fields, rewrites)
     spelled = v.select("field", "form", "raw").distinct()
     pairs = spelled.withColumnRenamed("raw", "raw1").join(
         spelled.withColumnRenamed("raw", "raw2"), ["field", "form"]
@@ -318,7 +355,39 @@ def same_look_pairs(
     one = v.select("field", F.col("raw").alias("raw1"), F.col("id").alias("id1"))
     two = v.select("field", F.col("raw").alias("raw2"), F.col("id").alias("id2"))
     rows = pairs.drop("form").join(one, ["field", "raw1"]).join(two, ["field", "raw2"]).where("id1 != id2")
-    names = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field").cast("int") + 1)
     return rows.select(
-        F.least("id1", "id2").alias(f"{id_col}_a"), F.greatest("id1", "id2").alias(f"{id_col}_b"), names.alias("field")
+        F.least("id1", "id2").alias(f"{id_col}_a"), F.greatest("id1", "id2").alias(f"{id_col}_b"), _name(fields)
     ).distinct()
+
+
+def several_spellings(
+    df: DataFrame, id_col: str, fields: tuple[str, ...], rewrites: dict[str, str] | None
+) -> DataFrame:
+    """``id, field, form, raw`` of the values whose form is written in more than one way."""
+    values = cut_lineage(keyed_values(df, rewrites or learn(df, fields), id_col, fields))
+    several = (
+        values.groupBy("field", "form")
+        .agg(F.min("raw").alias("least"), F.max("raw").alias("most"))
+        .where("least != most")
+        .select("field", "form")
+    )
+    return cut_lineage(values.join(several, ["field", "form"], "left_semi").distinct())
+
+
+def _name(fields: tuple[str, ...]):
+    return F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field").cast("int") + 1).alias("field")
+
+
+def same_look_classes(
+    df: DataFrame, id_col: str = "record_id", fields: tuple[str, ...] = FIELDS, rewrites: dict[str, str] | None = None
+) -> DataFrame:
+    """Rows whose value of a field is written differently elsewhere, with the class of their look.
+
+    ``<id>, field, look_class, spelling``: two rows of a field look the same if they share a class, and differ in
+    code points if their spellings differ.  As many rows as values, however large a class is.
+    Nulls, blank values and null ids have no class; repeated rows come out once.
+    """
+    v = several_spellings(df, id_col, fields, rewrites)
+    return v.select(
+        F.col("id").alias(id_col), _name(fields), F.lower(F.hex("form")).alias("look_class"), F.lower(F.hex("raw")).alias("spelling")
+    )

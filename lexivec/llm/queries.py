@@ -20,6 +20,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_look_pairs(_records(spark, d))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.same_look_classes(_records(spark, d))
+
+
 def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     records = _records(spark, d)
     return lookalike.canonical_values(records, lookalike.learn(records))
@@ -105,6 +109,7 @@ QUERIES = {
     "p4_sample": p4_sample,
     "p2_found": p2_found,
     "p2_canonical": p2_canonical,
+    "p2_classes": p2_classes,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
     "p5_pack": p5_pack,

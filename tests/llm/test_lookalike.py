@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexivec.llm import lookalike
@@ -11,8 +14,8 @@ RECORDS = "record_id bigint, label_vi string, description_vi string, aliases_vi
 
 
 @pytest.fixture(scope="module")
-def rewriter():
-    classes = lookalike.LookAlikes(lookalike.alike_pairs())
+def rewriter(spark):
+    classes = lookalike.LookAlikes(lookalike.alike_pairs(spark))
     return lookalike.Rewriter(classes.rewrites({c: 1000 for c in "ABCEHIKMOPTXYaceiopsuvxy-"}))
 
 
@@ -41,7 +44,8 @@ def test_same_look(rewriter, a, b):
 
 @pytest.mark.parametrize(
     "a, b",
-    [("Hoà", "Hòa"), ("ga", "gà"), ("Ga", "ga"), ("a b", "ab"), ("a2", "a²"), ("a-b", "a–b"), ("đ", "d"), ("o", "0"), ("ga.", "ga"), ("㎏x", "x")],
+    [("Hoà", "Hòa"), ("ga", "gà"), ("Ga", "ga"), ("a b", "ab"), ("a2", "a²"), ("a-b", "a–b"), ("đ", "d"), ("o", "0"), ("ga.", "ga"), ("㎏x", "x"),
+     ("I", "l"), ("I", "1"), ("O", "0"), ("m", "rn"), ("i", "ı"), ("гора", "ropa"), ("œ", "oe"), ("ø", "o"), ("в", "B"), ("к", "k"), ("’", "'"), ("-", "–"), ("–", "—"), ("о", "О")],
 )
 def test_other_look(rewriter, a, b):
     assert rewriter(a) != rewriter(b)
@@ -53,6 +57,39 @@ def test_classes_are_transitive_and_frequent_members_win():
     assert out["x"] == out["y"] == "z" and out["q"] == "" and out["W"] == "zz" and out["xx"] == "zz"
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aiıeo.ô\u0301\u0323\u0302 \u200b\u00adІеАｗﬁⅣ…rn᠎\u3000Ðƣ"), max_size=12))
+def test_one_form_whatever_the_path(rewriter, text):
+    assert rewriter(text) == by_automaton(rewriter)(text) == rewriter(rewriter(text))
+
+
+@lru_cache(maxsize=None)
+def by_automaton(rewriter):
+    slow = lookalike.Rewriter({})
+    slow.machine, slow.plain = rewriter.machine, lambda s: False
+    slow.strings = lookalike.automaton((chr(c), c) for c in rewriter.table)  # no translation where anything changes
+    return slow
+
+
+def test_no_class_holds_two_letters(spark):
+    classes = lookalike.LookAlikes(lookalike.alike_pairs(spark))
+    assert len({classes.find(b) for b in map(lambda c: unicodedata.normalize("NFD", c), lookalike.BASE)}) == len(lookalike.BASE)
+    assert len(classes.members()) > 1500
+
+
+def test_classes_give_the_pairs(spark):
+    rows = [(i, ["Cầu", "Сầu", "Cầu "][i % 3] if i % 5 else f"Gò {i}", None, ["x", "х"] if i == 7 else ["x"]) for i in range(30)]
+    df = spark.createDataFrame([*rows, (None, "Cầu", None, None), (50, None, " ", []), (3, *rows[3][1:])], RECORDS)
+    classes = lookalike.same_look_classes(df).collect()
+    assert len({tuple(r) for r in classes}) == len(classes)
+    pairs = {
+        (a.record_id, b.record_id, a.field)
+        for a in classes for b in classes
+        if a.record_id < b.record_id and (a.field, a.look_class) == (b.field, b.look_class) and a.spelling != b.spelling
+    }
+    assert pairs == {tuple(r) for r in lookalike.same_look_pairs(df).collect()} and pairs
+
+
 def brute(rows, form):
     out = set()
     for name, at in (("label_vi", 1), ("description_vi", 2), ("aliases_vi", 3)):
