@@ -24,11 +24,20 @@ from lexivec.session import spread_out
 LEVELS = ("section", "paragraph", "sentence", "word", "character")
 SECTION, PARAGRAPH, SENTENCE, WORD, CHARACTER = range(5)
 
-#: A cut is where a match begins, for sentences where it ends.
+#: The rest of a line break whose first character, of two or one, was matched.
+_BREAK = r"(?:(?<=\r)\n|(?<=\n))"
+
+#: A cut is where a match begins, for sentences where it ends, but before a line break.
+#: Each pattern begins with a set of characters, which the matcher looks for first.
 SEPARATORS = (
-    re.compile(r"\f|(?:\r?\n)+(?=#{1,6} )|(?:\r?\n[ \t]*){3,}|(?:\r?\n)+(?=[-=*_]{3,}[ \t]*\r?\n)"),
-    re.compile(r"\r?\n[ \t]*(?:\r?\n[ \t]*)+"),
-    re.compile(r"[.!?…;][\"'”’»)\]]*(?=\s)|[。！？；][\"'”’»」）]*|(?=\n)"),
+    re.compile(
+        rf"[\f\r\n](?:(?<=\f)|{_BREAK}(?:(?:\r?\n)*(?=#{{1,6}} )|[ \t]*(?:\r?\n[ \t]*){{2,}}"
+        r"|(?:\r?\n)*(?=[-=*_]{3,}[ \t]*\r?\n)))"
+    ),
+    re.compile(rf"[\r\n]{_BREAK}[ \t]*(?:\r?\n[ \t]*)+"),
+    re.compile(
+        "[.!?…;。！？；\\n](?:(?<=\\n)|(?<=[。！？；])[\"'”’»」）]*|(?<=[.!?…;])[\"'”’»)\\]]*(?=\\s))"
+    ),
     re.compile(r"\s+"),
 )
 
@@ -55,16 +64,31 @@ def token_bytes(vocabulary: str) -> np.ndarray:
     return out
 
 
-def part_ends(text: str, level: int, lo: int, reach: int) -> Iterator[int]:
-    """Where the parts of ``text[lo:]`` at ``level`` end, in order, as far as ``reach``."""
-    for m in SEPARATORS[level].finditer(text, lo, reach + BEYOND):
-        at = m.end() if level == SENTENCE else m.start()
+def part_ends(text: str, level: int, lo: int, reach: int, start: int | None = None) -> Iterator[int]:
+    """Where the parts of ``text[lo:]`` at ``level`` end, in order, as far as ``reach``; from ``start`` on where given."""
+    for m in SEPARATORS[level].finditer(text, lo if start is None else start, reach + BEYOND):
+        at = m.end() if level == SENTENCE and text[m.start()] != "\n" else m.start()
         if at > reach:
             return
         if at > lo and not (level == PARAGRAPH and HEADING.match(text, text.rfind("\n", 0, at) + 1)):
             yield at
 
 
+def last_end(text: str, level: int, lo: int, reach: int) -> int:
+    """The last of ``part_ends``, or ``lo``; the end of the stretch is looked through first."""
+    width = 1024
+    while True:
+        start = max(lo, reach - width)
+        while start > lo and start < reach and text[start].isspace():
+            start += 1  # a separator that began before is seen whole or not at all
+        at = lo
+        for at in part_ends(text, level, lo, reach, start):
+            pass
+        if at > lo or start == lo:
+            return at
+        width *= 8
+
+
 def fill_piece(text: str, lo: int, reach: int, level: int = SECTION) -> tuple[int, int]:
     """Where the piece whose own text begins at ``lo`` is cut, at most at ``reach``, and the cut's level.
 
@@ -72,9 +96,7 @@ def fill_piece(text: str, lo: int, reach: int, level: int = SECTION) -> tuple[in
     """
     if level == CHARACTER:
         return max(lo + 1, reach), level
-    at = lo
-    for at in part_ends(text, level, lo, reach):
-        pass
+    at = last_end(text, level, lo, reach)
     return (at, level) if at > lo else fill_piece(text, lo, reach, level + 1)
 
 

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexivec.llm.splitting import CHARACTER, LEVELS, part_ends, split_oversized, split_text
+from lexivec.llm.splitting import CHARACTER, LEVELS, last_end, part_ends, split_oversized, split_text
 from lexivec.llm.tokens import encoder, token_count
 
 
@@ -94,6 +94,16 @@ def test_no_lower_cut_where_a_higher_one_fits(seed):
             assert more is None or len(encoder().encode_ordinary(text[p[1] : more])) > limit
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab.。\n\r\f \t#-!”"), max_size=60), st.integers(1, 40))
+def test_the_last_end_is_found_from_behind(unit, n):
+    text = unit + "x" * 900 + unit * n + "y" * 300
+    for level in range(CHARACTER):
+        for lo, reach in ((0, len(text)), (3, len(text) - 200), (len(unit), len(unit) + 700)):
+            ends = list(part_ends(text, level, lo, reach))
+            assert last_end(text, level, lo, reach) == (ends[-1] if ends else lo)
+
+
 def test_operator(spark):
     rows = [(1, SENTENCE * 500), (2, "short"), (3, None), (4, ""), (None, SENTENCE * 500), (2**60 + 1, SENTENCE * 500), (1, SENTENCE * 500)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"id": F.lit(0), "piece_no": F.lit(0), "piece": F.lit("")})
