@@ -6,12 +6,18 @@ cube.  A code is split into substrings, each with its own table.  By the pigeonh
 principle two codes of at most ``tables * (radius + 1) - 1`` different bits share a
 substring within ``radius`` bits, so probing every table within that radius retrieves
 them all.  Candidates are reranked by the floats.
+
+Substrings grow with the rows, so that buckets do not, and tables are added so that no more
+pairs of the least cosine are missed.  A table that is too large for a task is cut into parts in
+two ways, by the first bits of its substring and by the last: two substrings that differ in one bit
+agree in one of the two.  So a row goes to two parts of a table, whatever the number of parts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -27,15 +33,21 @@ SAMPLE_VECTORS = 16_384
 ITERATIONS = 25
 TABLES = 12
 MIN_BITS = 16
-#: Rows of a block of a table's part.  A part with its guests has up to GUESTS times as many on average; parts that
-#: alone hold more than HOT times as many are split into pairs of blocks.
+#: Rows of a bucket, on average, at most.
+BUCKET_ROWS = 16
+#: Rows of a table's part, on average, at most.  Parts of more than HOT times as many are split into pairs of blocks.
 PART_ROWS = 262_144
-GUESTS = 4
 HOT = 4
 MAX_BLOCKS = 4096
 #: Pairs expanded at a time in a task.
-CHUNK = 2_000_000
-MAX_INDEXES = 1000
+CHUNK = 1_000_000
+#: Indexes that are searched together; further ones are searched after them.
+INDEXES_AT_ONCE = 1000
+#: Pairs whose cosines a task computes, at most about, and bytes of their vectors.
+RERANK_PAIRS = 200_000
+RERANK_BYTES = 64 << 20
+#: Bytes of all vectors that codes are learned from, at most about; an index has four times its dimensions at least.
+SAMPLE_BYTES = 256 << 20
 
 
 def miss_rate(cosine: float, bits: int, tables: int) -> float:
@@ -121,6 +133,13 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def binary_column(rows: np.ndarray) -> pa.Array:
+    """A binary column of the rows of a matrix, without an object for each."""
+    data = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)
+    offsets = np.arange(len(rows) + 1, dtype=np.int64) * data.shape[1]
+    return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
+
+
 def fixed_width(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
     """A matrix of a binary column whose values all hold ``width`` numbers of ``kind``; no copy of each value."""
     parts = []
@@ -132,32 +151,38 @@ def fixed_width(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
     return np.concatenate(parts).view(kind).reshape(-1, width) if parts else np.zeros((0, width), kind)
 
 
+def index_table(indexes: DataFrame, key_col: str, dims_col: str, at_once: int = INDEXES_AT_ONCE) -> list[list[tuple]]:
+    """The indexes, ``(key, dimensions)``, in groups of at most ``at_once``; the widest where a key is repeated."""
+    rows = (
+        indexes.where(F.col(key_col).isNotNull() & (F.col(dims_col) > 0))
+        .groupBy(key_col).agg(F.max(dims_col).alias("d")).orderBy(key_col).collect()
+    )
+    pairs = [(r[0], int(r.d)) for r in rows]
+    return [pairs[i : i + at_once] for i in range(0, len(pairs), at_once)] or [[]]
+
+
 class Vectors:
-    """The usable vectors of all indexes, encoded.
+    """The usable vectors of a group of indexes, encoded.
 
     ``codes``: ``id, idx, copy, code``, one row for each usable vector, without its floats.
     ``rows()``: ``id, idx, vec`` with the unit vector's float32 bytes.
     """
 
-    def __init__(self, df: DataFrame, indexes: DataFrame, id_col: str, vec_col: str, key_col: str, dims_col: str,
+    def __init__(self, df: DataFrame, meta: list[tuple], id_col: str, vec_col: str, key_col: str,
                  tables: int = TABLES, min_bits: int = MIN_BITS, grow: bool = True, least: float | None = None):
-        meta = (
-            indexes.where(F.col(key_col).isNotNull() & (F.col(dims_col) > 0))
-            .groupBy(key_col).agg(F.max(dims_col).alias("d")).orderBy(key_col).limit(MAX_INDEXES + 1).collect()
-        )
-        if len(meta) > MAX_INDEXES:
-            raise ValueError(f"more than {MAX_INDEXES} indexes")
-        self.dims = [int(r.d) for r in meta]
-        self.keys = [r[0] for r in meta]
+        self.keys = [k for k, _ in meta]
+        self.dims = [d for _, d in meta]
         spark = df.sparkSession
         number = F.create_map(*[F.lit(x) for i, k in enumerate(self.keys) for x in (k, i)]) if meta else None
         source = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.col(key_col).isin(self.keys))
         idx = F.element_at(number, F.col(key_col)).cast("int") if meta else F.lit(0)
         self.source = spread_out(source.select(F.col(id_col).alias("id"), idx.alias("idx"), F.col(vec_col).alias("v")))
         self.id_type = df.schema[id_col].dataType.simpleString()
-        self.n = df.count()
-        # substrings grow with the table, so buckets do not
-        self.bits = max(min_bits, int(np.ceil(np.log2(max(2, self.n)))) - 2) if grow else min_bits
+        counted = {r[0]: r.n for r in source.groupBy(key_col).agg(F.count("*").alias("n")).collect()} if meta else {}
+        self.counts = [counted.get(k, 0) for k in self.keys]
+        largest = max([1, *self.counts])
+        # substrings grow with the largest index, so buckets do not
+        self.bits = max(min_bits, int(np.ceil(np.log2(largest / BUCKET_ROWS)))) if grow else min_bits
         # longer substrings are within one bit less often; for pairs of cosine ``least`` more tables make up for it
         self.tables = tables if least is None else tables_for(least, self.bits, tables)
         self.books = self._learn(self.tables)
@@ -167,12 +192,15 @@ class Vectors:
             self.codes = cut_lineage(self._encode())
 
     def _learn(self, tables: int) -> list[Codebook]:
-        share = min(1.0, 1.2 * SAMPLE_VECTORS / max(1, self.n))
-        limit = int(share * (2**31 - 1))
-        picked = self.source.where(F.pmod(F.xxhash64("id"), F.lit(2**31 - 1)) <= limit)
+        """Codes of each index, from a share of its own rows chosen by a hash of the id."""
         got: list[list[np.ndarray]] = [[] for _ in self.dims]
+        # as many as fit into the driver where there are many indexes
+        each = max(4 * max(self.dims, default=1), min(SAMPLE_VECTORS, SAMPLE_BYTES // max(1, sum(4 * d for d in self.dims))))
         if self.dims:
-            table = picked.limit(2 * SAMPLE_VECTORS).toArrow().sort_by("id")
+            most = 2**31 - 1
+            limits = F.array(*[F.lit(int(min(1.0, 1.2 * each / max(1, n)) * most)) for n in self.counts])
+            picked = self.source.where(F.pmod(F.xxhash64("id"), F.lit(most)) <= F.get(limits, F.col("idx")))
+            table = picked.toArrow().sort_by("id")
             idx = table["idx"].to_numpy()
             for i, d in enumerate(self.dims):
                 _, m = usable_rows(table["v"].filter(pa.array(idx == i)), d)
@@ -203,7 +231,7 @@ class Vectors:
                             batch["id"].take(pa.array(at)),
                             pa.array(np.full(len(at), i, np.int32)),
                             pa.array([blake2b(r.tobytes(), digest_size=16).digest() for r in u32], pa.binary()),
-                            pa.array([c.tobytes() for c in codes], pa.binary()),
+                            binary_column(codes),
                         ],
                         ["id", "idx", "copy", "code"],
                     )
@@ -226,7 +254,7 @@ class Vectors:
         def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i, at, unit in each(batch):
-                    vecs = pa.array([r.tobytes() for r in unit.astype(np.float32)], pa.binary())
+                    vecs = binary_column(unit.astype(np.float32))
                     yield pa.RecordBatch.from_arrays(
                         [batch["id"].take(pa.array(at)), pa.array(np.full(len(at), i, np.int32)), vecs],
                         ["id", "idx", "vec"],
@@ -269,120 +297,146 @@ def ragged(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
 def close_codes(v: Vectors, k: int, max_bits: int, part_rows: int = PART_ROWS, hot: int = HOT) -> DataFrame:
     """``idx, a, b``: pairs of points with a substring within one bit and at most ``max_bits`` different bits.
 
-    Every pair comes out once.  Tables are cut into parts by the first bits of the substring; a row is in its own
-    part and, as a guest, in those whose first bits differ by one.  Parts that hold very many rows are
-    split into blocks and searched block against block, so no task has more than a few blocks.
+    Every pair comes out once.  A table is cut into parts by the first ``cut`` bits of the substring, to be probed in
+    its other bits, and again by the last ``cut`` bits, to be probed in the first ones.  Parts that hold very
+    many rows are split into blocks and searched block against block, so no task has more than a few blocks.
     """
     points = cut_lineage(v.points(k).select("id", "idx", "code"))
-    n = points.count()
+    n = max([1, *(r.n for r in points.groupBy("idx").agg(F.count("*").alias("n")).collect())])
     tables, bits = v.tables, v.bits
-    head = next(h for h in range(bits - 7) if h == bits - 8 or (h + 1) * n / 2**h <= GUESTS * part_rows)
-    tail = bits - head
+    cut = min(bits // 2, max(0, int(np.ceil(np.log2(n / part_rows)))))
+    rest = bits - cut
+    views = 2 if cut else 1
+    size = np.dtype(word(bits)).itemsize
 
-    def parts_of(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.frombuffer(b"".join(batch["code"]), dtype=word(bits)).reshape(len(batch), tables)
-        return codes, codes.astype(np.int64) >> tail
+    def parts_of(codes: np.ndarray, idx: np.ndarray, t: int, view: int) -> np.ndarray:
+        own = codes[:, t].astype(np.int64)
+        return (((idx * tables + t) * 2 + view) << cut) + (own & ((1 << cut) - 1) if view else own >> rest)
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[tuple, int] = {}
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
         for batch in batches:
-            _, heads = parts_of(batch)
-            base = (batch["idx"].to_numpy(np.int64)[:, None] * tables + np.arange(tables)) << head
-            keys, counts = np.unique(base + heads, return_counts=True)
-            for key, c in zip(keys.tolist(), counts.tolist()):
-                total[key] = total.get(key, 0) + c
-        yield pd.DataFrame({"part": list(total), "n": list(total.values())}, dtype="int64")
-
-    sizes = points.select("idx", "code").mapInPandas(tally, "part bigint, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
-    # at most tables * n / (hot * part_rows) parts
+            codes = fixed_width(pa.chunked_array([batch["code"]]), word(bits), tables)
+            idx = batch["idx"].to_numpy().astype(np.int64)
+            for t in range(tables):
+                for view in range(views):
+                    keys, counts = np.unique(parts_of(codes, idx, t, view), return_counts=True)
+                    for key, c in zip(keys.tolist(), counts.tolist()):
+                        total[key] = total.get(key, 0) + c
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["part", "n"])
+
+    sizes = points.select("idx", "code").mapInArrow(tally, "part bigint, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
+    # at most 2 * tables * n / (hot * part_rows) parts
     blocks = {r.part: min(MAX_BLOCKS, -(-r.n // part_rows)) for r in sizes.where(F.col("n") > hot * part_rows).collect()}
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, heads = parts_of(batch)
+            if not len(batch):
+                continue
+            codes = fixed_width(pa.chunked_array([batch["code"]]), word(bits), tables)
             ids = batch["id"].to_numpy()
-            idx = batch["idx"].to_numpy(np.int64)
+            idx = batch["idx"].to_numpy().astype(np.int64)
             lot = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-            out = []
             for t in range(tables):
-                for f in [0, *(1 << b for b in range(head))]:
-                    part = ((idx * tables + t) << head) + (heads[:, t] ^ f)
-                    guest = np.full(len(batch), f > 0)
-                    big = np.array([blocks.get(p, 1) for p in part.tolist()]) if blocks else np.ones(len(part), np.int64)
-                    own = (lot % big.astype(np.uint64)).astype(np.int64)
-                    row = np.repeat(np.arange(len(batch)), big)
-                    other = np.arange(len(row)) - np.repeat(np.cumsum(big) - big, big)
-                    lo, hi = np.minimum(own[row], other), np.maximum(own[row], other)
-                    out.append((row, part[row], guest[row], lo, hi, own[row]))
-            row, part, guest, lo, hi, own = (np.concatenate([o[c] for o in out]) for c in range(6))
-            cell = (part * MAX_BLOCKS + lo) * MAX_BLOCKS + hi
-            mark = (own * 2 + guest).astype("int32")
-            yield pd.DataFrame({"cell": cell, "mark": mark, "id": ids[row], "code": batch["code"].to_numpy()[row]})
-
-    placed = points.mapInPandas(place, f"cell bigint, mark int, id {v.id_type}, code binary")
-    masks = flips(tail, 1)
+                for view in range(views):
+                    part = parts_of(codes, idx, t, view)
+                    row = np.arange(len(part))
+                    lo = hi = own = np.zeros(len(part), np.int64)
+                    if blocks:
+                        big = np.array([blocks.get(p, 1) for p in part.tolist()])
+                        row = np.repeat(row, big)
+                        other = np.arange(len(row)) - np.repeat(np.cumsum(big) - big, big)
+                        own = (lot % big.astype(np.uint64)).astype(np.int64)[row]
+                        lo, hi = np.minimum(own, other), np.maximum(own, other)
+                    cell = (part[row] * MAX_BLOCKS + lo) * MAX_BLOCKS + hi
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cell), pa.array(own.astype(np.int32)), batch["id"].take(pa.array(row)), binary_column(codes[row])],
+                        ["cell", "own", "id", "code"],
+                    )
+
+    placed = points.mapInArrow(place, f"cell bigint, own int, id {v.id_type}, code binary")
 
     def probe(g: pa.Table) -> pa.Table:
-        rest, hi = divmod(g["cell"][0].as_py(), MAX_BLOCKS)
-        part, lo = divmod(rest, MAX_BLOCKS)
-        t = (part >> head) % tables
+        part, pair = divmod(g["cell"][0].as_py(), MAX_BLOCKS**2)
+        lo, hi = divmod(pair, MAX_BLOCKS)
+        table, view = divmod(part >> cut, 2)
+        t = table % tables
         codes = fixed_width(g["code"], word(bits), tables)
-        mark = g["mark"].to_numpy()
-        ids, own, guest = g["id"].to_numpy(), mark >> 1, (mark & 1).astype(bool)
-        suffix = codes[:, t].astype(np.int64) & ((1 << tail) - 1)
-        order = np.lexsort((ids, suffix, guest))
-        homes = int((~guest).sum())
-        codes, ids, own, suffix = codes[order], ids[order], own[order], suffix[order]
-        first = np.searchsorted(suffix[:homes], np.arange((1 << tail) + 1))
+        ids, own = g["id"].to_numpy(), g["own"].to_numpy()
+        value = codes[:, t].astype(np.int64)
+        value = value >> cut if view else value & ((1 << rest) - 1)
+        order = np.lexsort((ids, value))
+        codes, ids, own, value = codes[order], ids[order], own[order], value[order]
+        wide = np.zeros((len(codes), -(-tables * size // 8) * 8), np.uint8)
+        wide[:, : tables * size] = codes.view(np.uint8).reshape(len(codes), -1)
+        wide = wide.view(np.uint64)
+        first = np.searchsorted(value, np.arange((1 << rest) + 1))
         found_a, found_b = [], []
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
             if lo != hi:
                 ok = own[i] != own[j]
                 i, j = i[ok], j[ok]
-            far = np.bitwise_count(codes[i] ^ codes[j])
-            ok = far.sum(axis=1) <= max_bits
-            if t:
-                ok &= (far[:, :t] > 1).all(axis=1)  # else an earlier table has the pair
-            found_a.append(np.minimum(ids[i[ok]], ids[j[ok]]))
-            found_b.append(np.maximum(ids[i[ok]], ids[j[ok]]))
-
-        here = np.arange(homes)
-        for i, j in ragged(here + 1, first[suffix[:homes] + 1]):
-            keep(i, j)
-        for f in masks[1:].tolist():
-            up = here[(suffix[:homes] & f) == 0]
-            for i, j in ragged(first[suffix[up] + f], first[suffix[up] + f + 1]):
+            ok = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int32) <= max_bits
+            i, j = i[ok], j[ok]
+            if t:  # else an earlier table has the pair
+                ok = (np.bitwise_count(codes[i, :t] ^ codes[j, :t]) > 1).all(axis=1)
+                i, j = i[ok], j[ok]
+            found_a.append(np.minimum(ids[i], ids[j]))
+            found_b.append(np.maximum(ids[i], ids[j]))
+
+        here = np.arange(len(ids))
+        if not view:
+            for i, j in ragged(here + 1, first[value + 1]):
+                keep(i, j)
+        for bit in range(rest - cut if view else 0, rest):
+            up = here[(value >> bit & 1) == 0]
+            to = value[up] + (1 << bit)
+            for i, j in ragged(first[to], first[to + 1]):
                 keep(up[i], j)
-        visitors = np.arange(homes, len(ids))
-        for i, j in ragged(first[suffix[homes:]], first[suffix[homes:] + 1]):
-            ok = ids[visitors[i]] < ids[j]  # the other is a guest in this one's part too
-            keep(visitors[i[ok]], j[ok])
         a = np.concatenate(found_a) if found_a else ids[:0]
         b = np.concatenate(found_b) if found_b else ids[:0]
-        idx = np.full(len(a), (part >> head) // tables, "int32")
+        idx = np.full(len(a), table // tables, "int32")
         return pa.table({"idx": idx, "a": a, "b": b}).filter(pa.array(a != b))
 
     return placed.groupBy("cell").applyInArrow(probe, f"idx int, a {v.id_type}, b {v.id_type}")
 
 
-def reranked(v: Vectors, pairs: DataFrame) -> DataFrame:
-    """``idx, a, b, cosine`` of the pairs, from the floats.  The vectors are shuffled once."""
-    sided = pairs.select("idx", "a", "b", F.explode(F.array("a", "b")).alias("id"))
-    both = (
-        sided.join(v.rows(), ["idx", "id"])
-        .groupBy("idx", "a", "b")
-        .agg(F.min_by("vec", "id").alias("x"), F.max_by("vec", "id").alias("y"))
+def reranked(v: Vectors, pairs: DataFrame, per_task: int = RERANK_PAIRS) -> DataFrame:
+    """``idx, a, b, cosine`` of the pairs, from the floats.
+
+    Ids are spread over blocks, and pairs over pairs of blocks.  A vector is sent once to each pair of blocks it is
+    needed in, however many pairs it has there; so neither what is sent of a vector nor its rows in the join
+    grow with its pairs beyond the number of blocks.
+    """
+    pairs = cut_lineage(pairs)
+    per_task = max(1, min(per_task, RERANK_BYTES // max([8, *(8 * d for d in v.dims)])))
+    blocks = max(6, int(np.ceil(np.sqrt(pairs.count() / per_task))))
+
+    def block(name: str):
+        return F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
+
+    celled = pairs.select("idx", "a", "b", block("a").alias("x"), block("b").alias("y"))
+    # partitioned by id before duplicates are dropped, so that the join needs no further shuffle
+    needed = celled.select("idx", "x", "y", F.explode(F.array("a", "b")).alias("id")).repartition("idx", "id").dropDuplicates()
+    vectors = needed.join(v.rows(), ["idx", "id"]).select(
+        F.col("idx").alias("i"), F.col("x").alias("u"), F.col("y").alias("w"), "id", "vec"
     )
+    dims = v.dims
 
-    @F.pandas_udf("double")
-    def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(
-            [float(np.dot(np.frombuffer(p, np.float32).astype(np.float64), np.frombuffer(q, np.float32))) for p, q in zip(x, y)],
-            dtype="float64",
-        )
+    def cosines(got: pa.Table, floats: pa.Table) -> pa.Table:
+        if not len(got):
+            return got.select(["idx", "a", "b"]).append_column("cosine", pa.array([], pa.float64()))
+        floats = floats.sort_by("id")
+        ids = floats["id"].to_numpy()
+        unit = fixed_width(floats["vec"], np.float32, dims[got["idx"][0].as_py()])
+        i, j = (np.searchsorted(ids, got[c].to_numpy()) for c in ("a", "b"))
+        return got.select(["idx", "a", "b"]).append_column("cosine", pa.array(row_products(unit, i, unit, j)))
 
-    return both.select("idx", "a", "b", cosine("x", "y").alias("cosine"))
+    return (
+        celled.groupBy("idx", "x", "y").cogroup(vectors.groupBy("i", "u", "w"))
+        .applyInArrow(cosines, f"idx int, a {v.id_type}, b {v.id_type}, cosine double")
+    )
 
 
 def bits_for(cosine: float, bits: int, slack: float = 3.0) -> int:
@@ -407,7 +461,11 @@ def mutual_neighbours(
     not finite or all zero, and those of unknown indexes or null ids, have no pairs.  Ties go to the lower
     id.  Ids must be unique.  Empty tables give no pairs; other columns are ignored.
     """
-    v = Vectors(df, indexes, id_col, vec_col, key_col, dims_col, least=least)
+    found = [_mutual(Vectors(df, group, id_col, vec_col, key_col, least=least), k, least, id_col) for group in index_table(indexes, key_col, dims_col)]
+    return reduce(DataFrame.union, found)
+
+
+def _mutual(v: Vectors, k: int, least: float, id_col: str) -> DataFrame:
     near = reranked(v, close_codes(v, k, bits_for(least, v.tables * v.bits))).where(F.col("cosine") >= least)
     sides = F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("q")), F.struct(F.col("b").alias("p"), F.col("a").alias("q"))))
     w = Window.partitionBy("idx", "p").orderBy(F.col("cosine").desc(), "q")
@@ -538,7 +596,13 @@ def similar_to(
     searches one block of queries in one block of the index, and only its best go on.  Unusable vectors
     neither ask nor answer; ties go to the lower id; exact copies are each other's most similar.
     """
-    v = Vectors(df, indexes, id_col, vec_col, key_col, dims_col, SEARCH_TABLES, SEARCH_BITS, grow=False)
+    return reduce(DataFrame.union, [
+        _search(Vectors(df, group, id_col, vec_col, key_col, SEARCH_TABLES, SEARCH_BITS, grow=False), every, k, radius, id_col)
+        for group in index_table(indexes, key_col, dims_col)
+    ])
+
+
+def _search(v: Vectors, every: int, k: int, radius: int, id_col: str) -> DataFrame:
     rows = v.rows()
     counts = {r.idx: (r.n, r.q) for r in v.codes.groupBy("idx").agg(
         F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).collect()}

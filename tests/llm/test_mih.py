@@ -76,12 +76,12 @@ def test_extra_columns_with_clashing_names(spark):
     assert mih.mutual_neighbours(df, meta).count() > 0
 
 
-@pytest.mark.parametrize("part_rows, hot", [(64, 100), (64, 1), (10_000, 4)])
-def test_parts_guests_and_blocks_give_the_same_pairs(spark, part_rows, hot):
+@pytest.mark.parametrize("part_rows, hot", [(64, 100), (64, 1), (300, 1), (10_000, 4)])
+def test_parts_and_blocks_give_the_same_pairs(spark, part_rows, hot):
     x = clustered(700, 32, 5)
     x[:250] = x[0] + 0.01 * np.random.default_rng(3).standard_normal((250, 32)).astype(np.float32)  # a third is nearly the same
     df = spark.createDataFrame([(i, "a", [float(y) for y in v]) for i, v in enumerate(x)], SCHEMA)
-    v = mih.Vectors(df, metadata(spark, ("a", 32)), "vec_id", "embeddings", "model_fingerprint", "dimensions", min_bits=12, grow=False)
+    v = mih.Vectors(df, [("a", 32)], "vec_id", "embeddings", "model_fingerprint", min_bits=12, grow=False)
     got = mih.close_codes(v, 10, 40, part_rows, hot).collect()
     pairs = {(r.a, r.b) for r in got}
     assert len(pairs) == len(got)  # every pair once
@@ -122,8 +122,8 @@ def test_longer_substrings_get_more_tables(spark):
         assert mih.miss_rate(0.92, bits, mih.tables_for(0.92, bits)) <= mih.miss_rate(0.92, 16, mih.TABLES)
     assert mih.tables_for(0.92, 16) == mih.TABLES and mih.tables_for(0.92, 19) > mih.TABLES
     df = spark.createDataFrame([(i, "a", [float(y) for y in x]) for i, x in enumerate(clustered(300, 32, 3))], SCHEMA)
-    names = ("vec_id", "embeddings", "model_fingerprint", "dimensions")
-    v = mih.Vectors(df, metadata(spark, ("a", 32)), *names, min_bits=19, grow=False, least=0.92)  # as with 2 million rows
+    names = ("vec_id", "embeddings", "model_fingerprint")
+    v = mih.Vectors(df, [("a", 32)], *names, min_bits=19, grow=False, least=0.92)  # as with 2 million rows
     assert v.tables == mih.tables_for(0.92, 19)
     codes = {r.id: np.frombuffer(r.code, np.uint32) for r in v.points(10).collect()}
     assert {len(c) for c in codes.values()} == {v.tables}
@@ -135,6 +135,42 @@ def test_longer_substrings_get_more_tables(spark):
     assert pairs == {(ids[i], ids[j]) for i, j in zip(*np.nonzero(near)) if i < j}
 
 
+@pytest.mark.parametrize("bits", [16, 20, 24, 28])
+@pytest.mark.parametrize("cosine", [0.92, 0.93, 0.94])
+def test_recall_holds_as_substrings_grow(bits, cosine):
+    rng = np.random.default_rng(8)
+    x = mih.unit_rows(clustered(6000, 64, 6, spread=0.8)).astype(np.float32)
+    away = rng.standard_normal(x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    y = (cosine * x + math.sqrt(1 - cosine**2) * mih.unit_rows(away)).astype(np.float32)
+    tables = mih.tables_for(0.92, bits)
+    book = mih.learn_codes(x[:4000], 64, tables, bits)
+    far = np.bitwise_count(book.encode(x) ^ book.encode(y))
+    found = (far <= 1).any(axis=1) & (far.sum(axis=1) <= mih.bits_for(0.92, tables * bits))
+    assert found.mean() >= 0.98
+
+
+def test_a_small_index_beside_a_large_one_learns_its_own_codes(spark, monkeypatch):
+    monkeypatch.setattr(mih, "SAMPLE_VECTORS", 400)
+    rows = [(i, "large", v) for i, v in enumerate(clustered(4000, 32, 1))] + [(9000 + i, "small", v) for i, v in enumerate(clustered(300, 32, 2))]
+    df = spark.createDataFrame([(i, f, [float(x) for x in v]) for i, f, v in rows], SCHEMA)
+    v = mih.Vectors(df, [("large", 32), ("small", 32)], "vec_id", "embeddings", "model_fingerprint")
+    own = mih.unit_rows(np.array([x for _, f, x in rows if f == "small"])).mean(axis=0)
+    assert v.counts == [4000, 300] and np.abs(v.books[1].mean - own).max() < 1e-5
+
+
+def test_indexes_in_groups_and_blocks_of_pairs(spark, monkeypatch):
+    rows = [(i, "abc"[i % 3], v) for i, v in enumerate(clustered(600, 32, 4, 0.07))]
+    meta = metadata(spark, ("a", 32), ("b", 30), ("c", 24), ("a", 32))
+    want = found(spark, rows, meta)
+    monkeypatch.setattr(mih, "INDEXES_AT_ONCE", 2)
+    monkeypatch.setattr(mih, "RERANK_PAIRS", 3)
+    monkeypatch.setattr(mih.index_table, "__defaults__", (2,))
+    monkeypatch.setattr(mih.reranked, "__defaults__", (3,))
+    assert found(spark, rows, meta) == want and len(want) > 50
+    assert len(mih.index_table(meta, "model_fingerprint", "dimensions")) == 2
+
+
 def test_search_gives_ties_to_the_lower_id():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((9400, 32))
