@@ -14,19 +14,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.session import cut_lineage
 
-MAX_CATEGORIES = 2000  # the dual's matrix is categories x categories
+#: The dual's matrix is categories x categories; with more categories only its diagonal is used.
+FULL_MATRIX = 2000
+#: The largest difference between a category's expected number and its goal.
+TOLERANCE = 0.01
 BLOCK_ROWS = 50_000
 MOMENT_ROWS = 200_000  # groups of one task of a Newton iteration
 SEED = 42
 
 REPORT = (
     "seed_name string, weight bigint, entities bigint, target bigint, sampled bigint, "
-    "target_share double, sampled_share double, short boolean, missed boolean"
+    "target_share double, sampled_share double, calibrated double, residual double, rounds int, short boolean, missed boolean"
 )
 
 
@@ -44,13 +48,11 @@ class Categories:
 
 def read_categories(seeds: DataFrame) -> Categories:
     """The category table; rows of one name are one category with their weights added, null names are left out."""
-    rows = seeds.where("seed_name is not null").limit(10 * MAX_CATEGORIES + 1).collect()
+    rows = seeds.where("seed_name is not null").collect()  # as small as the list of categories
     weights: dict[str, int] = {}
     for r in rows:
         weights[r.seed_name] = weights.get(r.seed_name, 0) + max(0, r.weight or 0)
     names = sorted(weights)
-    if len(names) > MAX_CATEGORIES or len(rows) > 10 * MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories")
     at = {n: k for k, n in enumerate(names)}
     pairs = sorted({(r.instance_of_qid.strip(), at[r.seed_name]) for r in rows if r.instance_of_qid is not None})
     frame = seeds.sparkSession.createDataFrame(pairs, "class string, k int")
@@ -71,7 +73,7 @@ def classed_entities(records: DataFrame, categories: Categories) -> DataFrame:
         .select("qid", trimmed(F.col("class")).alias("class"))
     )
     return (
-        rows.join(F.broadcast(categories.rows), "class")  # at most 10 * MAX_CATEGORIES rows
+        rows.join(categories.rows, "class")  # broadcast as far as Spark's threshold for sizes goes
         .groupBy("qid")
         .agg(F.array_sort(F.collect_set("k")).alias("groups"))
     )
@@ -82,6 +84,7 @@ class Calibration:
 
     def __init__(self, groups: DataFrame, weights: list[int], floor: int, fraction: int, iterations: int = 40):
         self.k = k = len(weights)
+        self.full = k <= FULL_MATRIX
         self.groups = groups  # groups array<int>, n bigint
         self.forced: list[int] = []
         base = self._moments(np.zeros(k), 1.0)
@@ -93,7 +96,7 @@ class Calibration:
         self.floors = np.minimum(floor, self.entities)
         self.multipliers = np.zeros(k)
         self.base = self.size / self.population if self.population else 0.0
-        self.rounds = 0
+        self.rounds, self.residual, self.expected = 0, 0.0, np.zeros(k)
         if not self.size:
             return
         share = np.array([self.size * w / total for w in weights])
@@ -113,13 +116,9 @@ class Calibration:
 
         m = self._moments(lam, self.base)
         r = residual(m, scale)
-        while np.abs(r).max() > 0.01 and self.rounds < iterations:
+        while np.abs(r).max() > TOLERANCE and self.rounds < (iterations if self.full else 10 * iterations):
             self.rounds += 1
-            jac = np.zeros((len(free) + 1, len(free) + 1))
-            jac[:-1, :-1] = m["cross"][np.ix_(free, free)]
-            jac[-1, :-1] = m["slope"][free]
-            jac[:-1, -1] = np.where(at_floor[free], 0.0, -share[free])
-            step = np.linalg.lstsq(jac, -r, rcond=1e-10)[0]
+            step = self._step(m, r, free, np.where(at_floor[free], 0.0, share[free]))
             t = min(1.0, 2.0 / max(1e-12, np.abs(step[:-1]).max()))
             for _ in range(8):
                 trial = lam.copy()
@@ -132,27 +131,52 @@ class Calibration:
             else:
                 break
             lam, scale, m, r = trial, scale + t * step[-1], m2, r2
-        self.multipliers = lam
+        self.multipliers, self.expected, self.residual = lam, m["total"], float(np.abs(r).max())
+
+    def _step(self, m: dict, r: np.ndarray, free: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """The Newton step of the free multipliers and of the scale of the goals ``share``."""
+        if self.full:
+            jac = np.zeros((len(free) + 1, len(free) + 1))
+            jac[:-1, :-1] = m["cross"][np.ix_(free, free)]
+            jac[-1, :-1] = m["slope"][free]
+            jac[:-1, -1] = -share
+            return np.linalg.lstsq(jac, -r, rcond=1e-10)[0]
+        # with the diagonal alone the scale follows from the sum of the equations
+        scale = (r[:-1].sum() - r[-1]) / max(1e-12, share.sum())
+        return np.append((share * scale - r[:-1]) / np.maximum(1e-12, m["slope"][free]), scale)
 
     def _moments(self, lam: np.ndarray, base: float) -> dict:
         """Sizes, category totals and the dual's matrix, summed in the partitions of the group table."""
-        k, forced = self.k, set(self.forced)
+        k, full = self.k, self.full
+        forced = np.zeros(k, dtype=bool)
+        forced[self.forced] = True
 
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            size, total, slope, cross = 0.0, np.zeros(k), np.zeros(k), np.zeros((k, k))
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            size, total, slope, cross = 0.0, np.zeros(k), np.zeros(k), np.zeros(k * k if full else 0)
             for batch in batches:
-                for members, n in zip(batch["groups"], batch["n"]):
-                    p = 1.0 if forced.intersection(members) else min(1.0, base * np.exp(lam[members].sum()))
-                    size += n * p
-                    total[members] += n * p
-                    if p < 1.0:
-                        slope[members] += n * p
-                        cross[np.ix_(members, members)] += n * p
-            yield pd.DataFrame({"v": [np.concatenate(([size], total, slope, cross.ravel()))]})
-
-        rows = self.groups.mapInPandas(partial, "v array<double>").collect()  # one for each task
-        v = np.sum([r.v for r in rows], axis=0) if rows else np.zeros(1 + 2 * k + k * k)
-        return {"size": v[0], "total": v[1 : 1 + k], "slope": v[1 + k : 1 + 2 * k], "cross": v[1 + 2 * k :].reshape(k, k)}
+                lists, n = batch["groups"], batch["n"].to_numpy()
+                offsets = lists.offsets.to_numpy()
+                flat = lists.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
+                lengths = np.diff(offsets)
+                for length in np.unique(lengths[lengths > 0]).tolist():
+                    at = np.flatnonzero(lengths == length)
+                    members = flat[(offsets[at] - offsets[0])[:, None] + np.arange(length)]
+                    p = np.minimum(1.0, base * np.exp(np.minimum(700.0, lam[members].sum(axis=1))))
+                    p[forced[members].any(axis=1)] = 1.0
+                    mass = n[at] * p
+                    inner = np.where(p < 1.0, mass, 0.0)
+                    size += mass.sum()
+                    for a in range(length):
+                        total += np.bincount(members[:, a], mass, k)
+                        slope += np.bincount(members[:, a], inner, k)
+                        for b in range(length if full else 0):
+                            np.add.at(cross, members[:, a] * k + members[:, b], inner)
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(([size], total, slope, cross)).tolist()], pa.list_(pa.float64()))], ["v"])
+
+        rows = self.groups.mapInArrow(partial, "v array<double>").collect()  # one for each task
+        v = np.sum([r.v for r in rows], axis=0) if rows else np.zeros(1 + 2 * k + (k * k if full else 0))
+        out = {"size": v[0], "total": v[1 : 1 + k], "slope": v[1 + k : 1 + 2 * k]}
+        return out | ({"cross": v[1 + 2 * k :].reshape(k, k)} if full else {})
 
     def probability(self, groups: str):
         """The inclusion probability as a column expression of the array column ``groups``."""
@@ -169,7 +193,9 @@ def pivotal(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Sequential pivotal sampling: which units are taken, with probabilities ``p``.
 
     Neighbours duel until one of them is decided, so totals of neighbouring units stay within
-    one of their expectation.
+    one of their expectation.  Duels of units of equal probability in random order draw every subset of the
+    same size alike; so in a block of such units the first ones of a random order are taken, and
+    only what each block leaves undecided duels here.
     """
     p = p.astype(float)
     taken = p >= 1 - 1e-9
@@ -210,12 +236,14 @@ class Sample:
         self.calibration = cal = Calibration(groups.coalesce(tasks), categories.weights, floor, fraction)
 
         # blocks: a group, salted where it is large; in a block all have the same probability
-        sized = groups.withColumn("p", cal.probability("groups")).withColumn(
-            "salts", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-        )
-        units = entities.join(sized, "groups").select(
-            "qid", "groups", "p", F.pmod(F.xxhash64("qid", F.lit(seed)), "salts").alias("salt")
-        )
+        large = groups.where(F.col("n") > BLOCK_ROWS).select("groups", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("salts"))
+        units = (
+            entities.join(F.broadcast(large), "groups", "left")  # at most entities / BLOCK_ROWS rows
+            .select(
+                "qid", "groups", cal.probability("groups").alias("p"),
+                F.pmod(F.xxhash64("qid", F.lit(seed)), F.coalesce("salts", F.lit(1))).alias("salt"),
+            )
+        )
         order = Window.partitionBy("groups", "salt").orderBy(F.xxhash64("qid", F.lit(seed + 1)), "qid")
         ranked = units.withColumn("place", F.row_number().over(order))
         shares = units.groupBy("groups", "salt").agg((F.count("*") * F.max("p") + 1e-7).alias("due"))
@@ -245,6 +273,7 @@ class Sample:
         )
         total_weight = max(1, sum(categories.weights))
         size = drawn.where("taken").count()
+        forced = set(cal.forced)
         rows = [
             (
                 categories.names[i],
@@ -254,6 +283,9 @@ class Sample:
                 int(counts[i]),
                 categories.weights[i] / total_weight,
                 float(counts[i]) / size if size else None,
+                float(cal.entities[i] if i in forced else cal.expected[i]),
+                cal.residual,
+                cal.rounds,
                 bool(cal.entities[i] < cal.targets[i]),
                 bool(counts[i] < cal.targets[i]),
             )
@@ -270,28 +302,38 @@ class Sample:
         return out
 
     def _fix_floors(self, drawn: DataFrame, counts: np.ndarray, floors: np.ndarray, short: np.ndarray, seed: int):
-        """Swap a few entities so that every category has its floor and the size stays."""
-        add: set[str] = set()
+        """Swap a few entities so that every category has its floor and the size stays; two passes over the draw."""
         counts = counts.copy()
         lot = F.xxhash64("qid", F.lit(seed + 2))
-        for i in short.tolist():
-            missing = int(floors[i] - counts[i])
-            if missing <= 0:
-                continue
-            pool = drawn.where(~F.col("taken") & F.array_contains("groups", i)).orderBy(lot, "qid").limit(missing + len(add))
-            for r in pool.collect():
-                if counts[i] < floors[i] and r.qid not in add:
-                    add.add(r.qid)
-                    counts[r.groups] += 1
+        missing = {int(i): int(floors[i] - counts[i]) for i in short}
+        by_lot = Window.partitionBy("k").orderBy(lot, "qid")
+        wanted = F.element_at(F.create_map(*[F.lit(x) for kv in missing.items() for x in kv]), F.col("k"))
+        # an entity taken for another category lessens what is missing, so as many as are missing are enough
+        pool = (
+            drawn.where(~F.col("taken")).select("qid", "groups", F.explode("groups").alias("k"))
+            .where(F.col("k").isin(list(missing))).withColumn("nth", F.row_number().over(by_lot)).where(F.col("nth") <= wanted)
+        )
+        add: set[str] = set()
+        for r in sorted(pool.collect(), key=lambda r: (r.k, r.nth)):  # at most floor x categories rows
+            if counts[r.k] < floors[r.k] and r.qid not in add:
+                add.add(r.qid)
+                counts[r.groups] += 1
         drop: set[str] = set()
         spare = counts - np.maximum(self.calibration.targets, floors)
-        for i in np.argsort(-spare).tolist():
-            want = min(len(add) - len(drop), int(counts[i] - floors[i]))
-            if want > 0:
-                only = drawn.where("taken").where(F.col("groups") == F.array(F.lit(i))).orderBy(lot, "qid").limit(want)
-                for r in only.collect():
+        givers: list[int] = []
+        for i in np.argsort(-spare, kind="stable").tolist():
+            if sum(counts[g] - floors[g] for g in givers) < 2 * len(add) and counts[i] > floors[i]:
+                givers.append(i)
+        if add and givers:
+            only = (
+                drawn.where("taken").where(F.size("groups") == 1).select("qid", F.get("groups", F.lit(0)).alias("k"))
+                .where(F.col("k").isin(givers)).withColumn("nth", F.row_number().over(by_lot)).where(F.col("nth") <= len(add))
+            )
+            rank = {g: n for n, g in enumerate(givers)}
+            for r in sorted(only.collect(), key=lambda r: (rank[r.k], r.nth)):
+                if len(drop) < len(add) and counts[r.k] > floors[r.k]:
                     drop.add(r.qid)
-                    counts[i] -= 1
+                    counts[r.k] -= 1
         # at most floor x categories ids
         return drawn.withColumn(
             "taken", (F.col("taken") | F.col("qid").isin(sorted(add))) & ~F.col("qid").isin(sorted(drop))

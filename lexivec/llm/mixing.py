@@ -19,11 +19,11 @@ from lexivec.session import cut_lineage, spread_out
 BLOCK_TOKENS = 1024
 SHARD_TOKENS = 4_000_000
 MAX_SHARDS = 65_536  # beyond it shards grow, as sorting spills; their sizes are collected
-MAX_SOURCES = 10_000
+FEW_SOURCES = 10_000  # listed by name in the filter and broadcast; more are joined
 
-REPORT = (
+PLAN = (
     "source string, target_weight double, max_uses int, target_tokens double, available_tokens bigint, "
-    "capacity_tokens bigint, blocks bigint, mixed_tokens bigint, actual_share double, short boolean"
+    "capacity_tokens bigint, blocks bigint, planned_tokens bigint"
 )
 
 
@@ -92,14 +92,16 @@ class Mixture:
                 F.coalesce(F.max("budget_tokens"), F.lit(0)).alias("b"),
             )
             .orderBy("source")
-            .limit(MAX_SOURCES + 1)
             .collect()
         )
-        if len(listed) > MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} target sources")
         names = [r.source for r in listed]
+        self.few = len(names) <= FEW_SOURCES
+        if self.few:
+            own = docs.where(F.col("source").isin(names))
+        else:
+            own = docs.join(targets.where(F.col("source").isNotNull()).select("source").distinct(), "source", "left_semi")
         self.sized = cut_lineage(
-            spread_out(docs.where(F.col("source").isin(names)).select("doc_id", "source", "text")).select(
+            spread_out(own.select("doc_id", "source", "text")).select(
                 "doc_id", "source", token_count(F.col("text"), vocabulary).alias("n_tokens")
             )
         )
@@ -110,12 +112,10 @@ class Mixture:
         weights = [max(0.0, r.w) for r in listed]
         self.block, self.seed = block, seed
         self.blocks, self.quota = apportion(budget, block, weights, capacity)
-        mixed = sum(self.quota)
-        rows = [
-            (r.source, float(r.w), int(r.u), r.w * budget, t, c, b, q, q / mixed if mixed else None, c < r.w * budget)
+        self.plan = [
+            (r.source, float(r.w), int(r.u), float(r.w * budget), t, c, b, q)
             for r, t, c, b, q in zip(listed, tokens, capacity, self.blocks, self.quota)
         ]
-        self.report = spark.createDataFrame(rows, REPORT)
         shard = max(shard_tokens, sum(tokens) // MAX_SHARDS)
         self.listed = {
             r.source: (int(r.u), q, max(1, -(-t // shard)))
@@ -123,6 +123,26 @@ class Mixture:
             if q > 0
         }
 
+    @property
+    def report(self) -> DataFrame:
+        """What each target source gives: planned blocks, and tokens and share of the mixture that was drawn.
+
+        ``missed`` sources stay under their target, ``short`` ones because they have not enough.
+        """
+        plan = self.sized.sparkSession.createDataFrame(self.plan, PLAN)
+        drawn = self.rows.groupBy("source").agg(F.sum("n_tokens").alias("drawn"))
+        total = drawn.agg(F.sum("drawn").alias("whole"))
+        return (
+            plan.join(drawn, "source", "left").crossJoin(F.broadcast(total))  # one row
+            .select(
+                "source", "target_weight", "max_uses", "target_tokens", "available_tokens", "capacity_tokens", "blocks",
+                F.coalesce("drawn", F.lit(0)).alias("mixed_tokens"),
+                (F.coalesce("drawn", F.lit(0)) / F.col("whole")).alias("actual_share"),
+                (F.col("capacity_tokens") < F.col("target_tokens")).alias("short"),
+                (F.coalesce("drawn", F.lit(0)) < F.col("target_tokens")).alias("missed"),
+            )
+        )
+
     @property
     def rows(self) -> DataFrame:
         """``source, doc_id, use_no, n_tokens``: each use of each text, with the tokens taken of it.
@@ -134,7 +154,8 @@ class Mixture:
         plan = spark.createDataFrame(
             [(s, *v) for s, v in self.listed.items()], "source string, uses int, quota bigint, shards int"
         )
-        small = self.sized.where("n_tokens > 0").join(F.broadcast(plan), "source")  # <= MAX_SOURCES rows
+        # at most FEW_SOURCES rows are broadcast
+        small = self.sized.where("n_tokens > 0").join(F.broadcast(plan) if self.few else plan, "source")
         placed = small.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(self.seed)), "shards").cast("int"))
         shards = placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).collect()
         quotas = []
@@ -148,10 +169,13 @@ class Mixture:
         shard_plan = spark.createDataFrame(quotas, "source string, shard int, shard_quota bigint, shard_tokens bigint")
         w = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(self.seed + 1)), "doc_id", "n_tokens")
         run = (
-            placed.join(F.broadcast(shard_plan), ["source", "shard"])  # <= MAX_SHARDS + MAX_SOURCES rows
+            placed.join(F.broadcast(shard_plan) if self.few else shard_plan, ["source", "shard"])  # <= MAX_SHARDS + FEW_SOURCES rows
             .withColumn("before", F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)))
             .withColumn("before", F.coalesce("before", F.lit(0)))
-            .withColumn("use_no", F.explode(F.expr("sequence(1, uses)")))
+            # no more uses than the shard's quota asks for
+            .withColumn("needed", F.expr("least(uses, int(ceil(shard_quota / shard_tokens)))"))
+            .where("needed > 0")
+            .withColumn("use_no", F.explode(F.expr("sequence(1, needed)")))
             .withColumn("start", F.expr("(use_no - 1) * shard_tokens + before"))
             .where("start < shard_quota")
         )

@@ -50,7 +50,8 @@ def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mixture(spark, d).report.where("short").select("source")
+    # the sources that the drawn mixture missed, of which those are kept that have too little for their target
+    return _mixture(spark, d).report.where("missed").where("short").select("source")
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +79,8 @@ def _sample(spark: SparkSession, d: str) -> calibrate.Sample:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _sample(spark, d).report.where("short").select("seed_name")
+    # the categories that the drawn sample missed, of which those are kept that are too small for their target
+    return _sample(spark, d).report.where("missed").where("short").select("seed_name")
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:

@@ -58,6 +58,29 @@ def test_hot_group_is_salted(spark, monkeypatch):
     assert s.rows.count() == 180 and abs(r["a"].sampled - 90) <= 1
 
 
+def test_many_categories_use_the_diagonal_alone(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(f"Q{i}", "x", None, [f"C{j}" for j in rng.choice(8, 1 + (i % 4 == 0), replace=False)]) for i in range(4000)]
+    seeds = [(f"c{j}", f"C{j}", 10 + 5 * j) for j in range(8)]
+    whole, a = draw(spark, rows, seeds)
+    monkeypatch.setattr(calibrate, "FULL_MATRIX", 2)
+    s, b = draw(spark, rows, seeds)
+    for r in (a, b):
+        assert r["c0"].residual <= calibrate.TOLERANCE and r["c0"].rounds > 0
+    assert s.rows.count() == whole.rows.count() == 800
+    assert all(abs(a[n].calibrated - b[n].calibrated) < 0.5 and abs(b[n].sampled - b[n].calibrated) <= 12 for n in a)
+
+
+def test_floors_are_fixed_in_two_passes(spark):
+    rows = [(f"Q{i}", "x", None, ["A"]) for i in range(2000)] + [(f"R{i}", "x", None, ["B", "C"]) for i in range(40)] + [(f"S{i}", "x", None, ["C"]) for i in range(20)]
+    s = calibrate.calibrated_sample(spark.createDataFrame(rows, RECORDS), spark.createDataFrame([("a", "A", 100), ("b", "B", 1), ("c", "C", 1)], SEEDS))
+    drawn = spark.createDataFrame([(r[0], [0] if r[0][0] == "Q" else [1, 2] if r[0][0] == "R" else [2], r[0][0] == "Q" and int(r[0][1:]) < 412) for r in rows], "qid string, groups array<int>, taken boolean")
+    fixed, counts = s._fix_floors(drawn, np.array([412, 0, 0]), np.array([5, 5, 7]), np.array([1, 2]), 42)
+    taken = fixed.where("taken").collect()
+    assert len(taken) == 412 and counts.tolist() == [sum(i in t.groups for t in taken) for i in range(3)]
+    assert counts[1] >= 5 and counts[2] >= 7
+
+
 def test_same_seed_same_sample(spark):
     rows = [(f"Q{i}", "x", None, ["A"] if i % 3 else ["B"]) for i in range(300)]
     draws = [{t.qid for t in draw(spark, rows, [("a", "A", 1), ("b", "B", 2)])[0].rows.collect()} for _ in range(2)]

@@ -138,3 +138,21 @@ def test_mixture_limits(spark, budget):
     empty = mixing.mix(df.limit(0), targets(spark, [("a", 1.0, 2)], 100))
     assert empty.rows.count() == 0 and empty.report.first().actual_share is None
     assert mixing.mix(df, targets(spark, [], 5)).report.count() == 0
+
+
+def test_many_sources_and_few_shards_give_the_same_mixture(spark, monkeypatch):
+    rows = [(i, "abc"[i % 3], "tree " * (1 + i % 20)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    want = targets(spark, [("a", 0.5, 4), ("b", 0.3, 2), ("zz", 0.2, 1)], 3000)
+
+    def drawn(**k):
+        plan = mixing.mix(df, want, block=16, **k)
+        return sorted(map(tuple, plan.rows.collect())), {r.source: r.mixed_tokens for r in plan.report.collect()}
+
+    first = drawn()
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 1)
+    assert drawn() == first and sum(first[1].values()) == 3000
+    assert max(u for s, _, u, _ in first[0] if s == "a") <= 4
+    monkeypatch.setattr(mixing, "MAX_SHARDS", 2)
+    rows, report = drawn(shard_tokens=10)
+    assert report == first[1] and len({(s, i, u) for s, i, u, _ in rows}) == len(rows)
