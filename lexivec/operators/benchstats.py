@@ -2,16 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TARGETS = (4096, 8192, 16384, 24576, 32768)
 NOT_RUN = "NOT_RUN_AFTER_OOM"
 SHAPE = ("items_per_request", "dimensions", "requests", "per_worker_concurrency")
 
-#: The curated benchmark cases: id, workers, concurrency, items per request, dimensions, requests are parameters of a run.
+CASE_COLUMNS = ("case_id", "worker_count", "concurrency", "items_per_request", "dimensions", "requests")
 CASE_SCHEMA = "case_id string, worker_count int, concurrency int, items_per_request int, dimensions int, requests int"
 
+# The curated benchmark cases, in the order of CASE_COLUMNS.
+DEFAULT_MATRIX = (
+    ("s1-c1-i1-d1024", 1, 1, 1, 1024, 16),
+    ("s1-c2-i8-d1024", 1, 2, 8, 1024, 16),
+    ("s1-c4-i16-d1024", 1, 4, 16, 1024, 16),
+    ("s1-c2-i8-d4096", 1, 2, 8, 4096, 12),
+    ("s1-c4-i4-d4096", 1, 4, 4, 4096, 12),
+    ("d2-c2-i1-d1024", 2, 2, 1, 1024, 16),
+    ("d2-c4-i8-d1024", 2, 4, 8, 1024, 16),
+    ("d2-c8-i8-d1024", 2, 8, 8, 1024, 24),
+    ("d2-c8-i16-d1024", 2, 8, 16, 1024, 16),
+    ("d2-c4-i8-d4096", 2, 4, 8, 4096, 12),
+    ("d2-c8-i4-d4096", 2, 8, 4, 4096, 12),
+    ("d2-c16-i4-d1024", 2, 16, 4, 1024, 24),
+)
+
+
+def default_matrix(spark: SparkSession) -> DataFrame:
+    """The benchmark cases as a table."""
+    return spark.createDataFrame(DEFAULT_MATRIX, CASE_SCHEMA)
+
+
+def per_worker_concurrency() -> Column:
+    return F.col("concurrency") / F.col("worker_count")
+
+
+def write_result(result: dict, path: str) -> int:
+    """Write a benchmark's result as JSON; the exit status is 1 where requests failed."""
+    folder = os.path.dirname(path)
+    if folder:
+        os.makedirs(folder, exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(json.dumps(result, indent=2, sort_keys=True) + "\n")
+    return 1 if result.get("errors") else 0
+
 
 def latency_summary(seconds: str) -> list[Column]:
     """min, p50, p95, p99 and max in milliseconds; exact percentiles, interpolated linearly."""

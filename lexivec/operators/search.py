@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,9 +57,17 @@ def search_all(
     are shipped as one matrix and the corpus is scanned once, each task keeping its best ``k`` of every
     query; beyond, the queries are worked off in as many passes as they hold such matrices.
     """
+    return search_widths(corpus, queries, k, id_col, vec_col, dims, (dims,), exclude_self).drop("dims")
+
+
+def search_widths(
+    corpus: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str, dims: int, widths: tuple[int, ...],
+    exclude_self: bool = True,
+) -> DataFrame:
+    """``dims, query_id, id, score, rank``: ``search_all`` over the first components of several widths, in one scan."""
     fits = F.size(vec_col) == dims
     asked = queries.where(fits).select(F.col(id_col).alias("q"), F.col(vec_col).alias("v"))
-    per_pass = max(1, QUERY_BYTES // (8 * dims))
+    per_pass = max(1, QUERY_BYTES // (8 * sum(widths)))
     passes = max(1, -(-asked.count() // per_pass))
     rows = corpus.where(fits).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
     kind = corpus.schema[id_col].dataType.simpleString()
@@ -66,42 +75,81 @@ def search_all(
     for p in range(passes):
         part = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(passes)) == p)
         local = part.toArrow()  # at most about QUERY_BYTES
-        hits = _scan(rows, local["q"], _unit(_matrix(local["v"], dims)), k, kind, exclude_self, dims)
+        whole = _matrix(local["v"], dims)
+        hits = _scan(rows, local["q"], {n: _unit(whole[:, :n]) for n in widths}, k, kind, exclude_self, dims)
         found = hits if found is None else found.unionByName(hits)
-    return rank_hits(found, "query_id", "id", k)
-
-
-def _scan(rows: DataFrame, qids: pa.ChunkedArray, q: np.ndarray, k: int, kind: str, exclude_self: bool, dims: int):
+    w = Window.partitionBy("dims", "query_id").orderBy(F.col("score").desc(), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+class _Held:
+    """The best ``k`` so far of each query: scores, and positions in a list of ids."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.score = np.full((queries, k), -np.inf)
+        self.at = np.full((queries, k), -1, dtype=np.int64)
+
+    def offer(self, s: np.ndarray, at: np.ndarray, order: np.ndarray) -> None:
+        """Scores ``s`` of the rows ``at``; ``order`` is the order of all rows by id, for ties."""
+        good = s >= self.score[:, -1:]
+        many = np.flatnonzero(good.sum(axis=1) > self.k)
+        if len(many):
+            edge = np.partition(s[many], -self.k, axis=1)[:, -self.k]
+            good[many] &= s[many] >= edge[:, None]
+        good &= ~np.isneginf(s)
+        row, col = np.nonzero(good)
+        if not len(row):
+            return
+        touched = np.unique(row)
+        row_all = np.concatenate((row, np.repeat(touched, self.k)))
+        s_all = np.concatenate((s[row, col], self.score[touched].ravel()))
+        at_all = np.concatenate((at[col], self.at[touched].ravel()))
+        by = np.lexsort((np.where(at_all < 0, len(order), order[at_all]), -s_all, row_all))
+        row_all, s_all, at_all = row_all[by], s_all[by], at_all[by]
+        place = np.arange(len(row_all)) - np.searchsorted(row_all, row_all)
+        keep = place < self.k
+        self.score[row_all[keep], place[keep]] = s_all[keep]
+        self.at[row_all[keep], place[keep]] = at_all[keep]
+
+
+def _scan(rows: DataFrame, qids: pa.ChunkedArray, units: dict[int, np.ndarray], k: int, kind: str, exclude_self: bool, dims: int):
     q_array = qids.combine_chunks() if isinstance(qids, pa.ChunkedArray) else qids
+    n = len(q_array)
+    first = pc.index_in(q_array, q_array).to_numpy(zero_copy_only=False) if n else np.zeros(0, np.int64)
+    repeated = np.flatnonzero(first != np.arange(n))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array(q_array.to_pylist(), dtype=object)
-        held_s = np.full((len(q), 0), -np.inf)
-        held_i = np.empty((len(q), 0), dtype=object)
+        held = {w: _Held(n, k) for w in units}
+        names = pa.array([], q_array.type)  # ids of the rows held, then of the batch
         for batch in batches:
-            m = _unit(_matrix(batch["v"], dims))
-            ids = np.array(batch["id"].to_pylist(), dtype=object)
-            for at in range(0, len(ids), BLOCK_ROWS):
-                s = q @ m[at : at + BLOCK_ROWS].T
-                block = ids[at : at + BLOCK_ROWS]
-                if exclude_self:
-                    s[names[:, None] == block[None, :]] = -np.inf
-                s = np.concatenate((held_s, s), axis=1)
-                i = np.concatenate((held_i, np.broadcast_to(block, (len(q), len(block)))), axis=1)
-                keep = min(s.shape[1], k)
-                # ties at the edge are kept by id: sort by score, then id
-                edge = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep]
-                new_s, new_i = np.full((len(q), keep), -np.inf), np.empty((len(q), keep), dtype=object)
-                for r in range(len(q)):
-                    c = np.flatnonzero(s[r] >= edge[r])
-                    c = c[sorted(range(len(c)), key=lambda x: (-s[r, c[x]], i[r, c[x]] is None, i[r, c[x]]))[:keep]]
-                    new_s[r], new_i[r] = s[r, c], i[r, c]
-                held_s, held_i = new_s, new_i
-        ok = ~np.isneginf(held_s)
-        row, _ = np.nonzero(ok)
-        yield pa.RecordBatch.from_arrays(
-            [q_array.take(pa.array(row)), pa.array(held_i[ok].tolist(), q_array.type), pa.array(held_s[ok])],
-            ["query_id", "id", "score"],
-        )
-
-    return rows.mapInArrow(score, f"query_id {kind}, id {kind}, score double")
+            if not len(batch):
+                continue
+            # rows no longer held are forgotten
+            kept = np.unique(np.concatenate([h.at[h.at >= 0] for h in held.values()]))
+            for h in held.values():
+                h.at = np.where(h.at < 0, -1, np.searchsorted(kept, h.at))
+            names = pa.concat_arrays([names.take(pa.array(kept)), batch["id"].cast(q_array.type)])
+            order = np.empty(len(names), dtype=np.int64)
+            order[pc.sort_indices(names, null_placement="at_end").to_numpy()] = np.arange(len(names))
+            own = pc.index_in(batch["id"], q_array).to_numpy(zero_copy_only=False) if exclude_self else None
+            m = _matrix(batch["v"], dims)
+            for w, q in units.items():
+                unit = _unit(m[:, :w])
+                for at in range(0, len(m), BLOCK_ROWS):
+                    s = q @ unit[at : at + BLOCK_ROWS].T
+                    if exclude_self:
+                        mine = own[at : at + BLOCK_ROWS]
+                        ok = np.flatnonzero(~np.isnan(mine.astype(float)))
+                        s[mine[ok].astype(np.int64), ok] = -np.inf
+                        for r in repeated.tolist():  # the same id asked again
+                            s[r, mine == first[r]] = -np.inf
+                    held[w].offer(s, len(kept) + at + np.arange(s.shape[1]), order)
+        for w, h in held.items():
+            row, place = np.nonzero(h.at >= 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(row), w, np.int32)), q_array.take(pa.array(row)), names.take(pa.array(h.at[row, place])), pa.array(h.score[row, place])],
+                ["dims", "query_id", "id", "score"],
+            )
+
+    return rows.mapInArrow(score, f"dims int, query_id {kind}, id {kind}, score double")

@@ -104,8 +104,17 @@ def a08_hit_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def b09_mrl_sweep(spark: SparkSession, d: str) -> DataFrame:
-    parts = [_rates(_label_ranks(spark, d, n).withColumn("dims", F.lit(n)), "dims") for n in SWEEP]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Hit rates by labels over the first components of several widths; the corpus is scanned once."""
+    c = _corpus(spark, d)
+    dims = _dims(c)
+    hits = search.search_widths(c, c.where(F.col("vec_id") % EVERY == 0), K, "vec_id", "embedding", dims, SWEEP)
+    labels = c.select("vec_id", "label")
+    found = (
+        hits.join(labels.select(F.col("vec_id").alias("id"), F.col("label").alias("hit_label")), "id")
+        .join(labels.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+        .groupBy("dims", "query_id").agg(F.min(F.when(F.col("label") == F.col("hit_label"), F.col("rank"))).alias("first_rank"))
+    )
+    return _rates(found, "dims")
 
 
 def _cases(spark: SparkSession, d: str) -> DataFrame:
@@ -151,11 +160,22 @@ def a29_case_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    """``query_id, r``: the ten hits of each query in their order."""
+    return _hits(spark, d).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("r"))
+
+
 def a13_overlap(spark: SparkSession, d: str) -> DataFrame:
-    lists = _hits(spark, d).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("r"))
-    a = lists.select(F.col("query_id").alias("a"), F.col("r").alias("ra"))
-    b = lists.select((F.col("query_id") - EVERY).alias("a"), F.col("query_id").alias("b"), F.col("r").alias("rb"))
-    return a.join(b, "a").select("a", "b", F.round(evaluate.overlap_at(F.col("ra"), F.col("rb"), K), 6).alias("overlap"))
+    """The overlap of the hits of each query and of the next one; both sides of a pair meet in one group."""
+    sides = F.explode(F.array(
+        F.struct(F.col("query_id").alias("a"), F.lit(0).alias("side")), F.struct((F.col("query_id") - EVERY).alias("a"), F.lit(1).alias("side"))
+    ))
+    both = (
+        _lists(spark, d).select("r", sides.alias("s")).groupBy("s.a")
+        .agg(*[F.first(F.when(F.col("s.side") == n, F.col("r")), ignorenulls=True).alias(c) for n, c in enumerate(("ra", "rb"))])
+        .where("ra is not null and rb is not null")
+    )
+    return both.select("a", (F.col("a") + EVERY).alias("b"), F.round(evaluate.overlap_at(F.col("ra"), F.col("rb"), K), 6).alias("overlap"))
 
 
 def a14_mean_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -163,15 +183,12 @@ def a14_mean_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w09_rank_or_absent(spark: SparkSession, d: str) -> DataFrame:
-    lists = _hits(spark, d).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("r"))
-    nearest = _hits(spark, d, 3).where("rank = 3").select("query_id", F.col("id").alias("item"))
-    return lists.join(nearest, "query_id").select(
-        "query_id", evaluate.rank_or_absent(F.col("r"), F.col("item"), 2).alias("in_two"), evaluate.rank_or_absent(F.col("r"), F.col("item"), 5).alias("in_five")
+    third = F.element_at("r", 3)
+    return _lists(spark, d).where(F.size("r") >= 3).select(
+        "query_id", evaluate.rank_or_absent(F.col("r"), third, 2).alias("in_two"), evaluate.rank_or_absent(F.col("r"), third, 5).alias("in_five")
     )
 
 
-
-
 def prj13_nonfinite(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embed_results").where("embeddings is not null")
     return e.where(~vectors.is_finite(F.col("embeddings"))).select("vec_id", F.size("embeddings").cast("bigint").alias("components"))

@@ -188,3 +188,42 @@ def test_pooling_and_plans_read_whole_tables(spark):
     usable = spark.read.parquet(f"{data}/embed_results.parquet").where("request_id is not null and size(embeddings) > 0").count()
     assert benchmarks.QUERIES["f09_last_token_pool"](spark, data).count() == usable > 100
     assert benchmarks.QUERIES["w03_event_results"](spark, data).count() >= 3
+
+
+def test_modes_pairs_and_excluded_snippets(spark, tmp_path):
+    from lexivec.operators import capabilities
+
+    cases = spark.createDataFrame([("q1", ["Q1"], 10), ("q2", ["Q2"], 10)], "case_id string, expected_qids array<string>, top_k int").withColumn("mode", F.lit(0))
+    ranked = spark.createDataFrame([("q1", 1, "Q1"), ("q2", 1, "Q9"), ("q2", 2, "Q2")], "case_id string, rank int, qid string")
+    have = spark.createDataFrame([("Q1",), ("Q2",)], "qid string")
+    got = {r.mode: r for r in capabilities.instruction_ab(cases, ranked, ranked.limit(0), have).collect()}
+    a, b = got[capabilities.WITH], got[capabilities.WITHOUT]
+    assert (a.hit_at_1, a.hit_at_5, a.mrr) == (0.5, 1.0, 0.75) and (b.cases, b.covered_cases, b.hit_at_10, b.mrr) == (2, 2, 0.0, 0.0)
+    assert capabilities.instruction_ab(cases.limit(0), ranked, ranked, have).count() == 0
+
+    hits = "pair_id string, rank int, qid string"
+    en = spark.createDataFrame([("p", 1, "Q1"), ("p", 2, "Q2"), ("p", 3, "Q3"), ("x", 1, "Q1"), ("x", 2, None)], hits)
+    vi = spark.createDataFrame([("p", 1, "Q3"), ("p", 2, "Q2"), ("p", 3, "Q9"), ("p", 4, "Q1")], hits)
+    pairs = {r.pair_id: r for r in capabilities.cross_lingual(en, vi, 3).collect()}
+    assert pairs["p"].overlap == pytest.approx(2 / 3) and pairs["p"].en_top == ["Q1", "Q2", "Q3"] and pairs["x"].vi_top == [] and pairs["x"].overlap == 0
+    mean = capabilities.mean_overlap(capabilities.cross_lingual(en, vi, 3)).first()
+    assert mean.pairs == 2 and mean.mean_overlap == pytest.approx(1 / 3) and capabilities.mean_overlap(capabilities.cross_lingual(en.limit(0), vi.limit(0))).first().mean_overlap is None
+
+    v = "id string, embedding array<double>"
+    snippets = spark.createDataFrame([("json", [1.0, 0.0]), ("csv", [0.0, 1.0]), ("nan", [float("nan"), 1.0]), ("none", None)], v)
+    queries = spark.createDataFrame([("a", [1.0, 0.1]), ("b", [1.0, 0.2])], v)
+    expected = spark.createDataFrame([("a", "json"), ("b", "nan")], "query_id string, id string")
+    r = capabilities.code_retrieval(snippets, queries, expected, 2).first()
+    assert (r.query_count, r.snippet_count_total, r.snippet_count_finite, r.snippet_count_excluded) == (2, 4, 2, 2)
+    assert (r.hit_at_1, r.hit_at_10) == (0.5, 0.5)
+    assert {x.id for x in capabilities.measured(snippets, "embedding")[1].collect()} == {"nan", "none"}
+    assert capabilities.code_retrieval(snippets.limit(0), queries.limit(0), expected, 2).first().hit_at_1 is None
+
+
+def test_matrix_cases_and_result_sink(spark, tmp_path):
+    m = benchstats.default_matrix(spark).collect()
+    assert len({c.case_id for c in m}) == 12 and {c.worker_count for c in m} == {1, 2} and {c.dimensions for c in m} == {1024, 4096}
+    assert {1, 4, 8, 16} <= {c.items_per_request for c in m} and {1, 2, 4, 8} <= {c.concurrency for c in m}
+    path = str(tmp_path / "deep" / "r.json")
+    assert benchstats.write_result({"errors": 0, "label": "x"}, path) == 0 and benchstats.write_result({"errors": 2}, path) == 1
+    assert open(path).read() == '{\n  "errors": 2\n}\n'
