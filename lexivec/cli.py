@@ -74,7 +74,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "matrix":
         r = files.matrix_results(spark, a.results)
         show({
-            "best": rows(benchstats.best_stable(r.withColumn("o", F.monotonically_increasing_id()), "o")),
+            "best": rows(benchstats.best_stable(r, "ordinal")),
             "matched_scaling": rows(benchstats.matched_scaling(r)),
             "flattening": rows(benchstats.flattening(r)),
         })

@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 # Markers and patterns of the artifact and evidence scans.
 NAME_MARKERS = ("api-key", "api_key", "trycloudflare.com", "/secrets/", "\\secrets\\")
-CACHE_MARKERS = (".pytest_cache", "__pycache__", ".pyc")
 SOURCE_SUFFIXES = ("py", "sh", "md", "example", "ipynb", "toml", "cfg", "yaml", "yml")
 EVIDENCE_MARKERS = (*NAME_MARKERS, "ghp_", "github_pat_", "GH_TOKEN", "GITHUB_TOKEN")
 BEARER = r"Authorization:\s*Bearer\s+[A-Za-z0-9\-._~+/]{8,}"
@@ -39,21 +38,16 @@ def fingerprint(value: object) -> str:
     return sha256(canonical_json(value).encode("utf-8")).hexdigest()
 
 
-@F.udf(T.StringType())
+@F.udf(T.StringType(), useArrow=True)
 def map_fingerprint(value):
-    """For maps whose keys are not known before; one hash a row."""
+    """For maps whose keys are not known before; batches travel as Arrow."""
     return None if value is None else fingerprint(value)
 
 
 def model_fingerprint(files: list[Path]) -> str:
     """Over sorted files: name and size, and for JSON files their content; weights count by size."""
-    digest = sha256()
-    for file in sorted(set(files)):
-        digest.update(f"{file.name}\0{file.stat().st_size}\0".encode())
-        if file.suffix == ".json":
-            digest.update(file.read_bytes())
-        digest.update(b"\n")
-    return digest.hexdigest()
+    parts = (f"{f.name}\0{f.stat().st_size}\0".encode() + (f.read_bytes() if f.suffix == ".json" else b"") for f in sorted({*files}))
+    return sha256(b"".join(p + b"\n" for p in parts)).hexdigest()
 
 
 def holds(content: Column, secret: str) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexivec import schemas
 from lexivec.operators import records
+from lexivec.session import exists
 
 # The default seed categories (name, class, weight).
 DEFAULT_SEEDS = (
@@ -139,12 +140,13 @@ Fetch = Callable[[list[str]], list[dict]]
 
 def crawl(
     spark: SparkSession, seeds: list[tuple[str, str, int]], discover: Discover, fetch: Fetch, out_dir: str,
-    target_rows: int, overfetch: float = 1.25, page_size: int = 500, max_factor: float = 4.0,
+    target_rows: int, overfetch: float = 1.25, page_size: int = 500, max_factor: float = 4.0, batch_size: int = 50,
 ) -> State:
     """Acquire ``target_rows`` accepted records: weighted quotas first, then bounded round-robin spill-over.
 
-    Only control flow runs here; pages hold at most ``page_size`` ids.  New records are appended
-    to Parquet after an anti join with what is there, so a repeated run fetches nothing again.
+    Only control flow runs here; pages hold at most ``page_size`` ids and are fetched ``batch_size`` at a time, until
+    the batch that reaches the target.  A seed's quota counts the distinct ids attributed to it.  New records
+    are appended to Parquet after an anti join with what is there, so a repeated run fetches nothing again.
     """
     state = State.load(f"{out_dir}/state.json")
     entities, pages = f"{out_dir}/entities.parquet", f"{out_dir}/pages.parquet"
@@ -167,24 +169,37 @@ def crawl(
             found = spark.createDataFrame(rows, "seed_name string, seed_qid string, page_offset long, item_pos int, qid string")
             found.write.mode("append").parquet(pages)
             fresh = found.where(records.is_qid(F.col("qid"))).dropDuplicates(["qid"])
-            if os.path.exists(entities):
+            if exists(spark, entities):
                 fresh = unseen(fresh, spark.read.parquet(entities))
             missing = {r.qid for r in fresh.select("qid").collect()}  # at most one page
-            got = fetch([q for q in dict.fromkeys(ids) if q in missing])
-            if got:
-                raw = records.from_entities(
-                    spark.createDataFrame([(json.dumps(e),) for e in got], "j string")
-                    .select(F.from_json("j", schemas.ENTITY).alias("e")).select("e.*")
-                ).where("error is null").drop("error")
-                raw.write.mode("append").parquet(entities)
-                state.accepted_rows += records.canonicalize(raw).where("reject_reason is null").count()
+            wanted = [q for q in dict.fromkeys(ids) if q in missing]
+            for lo in range(0, len(wanted), batch_size):
+                if state.accepted_rows >= target_rows:
+                    break
+                got = fetch(wanted[lo : lo + batch_size])
+                if got:
+                    raw = records.from_entities(
+                        spark.createDataFrame([(json.dumps(e),) for e in got], "j string")
+                        .select(F.from_json("j", schemas.ENTITY).alias("e")).select("e.*")
+                    ).where("error is null").drop("error")
+                    raw.write.mode("append").parquet(entities)
+                    state.accepted_rows += records.canonicalize(raw).where("reject_reason is null").count()
+                state.save(f"{out_dir}/state.json")
         state.save(f"{out_dir}/state.json")
         return len(ids)
 
+    def attributed_to(name: str) -> int:
+        if not exists(spark, pages):
+            return 0
+        own = spark.read.parquet(pages).where((F.col("seed_name") == name) & records.is_qid(F.col("qid")))
+        return own.agg(F.count_distinct("qid")).first()[0]
+
     for name, seed, _ in seeds:
-        while state.accepted_rows < target_rows and name not in state.exhausted_seeds:
-            room = state.seed_candidate_quotas[name] - state.seed_offsets.get(name, 0)
-            if room <= 0 or not page(name, seed, min(page_size, room)):
+        have = attributed_to(name)
+        while have < state.seed_candidate_quotas[name] and state.accepted_rows < target_rows and name not in state.exhausted_seeds:
+            page(name, seed, min(page_size, state.seed_candidate_quotas[name] - have))
+            before, have = have, attributed_to(name)
+            if have <= before:
                 break
     moved = True
     while moved and state.accepted_rows < target_rows and sum(state.seed_offsets.values()) < limit:

@@ -5,23 +5,34 @@ from __future__ import annotations
 import json
 import os
 from datetime import datetime, timezone
-from hashlib import sha256
+from hashlib import file_digest, sha256
 
-from pyspark.sql import DataFrame
+from urllib.parse import urlparse
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.operators import acquire, records
 from lexivec.session import cut_lineage
+from lexivec.sources import files
 
 CANONICAL_NAME = "canonical.parquet"
+MANIFEST, QUALITY, CHECKSUMS = "dataset-manifest.json", "data-quality-report.json", "SHA256SUMS"
+LICENSE = "LICENSE-DATA.md"
+LICENSE_TEXT = f"""# Licence of the data
+
+The records are structured data of the source named in `{MANIFEST}` and are published under CC0 1.0
+(public domain dedication): https://creativecommons.org/publicdomain/zero/1.0/
+"""
+
+# What a manifest says of the records' content.
+CONTENT_POLICY = "structured_wikidata_only"
+PUBLISHED_POLICY = "structured_wikidata_only_no_wikipedia_article_bodies"
 
 
 def _hash(path: str) -> str:
-    digest = sha256()
     with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            digest.update(block)
-    return digest.hexdigest()
+        return file_digest(f, "sha256").hexdigest()
 
 
 def _write_json(path: str, value: dict) -> None:
@@ -29,11 +40,30 @@ def _write_json(path: str, value: dict) -> None:
         f.write(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n")
 
 
-def hashes(path: str) -> dict[str, dict]:
-    """``{relative path: {sha256, bytes}}`` of all files below a folder or of one file, sorted."""
-    files = [path] if os.path.isfile(path) else sorted(os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs)
+def hashes(path: str, spark: SparkSession | None = None) -> dict[str, dict]:
+    """``{relative path: {sha256, bytes}}`` of all files below a folder or of one file, sorted.
+
+    With a session the files are hashed where they are read, and only names and hashes come back; names that
+    begin with a dot or an underscore are left out then.
+    """
+    if spark is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+        top = status.getPath() if status.isDirectory() else status.getPath().getParent()
+        base = top.toUri().getPath()
+        rows = files.with_hashes(files.tree(spark, path)).collect()  # a row for each file of a dataset
+        inner = {os.path.relpath(urlparse(r.path).path, base): {"sha256": r.sha256, "bytes": r.bytes} for r in rows}
+        return dict(sorted(inner.items()))
+    found = [path] if os.path.isfile(path) else sorted(os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs)
     base = os.path.dirname(path) if os.path.isfile(path) else path
-    return {os.path.relpath(f, base): {"sha256": _hash(f), "bytes": os.path.getsize(f)} for f in files}
+    return {os.path.relpath(f, base): {"sha256": _hash(f), "bytes": os.path.getsize(f)} for f in found}
+
+
+def combined(parts: dict[str, dict]) -> str | None:
+    """One hash for a file, or for all files of a table by name; None where there is none."""
+    if len(parts) < 2:
+        return next((v["sha256"] for v in parts.values()), None)
+    return sha256("".join(f"{v['sha256']}  {k}\n" for k, v in sorted(parts.items())).encode()).hexdigest()
 
 
 def write_canonical(accepted: DataFrame, path: str, single_file: bool = False) -> None:
@@ -43,11 +73,12 @@ def write_canonical(accepted: DataFrame, path: str, single_file: bool = False) -
 
 
 def build(raw: DataFrame, out_dir: str, input_name: str, limit: int | None = None, ordinal: str | None = None,
-          single_file: bool = False) -> dict:
+          single_file: bool = False, input_path: str | None = None) -> dict:
     """Write canonical records, the quality report, the manifest and checksums; returns the report.
 
     With ``limit`` only the first accepted records by ``ordinal`` are kept and scanning ends at the last of
-    them.  Records are canonicalised once; all counts come from that table.
+    them.  Records are canonicalised once; all counts come from that table.  With ``input_path`` the manifest has the
+    input's hash.
     """
     os.makedirs(out_dir, exist_ok=True)
     canonical = records.canonicalize(raw, (ordinal,) if ordinal else ())
@@ -74,7 +105,9 @@ def build(raw: DataFrame, out_dir: str, input_name: str, limit: int | None = Non
         "flag_counts": {r.flag: r.n for r in records.flag_counts(stored).orderBy("flag").collect()},
         "null_rates": records.null_rates(stored, columns).first().asDict() if kept else {},
     }
-    _write_json(f"{out_dir}/data-quality-report.json", report)
+    _write_json(f"{out_dir}/{QUALITY}", report)
+    spark = raw.sparkSession
+    parts = {k: v for k, v in hashes(f"{out_dir}/{CANONICAL_NAME}", spark).items() if k.endswith(".parquet")}
     manifest = {
         "format_version": 1,
         "source": records.SOURCE,
@@ -82,21 +115,27 @@ def build(raw: DataFrame, out_dir: str, input_name: str, limit: int | None = Non
         "derived_license": records.SOURCE_LICENSE,
         "built_at_utc": datetime.now(timezone.utc).isoformat(),
         "input_filename": input_name,
-        "canonical_files": {k: v for k, v in hashes(f"{out_dir}/{CANONICAL_NAME}").items() if k.endswith(".parquet")},
+        "input_sha256": combined(hashes(input_path, spark)) if input_path else None,
+        "canonical_filename": CANONICAL_NAME,
+        "canonical_sha256": combined(parts),
+        "canonical_files": parts,
         "row_count": kept,
         "rejected_row_count": report["rejected_rows"],
         "languages": ["en", "vi"],
+        "content_policy": CONTENT_POLICY,
         "null_rates": report["null_rates"],
     }
-    _write_json(f"{out_dir}/dataset-manifest.json", manifest)
-    write_checksums(out_dir)
+    _write_json(f"{out_dir}/{MANIFEST}", manifest)
+    with open(f"{out_dir}/{LICENSE}", "w", encoding="utf-8") as f:
+        f.write(LICENSE_TEXT)
+    write_checksums(out_dir, spark)
     return report
 
 
-def write_checksums(folder: str) -> None:
+def write_checksums(folder: str, spark: SparkSession | None = None) -> None:
     """``<sha256>  <path>`` of every file but the list itself, sorted."""
-    rows = [f"{v['sha256']}  {k}" for k, v in hashes(folder).items() if k != "SHA256SUMS" and not k.endswith(".crc")]
-    with open(f"{folder}/SHA256SUMS", "w", encoding="utf-8") as f:
+    rows = [f"{v['sha256']}  {k}" for k, v in hashes(folder, spark).items() if k != CHECKSUMS and not k.endswith(".crc")]
+    with open(f"{folder}/{CHECKSUMS}", "w", encoding="utf-8") as f:
         f.write("".join(r + "\n" for r in rows))
 
 
@@ -116,24 +155,81 @@ def run_manifest(folder: str, run_id: str, run_kind: str, identity: dict, config
     return manifest
 
 
-def publish_metadata(folder: str, parameters: dict, seeds: list[dict], raw_files: list[str], expected_rows: int, report: dict) -> dict:
-    """Provenance of a published dataset; another number of rows than expected is an error."""
+def publish_metadata(folder: str, parameters: dict, seeds: list[dict], raw_files: list[str], expected_rows: int, report: dict,
+                     title: str = "dataset", identifier: str = "owner/dataset", spark: SparkSession | None = None) -> dict:
+    """Provenance and listing of a published dataset; another number of rows than expected is an error."""
     if report["accepted_rows"] != expected_rows:
         raise ValueError(f"expected {expected_rows} rows, got {report['accepted_rows']}")
+    owner, _, slug = (part.strip() for part in identifier.partition("/"))
+    if not (title.strip() and owner and slug):
+        raise ValueError("title, owner and name must not be empty")
+    with open(f"{folder}/{MANIFEST}", encoding="utf-8") as f:
+        built = json.load(f)
     out = {
         "format_version": 1,
-        "generated_at_utc": datetime.now(timezone.utc).isoformat(),
-        "parameters": parameters,
-        "seeds": seeds,
-        "raw_files": {os.path.basename(f): {"sha256": _hash(f), "bytes": os.path.getsize(f)} for f in raw_files},
-        "null_rates": report["null_rates"],
-        "rows": expected_rows,
+        "source": built["source"],
+        "source_license": built["source_license"],
+        "derived_license": built["derived_license"],
+        "content_policy": PUBLISHED_POLICY,
+        "languages": built["languages"],
+        "target_rows": expected_rows,
+        "canonical_rows": report["accepted_rows"],
+        "canonical_filename": built["canonical_filename"],
+        "canonical_sha256": built["canonical_sha256"],
+        "built_at_utc": datetime.now(timezone.utc).isoformat(),
+        "language_null_rates": report["null_rates"],
+        "acquisition": {**parameters, "raw_files": {os.path.basename(f): {"sha256": combined(hashes(f, spark))} for f in raw_files}},
+        "seed_categories": seeds,
     }
-    _write_json(f"{folder}/provenance.json", out)
-    write_checksums(folder)
+    _write_json(f"{folder}/provenance-metadata.json", out)
+    _write_json(f"{folder}/dataset-metadata.json", {"title": title, "id": f"{owner}/{slug}", "licenses": [{"name": built["source_license"]}]})
+    write_checksums(folder, spark)
     return out
 
 
+def validated_dataset(folder: str, spark: SparkSession | None = None) -> dict:
+    """The manifest of a built dataset that is complete, of the expected source and licence, and whose data has its hash."""
+    for name in (MANIFEST, QUALITY):
+        if not os.path.isfile(f"{folder}/{name}"):
+            raise ValueError(f"missing {name}: {folder}")
+    with open(f"{folder}/{MANIFEST}", encoding="utf-8") as f:
+        manifest = json.load(f)  # a JSON error is a ValueError
+    if (manifest.get("source"), manifest.get("source_license")) != (records.SOURCE, records.SOURCE_LICENSE):
+        raise ValueError(f"dataset must declare source {records.SOURCE} and licence {records.SOURCE_LICENSE}")
+    name, sha = manifest.get("canonical_filename"), manifest.get("canonical_sha256")
+    if not name or not sha:
+        raise ValueError("manifest without canonical filename or checksum")
+    if not os.path.exists(f"{folder}/{name}"):
+        raise ValueError(f"canonical data is missing: {name}")
+    have = {k: v for k, v in hashes(f"{folder}/{name}", spark).items() if k.endswith(".parquet")}
+    if combined(have) != sha:
+        raise ValueError(f"canonical checksum mismatch: {name}")
+    return manifest
+
+
+def resolved_dataset(root: str, explicit: str | None = None, prefer: str = "", depth: int = 7) -> str:
+    """The one valid dataset below ``root``: of several, those whose path has ``prefer`` come first; else an error.
+
+    A folder that is named must lie below ``root`` and be valid.
+    """
+    base = os.path.realpath(root)
+    if explicit:
+        path = os.path.realpath(os.path.expanduser(explicit))
+        if os.path.commonpath([base, path]) != base:
+            raise ValueError(f"{path} is not below {base}")
+        validated_dataset(path)
+        return path
+    valid = []
+    for d in folders_with(base, MANIFEST, depth):
+        try:
+            validated_dataset(d)
+            valid.append(d)
+        except ValueError:
+            pass
+    named = [d for d in valid if prefer and prefer.lower() in d.lower()]
+    return _only(named or valid, "valid datasets", root)
+
+
 def package_index(index_dir: str, out_dir: str, artifact_type: str) -> dict:
     """Copy an index with a manifest and checksums, then validate the copy."""
     import shutil
@@ -161,6 +257,9 @@ def validated_artifact(folder: str, artifact_type: str, fingerprint: str | None
     with open(f"{folder}/SHA256SUMS", encoding="utf-8") as f:
         listed = dict(reversed(line.split(None, 1)) for line in f.read().splitlines() if line.strip())
     have = {k: v["sha256"] for k, v in hashes(folder).items()}
+    unlisted = {k for k in have if k != CHECKSUMS and not k.endswith(".crc")} - listed.keys()
+    if unlisted or not {"manifest.json", "index-metadata.json"} <= listed.keys():
+        raise ValueError(f"files without a checksum: {sorted(unlisted)}")
     for name, sha in listed.items():
         if have.get(name) != sha:
             raise ValueError(f"checksum mismatch: {name}")
@@ -180,12 +279,21 @@ def resolved(root: str, marker: str, explicit: str | None = None, depth: int = 4
         if os.path.commonpath([base, path]) != base or not os.path.isfile(f"{path}/{marker}"):
             raise ValueError(f"not a valid folder below {root}: {explicit}")
         return path
-    found = []
-    for d, subs, files in os.walk(base):
+    return _only(folders_with(base, marker, depth), f"folders with {marker}", root)
+
+
+def folders_with(base: str, marker: str, depth: int) -> list[str]:
+    """The folders that hold the file ``marker``, at most ``depth`` levels down."""
+    out = []
+    for d, subs, names in os.walk(base):
         if os.path.relpath(d, base).count(os.sep) + 1 >= depth:
             subs[:] = []
-        if marker in files:
-            found.append(d)
+        if marker in names:
+            out.append(os.path.realpath(d))
+    return sorted(set(out))
+
+
+def _only(found: list[str], what: str, root: str) -> str:
     if len(found) != 1:
-        raise ValueError(f"{len(found)} folders with {marker} below {root}")
+        raise ValueError(f"{len(found)} {what} below {root}: {found}")
     return found[0]

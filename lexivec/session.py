@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +38,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(column: str, buckets: int):
-    """A deterministic bucket of ``column`` in ``0 .. buckets - 1``."""
-    return F.pmod(F.xxhash64(column), F.lit(max(1, buckets))).cast("int")
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at ``path``, in whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def spread_out(df: DataFrame) -> DataFrame:

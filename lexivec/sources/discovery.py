@@ -1,7 +1,7 @@
 """Discovery pages and entities of a remote knowledge base as Spark data sources.
 
 Nothing is fetched unless a ``transport`` is given: a picklable function from a URL and
-its parameters to decoded JSON.  ``paced`` wraps one with retries.
+its parameters to decoded JSON.  ``Paced`` wraps one with intervals and retries.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import re
 import time
 from collections.abc import Callable, Iterator
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 QID = re.compile(r"Q[1-9][0-9]*")
@@ -18,6 +20,17 @@ RETRIED = (429, 500, 502, 503, 504)
 PAGE_LIMIT = 1000
 ENTITY_LIMIT = 50
 
+# The parameters of an entity request besides its ids.
+ENTITY_PARAMS = {
+    "action": "wbgetentities",
+    "format": "json",
+    "formatversion": "2",
+    "props": "labels|descriptions|aliases|claims",
+    "languages": "en|vi",
+    "languagefallback": "0",
+    "maxlag": "5",
+}
+
 Transport = Callable[[str, dict], dict]
 
 
@@ -29,28 +42,48 @@ class HttpStatus(Exception):
         self.code, self.retry_after = code, retry_after
 
 
-def paced(get: Transport, attempts: int = 5, least: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> Transport:
-    """Repeats busy answers, network and decoding errors; other statuses fail at once."""
-
-    def run(url: str, params: dict) -> dict:
-        for attempt in range(attempts):
-            wait = None
-            try:
-                answer = get(url, params)
-                if (answer.get("error") or {}).get("code") != "maxlag":
-                    return answer
-                problem: Exception = RuntimeError("server lag")
-            except HttpStatus as e:
-                if e.code not in RETRIED:
-                    raise
-                problem, wait = e, e.retry_after
-            except (OSError, ValueError) as e:
-                problem = e
-            if attempt + 1 < attempts:
-                sleep(max(least, min(30.0, 2.0**attempt) if wait is None else wait))
-        raise RuntimeError(f"request failed after {attempts} attempts: {problem}") from problem
-
-    return run
+class Paced:
+    """A transport that keeps ``least`` seconds between requests and repeats busy answers, network and decoding errors.
+
+    Other statuses fail at once.  A wait the server asks for is kept, else waits double up to half a minute.
+    """
+
+    def __init__(self, get: Transport, attempts: int = 5, least: float = 0.0, sleep: Callable[[float], None] = time.sleep,
+                 clock: Callable[[], float] = time.monotonic):
+        if attempts < 1 or least < 0:
+            raise ValueError("attempts must be positive and the interval not negative")
+        self.get, self.attempts, self.least, self.sleep, self.clock = get, attempts, least, sleep, clock
+        self.free_at = float("-inf")
+
+    def _once(self, url: str, params: dict) -> tuple[dict | None, Exception | None, float | None]:
+        """An answer, or what went wrong and how long the server wants to be left alone."""
+        early = self.free_at - self.clock()
+        if early > 0:
+            self.sleep(early)
+        try:
+            answer = self.get(url, params)
+        except HttpStatus as e:
+            if e.code not in RETRIED:
+                raise
+            return None, e, e.retry_after
+        except (OSError, ValueError) as e:
+            return None, e, None
+        finally:
+            self.free_at = self.clock() + self.least
+        if not isinstance(answer, dict):
+            return None, ValueError("no JSON object"), None
+        lagging = (answer.get("error") or {}).get("code") == "maxlag"
+        return (None, RuntimeError("server lag"), None) if lagging else (answer, None, None)
+
+    def __call__(self, url: str, params: dict) -> dict:
+        problem: Exception | None = None
+        for wait in [*(min(30.0, 2.0**n) for n in range(self.attempts - 1)), None]:
+            answer, problem, asked = self._once(url, params)
+            if answer is not None:
+                return answer
+            if wait is not None:
+                self.sleep(max(self.least, wait if asked is None else asked))
+        raise RuntimeError(f"request failed after {self.attempts} attempts: {problem}") from problem
 
 
 def page_query(seed: str, offset: int, limit: int) -> str:
@@ -62,24 +95,27 @@ def page_query(seed: str, offset: int, limit: int) -> str:
     return f"SELECT ?item WHERE {{ ?item wdt:P31 wd:{seed} . }} ORDER BY ?item LIMIT {limit} OFFSET {offset}"
 
 
-def page_ids(answer: dict) -> list[str]:
-    """The valid ids of a page's answer."""
-    found = []
-    for b in (answer.get("results") or {}).get("bindings") or []:
-        value = (b.get("item") or {}).get("value") if isinstance(b, dict) else None
-        last = value.rsplit("/", 1)[-1] if isinstance(value, str) else ""
-        if QID.fullmatch(last):
-            found.append(last)
-    return found
+def listed(pages: DataFrame) -> DataFrame:
+    """``seed_qid, page_offset, item_pos, qid``: the valid ids of the answers in ``body``, in their order."""
+    body = F.from_json("body", "results struct<bindings: array<struct<item: struct<value: string>>>>")
+    ids = F.transform(body["results"]["bindings"], lambda b: F.substring_index(b["item"]["value"], "/", -1))
+    valid = F.filter(ids, lambda i: i.rlike(f"^{QID.pattern}$"))
+    return pages.select("seed_qid", "page_offset", F.posexplode(valid).alias("item_pos", "qid"))
+
 
+def in_order(ids: Column, body: Column) -> Column:
+    """The entities of an answer, as JSON, in the order asked; ids that are missing are left out.
 
-def in_order(ids: list[str], answer: dict) -> list[dict]:
-    """The entities of an answer (a list or a map) in the order asked, without missing ones."""
-    if len(ids) > ENTITY_LIMIT:
-        raise ValueError(f"at most {ENTITY_LIMIT} ids a request")
-    got = answer.get("entities") or {}
-    by_id = {e.get("id"): e for e in got if isinstance(e, dict)} if isinstance(got, list) else got
-    return [by_id[i] for i in ids if i in by_id and by_id[i] and by_id[i].get("missing") is not True]
+    ``entities`` of an answer is a list or a map by id.
+    """
+    as_list = F.from_json(body, "entities array<string>")["entities"]
+    as_map = F.from_json(body, "entities map<string, string>")["entities"]
+
+    def entity(i: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.filter(as_list, lambda e: F.get_json_object(e, "$.id") == i), F.lit(-1)), F.try_element_at(as_map, i))
+
+    there = F.filter(F.transform(ids, entity), lambda e: e.isNotNull() & e.startswith("{"))
+    return F.filter(there, lambda e: F.coalesce(F.get_json_object(e, "$.missing"), F.lit("false")) != "true")
 
 
 class _Page(InputPartition):
@@ -88,7 +124,10 @@ class _Page(InputPartition):
 
 
 class DiscoverySource(DataSource):
-    """``spark.dataSource.register(...)``, then ``format("discovery")`` with options seed, pages, page_size, endpoint."""
+    """``spark.dataSource.register(...)``, then ``format("discovery")`` with options seed, pages, page_size, endpoint.
+
+    A row for each page, to be parsed with ``listed``.
+    """
 
     transport: Transport | None = None
 
@@ -97,7 +136,7 @@ class DiscoverySource(DataSource):
         return "discovery"
 
     def schema(self) -> str:
-        return "seed_qid string, page_offset bigint, item_pos int, qid string"
+        return "seed_qid string, page_offset bigint, body string"
 
     def reader(self, schema) -> DataSourceReader:
         if self.transport is None:
@@ -120,11 +159,11 @@ class _DiscoveryReader(DataSourceReader):
 
     def read(self, part: _Page) -> Iterator[tuple]:
         answer = self.transport(self.endpoint, {"query": page_query(self.seed, part.offset, part.limit), "format": "json"})
-        for i, qid in enumerate(page_ids(answer)):
-            yield self.seed, part.offset, i, qid
+        yield self.seed, part.offset, json.dumps(answer, ensure_ascii=False)
 
 
-def entity_lines(ids: list[str], transport: Transport, endpoint: str) -> list[str]:
-    """JSON of the entities for up to ENTITY_LIMIT ids, to be parsed with ``from_json``."""
-    answer = transport(endpoint, {"action": "wbgetentities", "ids": "|".join(ids), "languages": "en|vi", "format": "json"})
-    return [json.dumps(e, ensure_ascii=False) for e in in_order(ids, answer)]
+def entity_body(ids: list[str], transport: Transport, endpoint: str) -> str:
+    """The answer for up to ENTITY_LIMIT ids as JSON, to be parsed with ``in_order``."""
+    if len(ids) > ENTITY_LIMIT or not all(QID.fullmatch(i) for i in ids):
+        raise ValueError(f"at most {ENTITY_LIMIT} valid ids a request")
+    return json.dumps(transport(endpoint, {**ENTITY_PARAMS, "ids": "|".join(ids)}), ensure_ascii=False) if ids else "{}"

@@ -9,11 +9,12 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexivec import schemas
+from lexivec.session import exists
 
 
 def json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -26,22 +27,37 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def checked_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines with the line that is wrong: ``file, line, error`` and the record's columns.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line, text`` of text files; a large file is read in many blocks.
 
-    Line numbers count within a file; a file is one partition here, as the reader must know its lines.
+    Rows of a block follow each other in one partition; its first line is known from the numbers of lines
+    of the blocks before, which a first pass counts.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("at", "text")).where(F.trim("text") != "")
-    parsed = lines.select("file", (F.col("at") + 1).alias("line"), "text", F.from_json("text", schema).alias("r"))
+    read = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value",
+    )
+    blocks = read.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return read.join(blocks.select("file", "block", "first", before.alias("before")), ["file", "block"]).select(
+        "file", (F.col("before") + F.col("at") - F.col("first") + 1).cast("bigint").alias("line"), F.col("value").alias("text")
+    )
+
+
+def checked_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON lines with the line that is wrong: ``file, line, error`` and the record's columns; blank lines are skipped."""
+    lines = numbered_lines(spark, path).where(F.trim("text") != "")
     is_object = F.trim("text").startswith("{") & F.try_parse_json("text").isNotNull()
     error = F.when(~F.coalesce(is_object, F.lit(False)), F.concat_ws(":", "file", "line", F.lit("not a JSON object")))
-    return parsed.select("file", "line", error.alias("error"), "r.*")
+    return lines.select("file", "line", error.alias("error"), F.from_json("text", schema).alias("r")).select("file", "line", "error", "r.*")
 
 
 def resumed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines of an earlier run; a missing file is an empty table."""
-    return json_lines(spark, path, schema) if os.path.exists(path) else spark.createDataFrame([], schema)
+    """JSON lines of an earlier run; a missing file is an empty table, a wrong line an error that names file and line."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    fine = F.col("error").isNull() | F.raise_error(F.col("error")).cast("boolean")
+    return checked_lines(spark, path, schema).where(fine).drop("file", "line", "error")
 
 
 def records(spark: SparkSession, path: str, schema: T.StructType = schemas.RAW_RECORD) -> DataFrame:
@@ -94,18 +110,19 @@ def code_fixture(spark: SparkSession, snippets: str, queries: str) -> tuple[Data
 
 
 def matrix_results(spark: SparkSession, path: str) -> DataFrame:
-    """Benchmark results: JSON lines, a list, an object with ``results``, or a folder of case files by name."""
+    """Benchmark results: JSON lines, a list, an object with ``results``, or a folder of case files by name.
+
+    ``ordinal`` is the place of a result, by file name and within the file.
+    """
     one = schemas.MATRIX_RESULT
-    if path.endswith(".jsonl"):
-        found = json_lines(spark, path, one)
-    else:
-        wide = T.StructType([*one.fields, T.StructField("results", T.ArrayType(one))])
-        files = f"{path}/*.json" if os.path.isdir(path) else path
-        raw = spark.read.schema(wide).option("multiLine", True).json(files)
-        found = raw.where("results is null").drop("results").unionByName(
-            raw.select(F.explode("results").alias("r")).select("r.*")
-        )
-    return found.where("case_id is not null")
+    wide = T.StructType([*one.fields, T.StructField("results", T.ArrayType(one))])
+    files = f"{path}/*.json" if os.path.isdir(path) else path
+    raw = spark.read.schema(wide).option("multiLine", not path.endswith(".jsonl")).json(files)
+    raw = raw.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    own = F.struct(*[F.col(f.name) for f in one.fields])
+    placed = raw.select("file", "at", F.posexplode(F.coalesce("results", F.array(own))).alias("pos", "r")).where("r.case_id is not null")
+    w = Window.orderBy("file", "at", "pos")  # the results of one benchmark
+    return placed.select("r.*", F.row_number().over(w).cast("bigint").alias("ordinal"))
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:

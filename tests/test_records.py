@@ -165,6 +165,15 @@ def test_crawl_resumes_and_spills_over(spark, tmp_path):
     assert len(ids) == len(set(ids))
     with pytest.raises(acquire.AcquisitionShortfall):
         acquire.crawl(spark, seeds, discover, fetch, out, target_rows=50, page_size=2)
+    batches = []
+
+    def counted(ids):
+        batches.append(len(ids))
+        return fetch(ids)
+
+    more = {"Q1": [f"Q{i}" for i in range(1, 301)]}
+    state = acquire.crawl(spark, [("x", "Q1", 1)], lambda s, o, n: more[s][o : o + n], counted, f"{out}/b", target_rows=120, overfetch=2.0, page_size=200)
+    assert batches == [50, 50, 50] and state.accepted_rows == 149  # it ends with the batch that reaches the target
     dataset.write_provenance(spark.read.parquet(f"{out}/pages.parquet").withColumn("ingested_at", F.lit(None).cast("timestamp")).withColumn("discovered_at", F.lit(None).cast("timestamp")), f"{out}/prov")
     assert files.json_lines(spark, f"{out}/prov", schemas.PROVENANCE).count() >= 3
 
@@ -198,3 +207,57 @@ def test_sorts_give_every_row(spark):
         rows = sorted(texts.QUERIES[whole](spark, data).collect(), key=lambda r: r.position)
         assert len(rows) > 250 and [r.position for r in rows] == list(range(1, len(rows) + 1))
         assert [tuple(r)[:-1] for r in rows[:100]] == [tuple(r) for r in texts.QUERIES[first](spark, data).collect()]
+
+
+def built(spark, folder, rows=3):
+    raw = spark.createDataFrame([(f"Q{i}", f"label {i}") for i in range(1, rows + 1)], "qid string, label_en string")
+    full = raw.select("qid", "label_en", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.RAW_RECORD.fields if f.name not in ("qid", "label_en")])
+    dataset.build(full, str(folder), "in.json")
+    return folder
+
+
+def test_datasets_are_validated_and_resolved(spark, tmp_path):
+    root = tmp_path / "input"
+    other, named = built(spark, root / "other"), built(spark, root / "deep" / "records-EN-vi")
+    manifest = dataset.validated_dataset(str(named), spark)
+    assert manifest == dataset.validated_dataset(str(named)) and manifest["content_policy"] and (named / "LICENSE-DATA.md").is_file()
+    assert dataset.resolved_dataset(str(root), prefer="records-en-vi") == str(named)
+    assert dataset.resolved_dataset(str(root), str(other)) == str(other)
+    with pytest.raises(ValueError, match="2 valid"):
+        dataset.resolved_dataset(str(root))
+    with pytest.raises(ValueError, match="not below"):
+        dataset.resolved_dataset(str(root), str(tmp_path))
+    part = next((other / dataset.CANONICAL_NAME).glob("*.parquet"))
+    keep = part.read_bytes()
+    part.write_bytes(b"tampered")
+    with pytest.raises(ValueError, match="checksum"):
+        dataset.validated_dataset(str(other))
+    assert dataset.resolved_dataset(str(root)) == str(named)
+    part.write_bytes(keep)
+    path = other / dataset.MANIFEST
+    for change in ({"source": "x"}, {"source_license": None}, {"canonical_sha256": None}, {"canonical_filename": "none"}):
+        path.write_text(json.dumps({**manifest, **change}))
+        with pytest.raises(ValueError):
+            dataset.validated_dataset(str(other))
+    path.write_text("{")
+    with pytest.raises(ValueError):
+        dataset.validated_dataset(str(other))
+    (named / dataset.QUALITY).unlink()
+    with pytest.raises(ValueError, match="missing"):
+        dataset.validated_dataset(str(named))
+    with pytest.raises(ValueError, match="0 valid"):
+        dataset.resolved_dataset(str(root))
+
+
+def test_published_metadata(spark, tmp_path):
+    folder = built(spark, tmp_path / "d")
+    report = json.loads((folder / dataset.QUALITY).read_text())
+    raw = tmp_path / "raw.jsonl"
+    raw.write_text("{}\n")
+    out = dataset.publish_metadata(str(folder), {"page_size": 5}, [{"name": "x"}], [str(raw)], 3, report, "A title", "me/things", spark)
+    assert out["canonical_sha256"] and out["acquisition"]["raw_files"]["raw.jsonl"]["sha256"] and out["source_license"] == "CC0-1.0"
+    assert json.loads((folder / "dataset-metadata.json").read_text()) == {"id": "me/things", "licenses": [{"name": "CC0-1.0"}], "title": "A title"}
+    assert "provenance-metadata.json" in (folder / dataset.CHECKSUMS).read_text()
+    for bad in ({"expected_rows": 4}, {"title": " "}, {"identifier": "me/"}):
+        with pytest.raises(ValueError):
+            dataset.publish_metadata(**{"folder": str(folder), "parameters": {}, "seeds": [], "raw_files": [], "expected_rows": 3, "report": report, **bad})

@@ -35,6 +35,23 @@ def test_json_scans(spark, tmp_path):
     errors = files.checked_lines(spark, bad, schemas.RAW_RECORD).where("error is not null").collect()
     assert sorted(r.line for r in errors) == [2, 3]
     assert files.resumed(spark, str(tmp_path / "none.jsonl"), schemas.PROVENANCE).count() == 0
+    assert [r.qid for r in files.resumed(spark, lines, schemas.RAW_RECORD).orderBy("qid").collect()] == ["Q1", "Q2"]
+    with pytest.raises(Exception, match=r"b.jsonl:2:not a JSON object|b.jsonl:3:not a JSON object"):
+        files.resumed(spark, bad, schemas.RAW_RECORD).collect()
+
+
+def test_line_numbers_across_blocks(spark, tmp_path):
+    for name in ("a", "b"):
+        write(tmp_path / f"{name}.txt", "".join(f"{name} {i} {'x' * (i % 50)}\n" + "\n" * (i % 7 == 0) for i in range(1, 3000)))
+    want = {(f"{n}.txt", i, line) for n in "ab" for i, line in enumerate((tmp_path / f"{n}.txt").read_text().split("\n")[:-1], 1)}
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        df = files.numbered_lines(spark, f"{tmp_path}/*.txt")
+        assert df.rdd.getNumPartitions() > 1
+        assert {(r.file.rsplit("/", 1)[1], r.line, r.text) for r in df.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
 
 
 def test_golden_suite(spark, tmp_path):
@@ -56,7 +73,8 @@ def test_matrix_results(spark, tmp_path):
     folder.mkdir()
     write(folder / "1.json", json.dumps(one))
     write(folder / "2.json", json.dumps({"other": 1}))
-    assert files.matrix_results(spark, str(folder)).count() == 1
+    write(folder / "0.json", json.dumps({**one, "case_id": "z"}))
+    assert [(r.case_id, r.ordinal) for r in files.matrix_results(spark, str(folder)).orderBy("ordinal").collect()] == [("z", 1), ("a", 2)]
 
 
 def test_checksums_and_trees(spark, tmp_path):
@@ -199,13 +217,29 @@ def test_discovery(spark):
 
     spark.dataSource.register(Offline)
     df = spark.read.format("discovery").options(seed="Q5", pages="2", page_size="10").load()
-    assert sorted((r.page_offset, r.item_pos, r.qid) for r in df.collect()) == [(0, 0, "Q1"), (0, 1, "Q2"), (10, 0, "Q11"), (10, 1, "Q12")]
+    got = [(r.page_offset, r.item_pos, r.qid) for r in discovery.listed(df).collect()]
+    assert sorted(got) == [(0, 0, "Q1"), (0, 1, "Q2"), (10, 0, "Q11"), (10, 1, "Q12")]
+    odd = spark.createDataFrame([("Q5", 0, "{}"), ("Q5", 1, "no"), ("Q5", 2, None), ("Q5", 3, '{"results": {"bindings": [null, {"item": {}}, {"item": {"value": "Q7"}}]}}')], df.schema)
+    assert [(r.page_offset, r.item_pos, r.qid) for r in discovery.listed(odd).collect()] == [(3, 0, "Q7")]
     for bad in (("x", 0, 1), ("Q1", -1, 1), ("Q1", 0, 1001)):
         with pytest.raises(ValueError):
             discovery.page_query(*bad)
-    answer = {"entities": [{"id": "Q2"}, {"id": "Q1"}, {"id": "Q3", "missing": True}]}
-    assert [e["id"] for e in discovery.in_order(["Q1", "Q2", "Q3", "Q4"], answer)] == ["Q1", "Q2"]
-    assert len(discovery.entity_lines(["Q1"], lambda u, p: answer, "")) == 1
+    asked = []
+
+    def transport(url, params):
+        asked.append(params)
+        return {"entities": [{"id": "Q2"}, {"id": "Q1", "n": "ấ"}, {"id": "Q3", "missing": True}]}
+
+    body = discovery.entity_body(["Q1", "Q2", "Q3", "Q4"], transport, "")
+    assert asked[0]["ids"] == "Q1|Q2|Q3|Q4" and asked[0]["maxlag"] == "5" and asked[0]["props"].startswith("labels|")
+    by_id = '{"entities": {"Q1": {"id": "Q1"}, "Q9": {"missing": true}}}'
+    rows = [(["Q1", "Q2", "Q3", "Q4"], body), (["Q9", "Q1"], by_id), (["Q1"], "{}"), (["Q1"], None), ([], body)]
+    df = spark.createDataFrame(rows, "ids array<string>, body string").select(discovery.in_order(F.col("ids"), F.col("body")).alias("e"))
+    assert [[json.loads(e)["id"] for e in r.e or []] for r in df.collect()] == [["Q1", "Q2"], ["Q1"], [], [], []]
+    with pytest.raises(ValueError):
+        discovery.entity_body([f"Q{i}" for i in range(1, 52)], transport, "")
+    with pytest.raises(ValueError):
+        discovery.entity_body(["x"], transport, "")
 
 
 def test_paced_requests():
@@ -217,13 +251,18 @@ def test_paced_requests():
             raise step
         return step
 
-    assert discovery.paced(get, sleep=waits.append)("u", {}) == {"ok": 1} and waits == [7.0, 2.0, 4.0]
+    assert discovery.Paced(get, sleep=waits.append, clock=lambda: 0.0)("u", {}) == {"ok": 1} and waits == [7.0, 2.0, 4.0]
     script[:] = [discovery.HttpStatus(404)]
     with pytest.raises(discovery.HttpStatus):
-        discovery.paced(get, sleep=waits.append)("u", {})
+        discovery.Paced(get, sleep=waits.append)("u", {})
     script[:] = [OSError()] * 2
     with pytest.raises(RuntimeError):
-        discovery.paced(get, attempts=2, sleep=waits.append)("u", {})
+        discovery.Paced(get, attempts=2, sleep=waits.append)("u", {})
+    # an interval is kept between successful requests too
+    waits.clear()
+    script[:] = [{"a": 1}, {"a": 2}, [1], {"a": 3}]
+    slow = discovery.Paced(get, least=0.5, sleep=waits.append, clock=lambda: 10.0)
+    assert [slow("u", {})["a"] for _ in range(3)] == [1, 2, 3] and waits == [0.5, 0.5, 1.0, 0.5]
 
 
 def test_streaming_append_and_dedup(spark, tmp_path):
