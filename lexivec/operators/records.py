@@ -53,10 +53,11 @@ def claimed_classes(claims: Column) -> Column:
     return F.coalesce(F.array_distinct(F.filter(ids, lambda i: i.isNotNull() & is_qid(i))), F.array().cast("array<string>"))
 
 
-def from_entities(entities: DataFrame) -> DataFrame:
-    """Raw records of entities; an entity without a valid id has a null ``qid`` and an ``error``."""
+def from_entities(entities: DataFrame, *keep: str) -> DataFrame:
+    """Raw records of entities, and the columns ``keep``; an entity without a valid id has a null ``qid`` and an ``error``."""
     qid = text.strip(F.col("id"))
     return entities.select(
+        *keep,
         F.when(is_qid(qid), qid).alias("qid"),
         picked(F.col("labels"), "en").alias("label_en"),
         picked(F.col("labels"), "vi").alias("label_vi"),
