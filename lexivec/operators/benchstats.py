@@ -8,6 +8,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexivec.operators import records
+
 TARGETS = (4096, 8192, 16384, 24576, 32768)
 NOT_RUN = "NOT_RUN_AFTER_OOM"
 SHAPE = ("items_per_request", "dimensions", "requests", "per_worker_concurrency")
@@ -64,6 +66,32 @@ def latency_summary(seconds: str) -> list[Column]:
     ]
 
 
+def latency_report(df: DataFrame, by: str, seconds: str) -> DataFrame:
+    """``latency_summary`` for each ``by``, for groups of any size: a range-partitioned sort, of which single ranks are read.
+
+    No task holds a group's values.  Null seconds do not count; a null ``by`` is a group of its own; a group without
+    values has no row.
+    """
+    rows = df.where(F.col(seconds).isNotNull()).select(F.col(by).alias("g"), (F.col(seconds) * 1000.0).alias("ms"))
+    placed = records.numbered(rows, F.col("g"), F.col("ms"))
+    groups = placed.groupBy("g").agg(
+        F.min("position").alias("first"), (F.count("*") - 1).alias("last"), F.min("ms").alias("least"), F.max("ms").alias("most")
+    )
+    ranks = [F.struct(F.lit(f"p{round(p * 100)}_ms").alias("name"), (F.col("last") * p).alias("at")) for p in (0.5, 0.95, 0.99)]
+    asked = groups.select("*", F.explode(F.array(*ranks)).alias("r")).select(
+        "g", "least", "most", "r.name", (F.col("r.at") - F.floor("r.at")).alias("share"),
+        F.posexplode(F.array(F.col("first") + F.floor("r.at"), F.col("first") + F.ceil("r.at"))).alias("side", "position"),
+    )
+    ends = asked.join(placed.select("position", "ms"), "position")
+    values = ends.groupBy("g", "least", "most", "name", "share").agg(
+        *[F.max(F.when(F.col("side") == s, F.col("ms"))).alias(n) for s, n in enumerate(("lo", "hi"))]
+    )
+    value = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("share")
+    return values.groupBy("g", "least", "most").agg(
+        *[F.round(F.max(F.when(F.col("name") == n, value)), 3).alias(n) for n in ("p50_ms", "p95_ms", "p99_ms")]
+    ).select(F.col("g").alias(by), F.round("least", 3).alias("min_ms"), "p50_ms", "p95_ms", "p99_ms", F.round("most", 3).alias("max_ms"))
+
+
 def throughput(count: Column, elapsed: Column) -> Column:
     """Per second; no or negative time is an error."""
     bad = F.raise_error(F.lit("elapsed must be positive")).cast("double")

@@ -153,10 +153,13 @@ def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     return at.withColumn("position", F.col("position") + offset).drop("_part")
 
 
-def gate_violations(stored: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Stored texts that are not in their own normal form: ``field, n``."""
+def gate_violations(stored: DataFrame, columns: tuple[str, ...], arrays: tuple[str, ...] = ()) -> DataFrame:
+    """Stored texts that are not in their own normal form: ``field, n``; of arrays each entry counts."""
     checks = [F.count_if(text.normalized(F.col(c)) != F.col(c)).alias(c) for c in columns]
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("n")) for c in columns]))
+    for c in arrays:
+        same = F.zip_with(c, F.transform(text.nfc_each(F.col(c)), text.squeeze), lambda a, b: a != b)
+        checks.append(F.coalesce(F.sum(F.size(F.filter(same, lambda x: x))), F.lit(0)).alias(c))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("bigint").alias("n")) for c in (*columns, *arrays)]))
     return stored.agg(*checks).select(pairs.alias("x")).select("x.field", "x.n")
 
 

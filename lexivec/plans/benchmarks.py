@@ -36,7 +36,7 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a15_latency_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).groupBy("event_type").agg(*benchstats.latency_summary("value"))
+    return benchstats.latency_report(_events(spark, d), "event_type", "value")
 
 
 def a16_throughput(spark: SparkSession, d: str) -> DataFrame:

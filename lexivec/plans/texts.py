@@ -76,6 +76,11 @@ def prj22_unicode_gate(spark: SparkSession, d: str) -> DataFrame:
     return records.gate_violations(table(spark, d, "canonical_records"), records.SCALARS)
 
 
+def prj22_whole_gate(spark: SparkSession, d: str) -> DataFrame:
+    """The gate over all texts, aliases included."""
+    return records.gate_violations(table(spark, d, "canonical_records"), records.SCALARS, records.ARRAYS)
+
+
 def a01_reject_counts(spark: SparkSession, d: str) -> DataFrame:
     return records.reject_counts(_canonical(spark, d))
 
@@ -189,7 +194,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         f01_normalize_text, f02_mojibake, f03_aliases, f04_tokens, f05_suspected_english, prj07_documents, prj08_canonicalize,
-        prj08_rejected, prj11_index_text, prj22_unicode_gate, a01_reject_counts, a02_flag_counts, a02_flags_as_delivered,
+        prj08_rejected, prj11_index_text, prj22_unicode_gate, prj22_whole_gate, a01_reject_counts, a02_flag_counts, a02_flags_as_delivered,
         a03_null_rates, a04_falsy_rates, a05_identical_pairs, a07_category_coverage, u03_ordered_distinct, u05_first_per_qid,
         x01_canonical_order, x01_canonical_positions, x02_numeric_order, x02_numeric_positions, w05_first_accepted, w05_scanned,
         prj12_item_status, prj14_instructed, prj24_body_limit, f12_text_hash, f13_json_hash, f16_scan, prj23_tunnel,
@@ -317,6 +322,10 @@ SQL = {
     "prj22_unicode_gate": " union all ".join(
         f"select '{c}' as field, count(*) filter (where {_norm(c)} <> {c})::bigint as n from canonical_records" for c in records.SCALARS
     ),
+    "prj22_whole_gate": " union all ".join(
+        [f"select '{c}' as field, count(*) filter (where {_norm(c)} <> {c})::bigint as n from canonical_records" for c in records.SCALARS]
+        + [f"select '{c}' as field, coalesce(sum(len(list_filter({c}, lambda v: {_norm('v')} <> v))), 0)::bigint as n from canonical_records" for c in records.ARRAYS]
+    ),
     "a01_reject_counts": f"with {CANONICAL} select reason, count(*)::bigint as n from judged where reason is not null group by reason",
     "a02_flag_counts": f"with {CANONICAL} select quality_flags as flag, count(*)::bigint as n from good where quality_flags <> '' group by 1",
     "a02_flags_as_delivered": "select flag, count(*)::bigint as n from (select unnest(quality_flags) as flag from canonical_records) group by flag",

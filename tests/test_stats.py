@@ -62,6 +62,11 @@ def test_latency_and_throughput(spark):
     df = spark.createDataFrame([(0.1,), (0.2,), (0.3,), (0.4,)], "s double")
     r = df.agg(*benchstats.latency_summary("s")).first()
     assert (r.min_ms, r.p50_ms, r.max_ms) == (100.0, 250.0, 400.0)
+    rows = [(None if i % 5 == 0 else "ab"[i % 2], ((i * 7919) % 1001) / 1000) for i in range(400)] + [("c", 0.5), ("n", None), ("a", None)]
+    many = spark.createDataFrame(rows, "g string, s double").repartition(6).withColumns({c: F.lit(0) for c in ("position", "ms", "name", "least")})
+    got = {r.g: tuple(r)[1:] for r in benchstats.latency_report(many, "g", "s").collect()}
+    assert got == {r.g: tuple(r)[1:] for r in many.where("s is not null").groupBy("g").agg(*benchstats.latency_summary("s")).collect()}
+    assert set(got) == {None, "a", "b", "c"} and benchstats.latency_report(many.limit(0), "g", "s").count() == 0
     t = df.agg(benchstats.throughput(F.lit(8), F.lit(1.0)).alias("t")).first().t
     assert t == 8.0
     with pytest.raises(Exception, match="positive"):
