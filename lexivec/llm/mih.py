@@ -483,9 +483,12 @@ def _mutual(v: Vectors, k: int, least: float, id_col: str) -> DataFrame:
     )
 
 
-#: Rows of one block of the index, and of the queries searched in it at a time.
-INDEX_BLOCK = 65_536
-QUERY_BLOCK = 16_384
+#: Bytes of one block of the index, and of the queries searched in it at a time.  A vector is sent once for each
+#: block of the other kind, so blocks are as large as a task can hold.
+INDEX_BYTES = 64 << 20
+ASKED_BYTES = 32 << 20
+#: Rows of a block at least, where more blocks would only make work for more cores.
+BLOCK_ROWS = 16_384
 SEARCH_TABLES = 16
 SEARCH_BITS = 8
 
@@ -606,7 +609,12 @@ def _search(v: Vectors, every: int, k: int, radius: int, id_col: str) -> DataFra
     rows = v.rows()
     counts = {r.idx: (r.n, r.q) for r in v.codes.groupBy("idx").agg(
         F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).collect()}
-    grid = {i: (-(-n // INDEX_BLOCK), max(1, -(-q // QUERY_BLOCK))) for i, (n, q) in counts.items()}
+    cores = v.source.sparkSession.sparkContext.defaultParallelism
+
+    def blocks(n: int, q: int, row: int) -> tuple[int, int]:
+        return max(-(-n * row // INDEX_BYTES), min(cores, -(-n // BLOCK_ROWS)), 1), max(1, -(-q * row // ASKED_BYTES))
+
+    grid = {i: blocks(n, q, 4 * v.dims[i]) for i, (n, q) in counts.items()}
     books, tables, bits = v.books, v.tables, v.bits
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
