@@ -61,16 +61,19 @@ def measured(snippets: DataFrame, vec_col: str) -> tuple[DataFrame, DataFrame]:
 def code_retrieval(
     snippets: DataFrame, queries: DataFrame, expected: DataFrame, dims: int, k: int = 10,
     id_col: str = "id", vec_col: str = "embedding", exclude_self: bool = False, digits: int | None = None,
+    hits: DataFrame | None = None,
 ) -> DataFrame:
     """One row: queries, snippets in all, finite and excluded ones, and hit@1/5/10 over the finite snippets.
 
     ``snippets`` and ``queries``: id_col, vec_col; ``expected``: query_id, id.  A query without an expected id among its
-    hits is a miss.  Scores are rounded to ``digits`` before they are ranked where that is given.  Empty tables
+    hits is a miss.  ``hits`` are those of an earlier search, if there are any.  Scores are rounded to ``digits`` before they are ranked where that is given.  Empty tables
     give zero counts and null rates.
     """
     fine, excluded = measured(snippets, vec_col)
     # more than k, as rounding may join scores at the edge
-    hits = search.search_all(fine, queries, 4 * k, id_col, vec_col, dims, exclude_self).drop("rank")
+    if hits is None:
+        hits = search.search_all(fine, queries, 4 * k, id_col, vec_col, dims, exclude_self)
+    hits = hits.drop("rank")
     if digits is not None:
         hits = hits.withColumn("score", F.round("score", digits))
     ranked = search.rank_hits(hits, "query_id", "id", k)

@@ -14,6 +14,8 @@ from lexivec.functions import vectors
 
 #: Queries are shipped to the scan as one matrix up to this size; larger sets are searched block by block.
 QUERY_BYTES = 64 << 20
+#: Rows scored at a time: as many as give a matrix of scores of this size, and at most BLOCK_ROWS.
+SCORE_BYTES = 64 << 20
 BLOCK_ROWS = 4096
 
 
@@ -118,6 +120,7 @@ def _scan(rows: DataFrame, qids: pa.ChunkedArray, units: dict[int, np.ndarray],
     n = len(q_array)
     first = pc.index_in(q_array, q_array).to_numpy(zero_copy_only=False) if n else np.zeros(0, np.int64)
     repeated = np.flatnonzero(first != np.arange(n))
+    step = max(16, min(BLOCK_ROWS, SCORE_BYTES // (8 * max(1, n))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {w: _Held(n, k) for w in units}
@@ -136,10 +139,10 @@ def _scan(rows: DataFrame, qids: pa.ChunkedArray, units: dict[int, np.ndarray],
             m = _matrix(batch["v"], dims)
             for w, q in units.items():
                 unit = _unit(m[:, :w])
-                for at in range(0, len(m), BLOCK_ROWS):
-                    s = q @ unit[at : at + BLOCK_ROWS].T
+                for at in range(0, len(m), step):
+                    s = q @ unit[at : at + step].T
                     if exclude_self:
-                        mine = own[at : at + BLOCK_ROWS]
+                        mine = own[at : at + step]
                         ok = np.flatnonzero(~np.isnan(mine.astype(float)))
                         s[mine[ok].astype(np.int64), ok] = -np.inf
                         for r in repeated.tolist():  # the same id asked again

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexivec.operators import benchstats, capabilities, search
 from lexivec.plans import searches
-from lexivec.session import table
+from lexivec.session import cut_lineage, table
 
 K = 10
 DIMS = 48
@@ -72,13 +72,13 @@ def b12_code_retrieval(spark: SparkSession, d: str) -> DataFrame:
     fine, _ = capabilities.measured(s, "embedding")
     asked = fine.where(F.col("id") % searches.EVERY == 0)
     near = fine.select("qid", F.col("id").alias("hit"))
-    hits = search.search_all(fine, asked, 4 * K, "id", "embedding", DIMS)
+    hits = cut_lineage(search.search_all(fine, asked, 4 * K, "id", "embedding", DIMS))
     # only hits can be expected ones, so a qid of very many rows is not paired with itself
     expected = (
         hits.select("query_id", "id").join(near.select(F.col("hit").alias("id"), "qid"), "id")
         .join(asked.select(F.col("id").alias("query_id"), "qid"), ["query_id", "qid"]).select("query_id", "id")
     )
-    r = capabilities.code_retrieval(s, asked, expected, DIMS, K, exclude_self=True, digits=6)
+    r = capabilities.code_retrieval(s, asked, expected, DIMS, K, exclude_self=True, digits=6, hits=hits)
     return r.select(
         "query_count", "snippet_count_total", "snippet_count_finite", "snippet_count_excluded",
         *[F.round(f"hit_at_{n}", 6).alias(f"hit_at_{n}") for n in (1, 5, 10)],
