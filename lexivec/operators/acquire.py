@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import math
-import os
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexivec import schemas
 from lexivec.operators import records
-from lexivec.session import exists
+from lexivec.session import exists, read_text, write_text
 
 # The default seed categories (name, class, weight).
 DEFAULT_SEEDS = (
@@ -119,18 +118,15 @@ class State:
 
     @classmethod
     def load(cls, path: str) -> "State":
-        if not os.path.exists(path):
+        try:
+            known = json.loads(read_text(path))
+        except FileNotFoundError:
             return cls()
-        with open(path, encoding="utf-8") as f:
-            known = json.load(f)
         return cls(**{k: v for k, v in known.items() if k in cls.__dataclass_fields__})
 
     def save(self, path: str) -> None:
         """Written beside the file and moved over it, so it is never half there."""
-        tmp = f"{path}.tmp"
-        with open(tmp, "w", encoding="utf-8") as f:
-            json.dump(asdict(self), f, sort_keys=True, ensure_ascii=False, indent=2)
-        os.replace(tmp, path)
+        write_text(path, json.dumps(asdict(self), sort_keys=True, ensure_ascii=False, indent=2))
 
 
 #: ``discover(seed class, offset, limit) -> ids``; ``fetch(ids) -> entity documents in the order asked``.

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexivec.operators import records
+from lexivec.session import write_text
 
 TARGETS = (4096, 8192, 16384, 24576, 32768)
 NOT_RUN = "NOT_RUN_AFTER_OOM"
@@ -45,11 +45,7 @@ def per_worker_concurrency() -> Column:
 
 def write_result(result: dict, path: str) -> int:
     """Write a benchmark's result as JSON; the exit status is 1 where requests failed."""
-    folder = os.path.dirname(path)
-    if folder:
-        os.makedirs(folder, exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps(result, indent=2, sort_keys=True) + "\n")
+    write_text(path, json.dumps(result, indent=2, sort_keys=True) + "\n")
     return 1 if result.get("errors") else 0
 
 

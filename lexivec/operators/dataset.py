@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.operators import acquire, records
-from lexivec.session import cut_lineage
+from lexivec.session import cut_lineage, read_text, write_text
 from lexivec.sources import files
 
 CANONICAL_NAME = "canonical.parquet"
@@ -36,8 +36,7 @@ def _hash(path: str) -> str:
 
 
 def _write_json(path: str, value: dict) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n")
+    write_text(path, json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n")
 
 
 def hashes(path: str, spark: SparkSession | None = None) -> dict[str, dict]:
@@ -80,7 +79,6 @@ def build(raw: DataFrame, out_dir: str, input_name: str, limit: int | None = Non
     them.  Records are canonicalised once; all counts come from that table.  With ``input_path`` the manifest has the
     input's hash.
     """
-    os.makedirs(out_dir, exist_ok=True)
     canonical = records.canonicalize(raw, (ordinal,) if ordinal else ())
     if limit is not None:
         if ordinal is None:
@@ -126,8 +124,7 @@ def build(raw: DataFrame, out_dir: str, input_name: str, limit: int | None = Non
         "null_rates": report["null_rates"],
     }
     _write_json(f"{out_dir}/{MANIFEST}", manifest)
-    with open(f"{out_dir}/{LICENSE}", "w", encoding="utf-8") as f:
-        f.write(LICENSE_TEXT)
+    write_text(f"{out_dir}/{LICENSE}", LICENSE_TEXT)
     write_checksums(out_dir, spark)
     return report
 
@@ -135,8 +132,7 @@ def build(raw: DataFrame, out_dir: str, input_name: str, limit: int | None = Non
 def write_checksums(folder: str, spark: SparkSession | None = None) -> None:
     """``<sha256>  <path>`` of every file but the list itself, sorted."""
     rows = [f"{v['sha256']}  {k}" for k, v in hashes(folder, spark).items() if k != CHECKSUMS and not k.endswith(".crc")]
-    with open(f"{folder}/{CHECKSUMS}", "w", encoding="utf-8") as f:
-        f.write("".join(r + "\n" for r in rows))
+    write_text(f"{folder}/{CHECKSUMS}", "".join(r + "\n" for r in rows))
 
 
 def write_provenance(pages: DataFrame, path: str) -> None:
@@ -163,8 +159,7 @@ def publish_metadata(folder: str, parameters: dict, seeds: list[dict], raw_files
     owner, _, slug = (part.strip() for part in identifier.partition("/"))
     if not (title.strip() and owner and slug):
         raise ValueError("title, owner and name must not be empty")
-    with open(f"{folder}/{MANIFEST}", encoding="utf-8") as f:
-        built = json.load(f)
+    built = json.loads(read_text(f"{folder}/{MANIFEST}"))
     out = {
         "format_version": 1,
         "source": built["source"],
@@ -192,8 +187,7 @@ def validated_dataset(folder: str, spark: SparkSession | None = None) -> dict:
     for name in (MANIFEST, QUALITY):
         if not os.path.isfile(f"{folder}/{name}"):
             raise ValueError(f"missing {name}: {folder}")
-    with open(f"{folder}/{MANIFEST}", encoding="utf-8") as f:
-        manifest = json.load(f)  # a JSON error is a ValueError
+    manifest = json.loads(read_text(f"{folder}/{MANIFEST}"))  # a JSON error is a ValueError
     if (manifest.get("source"), manifest.get("source_license")) != (records.SOURCE, records.SOURCE_LICENSE):
         raise ValueError(f"dataset must declare source {records.SOURCE} and licence {records.SOURCE_LICENSE}")
     name, sha = manifest.get("canonical_filename"), manifest.get("canonical_sha256")
@@ -237,8 +231,7 @@ def package_index(index_dir: str, out_dir: str, artifact_type: str) -> dict:
     if os.path.exists(out_dir) and os.listdir(out_dir):
         raise FileExistsError(out_dir)
     shutil.copytree(index_dir, out_dir, dirs_exist_ok=True)
-    with open(f"{out_dir}/index-metadata.json", encoding="utf-8") as f:
-        meta = json.load(f)
+    meta = json.loads(read_text(f"{out_dir}/index-metadata.json"))
     _write_json(f"{out_dir}/manifest.json", {"schema_version": 1, "artifact_type": artifact_type, **meta})
     write_checksums(out_dir)
     return validated_artifact(out_dir, artifact_type)
@@ -246,16 +239,14 @@ def package_index(index_dir: str, out_dir: str, artifact_type: str) -> dict:
 
 def validated_artifact(folder: str, artifact_type: str, fingerprint: str | None = None, shape: tuple[int, int] | None = None) -> dict:
     """The manifest of a packaged index whose files, checksums and metadata all agree, else an error."""
-    with open(f"{folder}/manifest.json", encoding="utf-8") as f:
-        manifest = json.load(f)
+    manifest = json.loads(read_text(f"{folder}/manifest.json"))
     if manifest.get("schema_version") != 1 or manifest.get("artifact_type") != artifact_type:
         raise ValueError("unsupported artifact")
     if shape is not None and (manifest.get("row_count"), manifest.get("dimensions")) != shape:
         raise ValueError("artifact of another shape")
     if fingerprint is not None and manifest.get("model_fingerprint") != fingerprint:
         raise ValueError("model fingerprint mismatch")
-    with open(f"{folder}/SHA256SUMS", encoding="utf-8") as f:
-        listed = dict(reversed(line.split(None, 1)) for line in f.read().splitlines() if line.strip())
+    listed = dict(reversed(line.split(None, 1)) for line in read_text(f"{folder}/{CHECKSUMS}").splitlines() if line.strip())
     have = {k: v["sha256"] for k, v in hashes(folder).items()}
     unlisted = {k for k in have if k != CHECKSUMS and not k.endswith(".crc")} - listed.keys()
     if unlisted or not {"manifest.json", "index-metadata.json"} <= listed.keys():
@@ -263,8 +254,7 @@ def validated_artifact(folder: str, artifact_type: str, fingerprint: str | None
     for name, sha in listed.items():
         if have.get(name) != sha:
             raise ValueError(f"checksum mismatch: {name}")
-    with open(f"{folder}/index-metadata.json", encoding="utf-8") as f:
-        meta = json.load(f)
+    meta = json.loads(read_text(f"{folder}/index-metadata.json"))
     for key in ("model_fingerprint", "dataset_sha256", "row_count", "dimensions"):
         if meta.get(key) != manifest.get(key) or key not in meta:
             raise ValueError(f"manifest and metadata differ: {key}")

@@ -38,10 +38,55 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.LocalFileSystem").isInstance(fs):
+        fs = fs.getRawFileSystem()  # without files of checksums beside the files
+    return fs, where
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is something at ``path``, in whatever file system it is."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    fs, where = _file_system(spark, path)
+    return fs.exists(where)
+
+
+def read_text(path: str) -> str:
+    """A small text file of whatever file system the session knows; without a session a local one."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+    fs, where = _file_system(spark, path)
+    if not fs.exists(where):
+        raise FileNotFoundError(path)
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_text(path: str, value: str) -> None:
+    """Write a small text file beside its place and move it there, so it is never half there."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+            f.write(value)
+        os.replace(f"{path}.tmp", path)
+        return
+    fs, where = _file_system(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
+    out = fs.create(beside, True)  # its folders too
+    try:
+        out.write(bytearray(value.encode("utf-8")))
+    finally:
+        out.close()
+    fs.delete(where, False)
+    if not fs.rename(beside, where):
+        raise OSError(f"cannot write {path}")
 
 
 def spread_out(df: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from lexivec.functions import text, vectors
 from lexivec.operators import search
 from lexivec.operators.embed import embedding
+from lexivec.session import read_text, write_text
 
 METADATA = "index-metadata.json"
 CHECKED = ("model_fingerprint", "dimensions", "dataset_sha256", "row_count")
@@ -43,16 +43,13 @@ def build(records: DataFrame, path: str, embedder, model_fingerprint: str, datas
         "row_count": rows,
         "dataset_sha256": dataset_sha256,
     }
-    with open(f"{path}/{METADATA}.tmp", "w", encoding="utf-8") as f:
-        json.dump(meta, f, sort_keys=True, indent=2)
-    os.replace(f"{path}/{METADATA}.tmp", f"{path}/{METADATA}")
+    write_text(f"{path}/{METADATA}", json.dumps(meta, sort_keys=True, indent=2))
     return meta
 
 
 def load(spark: SparkSession, path: str, expected: dict) -> DataFrame:
     """The index's rows, once its metadata agree with ``expected`` and its rows are all there."""
-    with open(f"{path}/{METADATA}", encoding="utf-8") as f:
-        meta = json.load(f)
+    meta = json.loads(read_text(f"{path}/{METADATA}"))
     for key in CHECKED:
         if meta.get(key) != expected.get(key):
             raise IndexMismatch(f"{key}: {meta.get(key)!r} instead of {expected.get(key)!r}")
