@@ -42,6 +42,43 @@ class HashingEmbedder:
         return out / np.where(n == 0, 1.0, n)
 
 
+class PooledEmbedder:
+    """Texts through a tokenizer and a forward function, pooled over their last tokens.
+
+    ``tokenize`` gives a text's token ids, ``forward`` the hidden states ``(items, tokens, width)`` of padded ids and their
+    mask.  Tokens beyond ``max_sequence`` are cut off, shorter texts padded on the left, so the last place is
+    every text's last token.  The first ``dimensions`` of its state are brought to length 1; a text without tokens
+    is the padding alone; states that are no numbers stay so, for the caller to set aside.
+    """
+
+    def __init__(self, tokenize, forward, dimensions: int, max_sequence: int = 4096, padding: int = 0):
+        if dimensions < 1 or max_sequence < 1:
+            raise ValueError("dimensions and max_sequence must be positive")
+        self.tokenize, self.forward, self.dimensions, self.max_sequence, self.padding = tokenize, forward, dimensions, max_sequence, padding
+
+    def padded(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids and mask, padded on the left."""
+        ids = [list(self.tokenize(t))[: self.max_sequence] for t in texts]
+        width = max([1, *map(len, ids)])
+        out = np.full((len(ids), width), self.padding, dtype=np.int64)
+        mask = np.zeros((len(ids), width), dtype=np.int64)
+        for row, own, there in zip(out, ids, mask):
+            if own:
+                row[-len(own) :], there[-len(own) :] = own, 1
+        return out, mask
+
+    def embed(self, texts: Sequence[str]) -> np.ndarray:
+        if not len(texts):
+            return np.zeros((0, self.dimensions), dtype=np.float32)
+        ids, mask = self.padded(texts)
+        hidden = np.asarray(self.forward(ids, mask))
+        if hidden.shape[:2] != ids.shape or hidden.shape[2] < self.dimensions:
+            raise RuntimeError(f"hidden states of shape {hidden.shape}")
+        last = hidden[:, -1, : self.dimensions].astype(np.float64)
+        norm = np.linalg.norm(last, axis=1, keepdims=True)
+        return (last / np.where(norm == 0, 1.0, norm)).astype(np.float32)
+
+
 def split(tokens: Sequence[int], max_items: int = MAX_ITEMS, max_tokens: int = MAX_TOKENS) -> list[slice]:
     """Runs of items whose padded cost and number stay within the limits; an item over them runs alone."""
     out, lo, top = [], 0, 0

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +233,33 @@ def test_matrix_cases_and_result_sink(spark, tmp_path):
     path = str(tmp_path / "deep" / "r.json")
     assert benchstats.write_result({"errors": 0, "label": "x"}, path) == 0 and benchstats.write_result({"errors": 2}, path) == 1
     assert open(path).read() == '{\n  "errors": 2\n}\n'
+
+
+def test_pooled_embedder(spark):
+    def letters(text):
+        return [ord(c) % 97 + 1 for c in text]
+
+    def states(ids, mask):
+        # the state of a place: its token, the number of tokens so far, and a constant; token 50 has no finite state
+        s = np.stack([ids.astype(float), np.cumsum(mask, axis=1), np.ones(ids.shape)], axis=2)
+        s[ids == 50] = np.nan
+        return s
+
+    def pooled():
+        return embed.PooledEmbedder(letters, states, 2, max_sequence=4)
+
+    texts = ["ab", "abcdefgh", "", "a", chr(97 * 2 + 49)]
+    ids, mask = pooled().padded(texts)
+    assert ids.shape == (5, 4) and ids[0].tolist()[:2] == [0, 0] and mask.sum(axis=1).tolist() == [2, 4, 0, 1, 1]
+    got = pooled().embed(texts)
+    want = np.array([letters("b")[0], 2.0])
+    assert np.allclose(got[0], want / np.linalg.norm(want)) and np.allclose(np.linalg.norm(got[:2], axis=1), 1)
+    assert got[1][1] / got[1][0] == pytest.approx(4 / letters("d")[0]) and np.isnan(got[4]).all() and got[2].tolist() == [0, 0]
+    assert np.allclose(pooled().embed(["ab"]), got[:1])  # padding makes no difference
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, None)], "id int, t string")
+    rows = {r.id: r.v for r in df.select("id", embed.embedding(F.col("t"), pooled, 2, 64).alias("v")).collect()}
+    assert rows[9] is None and np.allclose(rows[1], got[1]) and np.isnan(rows[4]).all()
+    with pytest.raises(RuntimeError):
+        embed.PooledEmbedder(letters, lambda i, m: np.zeros((1, 1, 1)), 2).embed(["ab"])
+    with pytest.raises(ValueError):
+        embed.PooledEmbedder(letters, states, 0)
