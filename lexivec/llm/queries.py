@@ -128,24 +128,45 @@ def p4_size(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+#: A capacity at which best fit is not optimal on these texts, so that the search has work.
+SMALL = 512
+
+
+def _texts_in_containers(spark: SparkSession, d: str, capacity: int) -> DataFrame:
     """Every text once: whole unless it is over the capacity, in containers that are not over it."""
-    packed = packing.pack(_docs(spark, d))
+    packed = packing.pack(_docs(spark, d), capacity=capacity)
     full = F.sum("n_tokens").over(Window.partitionBy("container"))
-    kept = packed.withColumn("fits", F.col("container").isNull() | (full <= 2048))
+    kept = packed.withColumn("fits", F.col("container").isNull() | (full <= capacity))
     return kept.groupBy("doc_id").agg(
         F.min("fits").alias("fits"),
-        ((F.count("*") == 1) | (F.sum("n_tokens") > 2048)).alias("whole"),
-        (F.count("*") == F.greatest(F.lit(1), F.ceil(F.sum("n_tokens") / 2048))).alias("fewest_parts"),
+        ((F.count("*") == 1) | (F.sum("n_tokens") > capacity)).alias("whole"),
+        (F.count("*") == F.greatest(F.lit(1), F.ceil(F.sum("n_tokens") / capacity))).alias("fewest_parts"),
     )
 
 
-def p5_bounds(spark: SparkSession, d: str) -> DataFrame:
+def _container_bounds(spark: SparkSession, d: str, capacity: int) -> DataFrame:
     """The containers are at most one for each pool above the least number there can be."""
     docs = _docs(spark, d)
     pools = docs.select(F.ceil(F.count("*") / packing.POOL_ITEMS).alias("pools"))
-    report = packing.fill_report(packing.pack(docs)).crossJoin(F.broadcast(pools))  # one row each
-    return report.select((F.col("containers") <= F.col("least_containers") + F.col("pools")).alias("near_least"), (F.col("fullest") <= 2048).alias("none_over"))
+    report = packing.fill_report(packing.pack(docs, capacity=capacity), capacity).crossJoin(F.broadcast(pools))  # one row each
+    near = F.col("containers") <= F.col("least_containers") + F.col("pools")
+    return report.select(near.alias("near_least"), (F.col("fullest") <= capacity).alias("none_over"))
+
+
+def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _texts_in_containers(spark, d, 2048)
+
+
+def p5_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return _container_bounds(spark, d, 2048)
+
+
+def p5_small_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _texts_in_containers(spark, d, SMALL)
+
+
+def p5_small_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return _container_bounds(spark, d, SMALL)
 
 
 def p6_uses(spark: SparkSession, d: str) -> DataFrame:
@@ -203,6 +224,8 @@ QUERIES = {
     "p5_report": p5_report,
     "p5_texts": p5_texts,
     "p5_bounds": p5_bounds,
+    "p5_small_texts": p5_small_texts,
+    "p5_small_bounds": p5_small_bounds,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p6_mix": p6_mix,
@@ -259,6 +282,8 @@ group by s.seed_name, s.weight, n.size
     "p4_size": f"{_CLASSED} select size, true as size_met, true as distinct_qids, true as classed from n",
     "p5_texts": "select doc_id, true as fits, true as whole, true as fewest_parts from documents",
     "p5_bounds": "select true as near_least, true as none_over",
+    "p5_small_texts": "select doc_id, true as fits, true as whole, true as fewest_parts from documents",
+    "p5_small_bounds": "select true as near_least, true as none_over",
     "p6_uses": """
 select source, max_uses, target_weight * budget_tokens as target_tokens, budget_tokens as mixture_tokens,
   true as within_uses, true as each_use_once, true as within_capacity from mix_targets
