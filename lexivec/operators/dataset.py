@@ -28,6 +28,7 @@ The records are structured data of the source named in `{MANIFEST}` and are publ
 # What a manifest says of the records' content.
 CONTENT_POLICY = "structured_wikidata_only"
 PUBLISHED_POLICY = "structured_wikidata_only_no_wikipedia_article_bodies"
+# The keys of reports, manifests and metadata below are fixed names of their formats.
 
 
 def _hash(path: str) -> str:

@@ -6,6 +6,7 @@ import os
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
+# The default instruction, the modes, and below the names and defaults of the settings.
 INSTRUCTION = "Instruct: Given a web search query, retrieve relevant passages that answer the query\nQuery: "
 EXPOSE_MODES = ("off", "cloudflare-quick")
 
