@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import os
+import tarfile
 from datetime import datetime, timezone
 from hashlib import file_digest, sha256
 
@@ -225,6 +227,25 @@ def resolved_dataset(root: str, explicit: str | None = None, prefer: str = "", d
     return _only(named or valid, "valid datasets", root)
 
 
+def write_archive(folder: str, path: str) -> str:
+    """Pack a folder of evidence as a ``.tar.gz``, with its checksum beside it; returns the checksum.
+
+    Files come in the order of their names and without times or owners, so the same folder gives the same archive.
+    """
+    inside = os.path.basename(os.path.normpath(folder))
+
+    def plain(info: tarfile.TarInfo) -> tarfile.TarInfo:
+        info.mtime, info.uid, info.gid, info.uname, info.gname = 0, 0, 0, "", ""
+        return info
+
+    with open(path, "wb") as raw, gzip.GzipFile(filename="", fileobj=raw, mode="wb", mtime=0) as packed, tarfile.open(fileobj=packed, mode="w") as out:
+        for name in hashes(folder):
+            out.add(os.path.join(folder, name), os.path.join(inside, name), filter=plain)
+    digest = _hash(path)
+    write_text(f"{path}.sha256", f"{digest}  {os.path.basename(path)}\n")
+    return digest
+
+
 def package_index(index_dir: str, out_dir: str, artifact_type: str) -> dict:
     """Copy an index with a manifest and checksums, then validate the copy."""
     import shutil

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexivec import schemas
 from lexivec.functions import integrity, text, vectors
-from lexivec.operators import batching, records, requests
+from lexivec.operators import batching, pages, records, requests
 from lexivec.plans.texts import _distinct, _strip
 from lexivec.session import table
 from lexivec.sources import files
@@ -131,9 +131,39 @@ def j13_checksums(spark: SparkSession, d: str) -> DataFrame:
     return files.checksum_mismatches(listed, there).select("name", "problem")
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a page in its language, with links put behind its text."""
+    lot = F.pmod("doc_id", F.lit(7)).cast("string")
+    name = F.concat(F.lit("d/"), lot, F.lit("/"), F.coalesce("qid", F.lit("none")))
+    links = F.concat(
+        F.lit(" [a](../"), F.pmod("doc_id", F.lit(5)).cast("string"), F.lit("/"), F.coalesce("qid", F.lit("none")), F.lit(".md#part) ![i](no.png) [b](https://x/y) [c](./../../../out) [d](#here)")
+    )
+    switch = F.when(F.pmod("doc_id", F.lit(3)) == 0, pages.SWITCH).otherwise("")
+    return table(spark, d, "documents").select(
+        F.concat(name, F.when(F.coalesce("lang", F.lit("")) == "vi", ".vi.md").otherwise(".md")).alias("path"),
+        F.concat(F.coalesce(F.regexp_replace("text", r"[\[\]()]", ""), F.lit("")), switch, links).alias("text"),
+    )
+
+
+def j11_unpaired(spark: SparkSession, d: str) -> DataFrame:
+    return pages.unpaired(_pages(spark, d))
+
+
+def j12_broken_links(spark: SparkSession, d: str) -> DataFrame:
+    p = _pages(spark, d)
+    return pages.broken_links(p, p.select("path"))
+
+
+def a30_bullets(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", pages.message_form(F.col("text")).alias("m")).select(
+        "doc_id", (F.col("m.subject") == "").alias("no_subject"), F.col("m.bullets").cast("bigint").alias("bullets"), F.col("m.valid").alias("valid")
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (f15_holds, f16_members, f17_evidence, f21_addresses, prj18_allowed, f19_entities, b04_missing, x06_restored, k13_parsed, j13_checksums)
+    for f in (f15_holds, f16_members, f17_evidence, f21_addresses, prj18_allowed, f19_entities, b04_missing, x06_restored, k13_parsed, j13_checksums, j11_unpaired, j12_broken_links, a30_bullets)
 }
 
 
@@ -165,6 +195,11 @@ _NAMED = [(f"contains(member, '{m}')", "secret", m) for m in integrity.NAME_MARK
     (f"not {_IS_SOURCE} and regexp_matches(text, '{integrity.BEARER}')", "secret", "Authorization: Bearer"),
     (f"not {_IS_SOURCE} and regexp_matches(text, '{integrity.TUNNEL}')", "secret", "trycloudflare.com"),
 ]
+_PAGES = (
+    "p as (select 'd/' || (doc_id % 7) || '/' || coalesce(qid, 'none') || case when coalesce(lang, '') = 'vi' then '.vi.md' else '.md' end as path, "
+    "case when coalesce(lang, '') = 'vi' then '.md' else '.vi.md' end as other, doc_id % 7 as lot, doc_id % 5 as target_lot, coalesce(qid, 'none') as q, "
+    f"doc_id % 3 = 0 or contains(coalesce(text, ''), '{pages.SWITCH}') as leads from documents)"
+)
 _FINITE = "embeddings is not null and len(list_filter(embeddings, lambda x: x is null or isnan(x) or isinf(x))) = 0"
 
 
@@ -194,4 +229,15 @@ with l as (select doc_id::varchar as name, sha256(case when coalesce(n_chars <>
 f as (select doc_id::varchar as name, sha256(text) as found from documents where text is not null)
 select name, case when found is null then 'missing' when sha is null then 'not listed' when found <> sha then 'differs' end as problem
 from l full join f using (name) where found is null or sha is null or found <> sha""",
+    "j11_unpaired": f"""
+with {_PAGES}, o as (select path, any_value('d/' || lot || '/' || q || other) as peer, bool_or(leads) as leads from p group by path)
+select path, case when peer not in (select path from o) then 'missing counterpart' else 'missing language switch' end as problem from o
+where peer not in (select path from o) or not leads""",
+    "j12_broken_links": f"""
+with {_PAGES} select distinct path, '../' || target_lot || '/' || q || '.md' as target, 'missing' as problem from p
+where 'd/' || target_lot || '/' || q || '.md' not in (select path from p) union select path, './../../../out', 'outside' from p""",
+    "a30_bullets": r"""
+with l as (select doc_id, regexp_split_to_array(regexp_replace(text, '\s+$', ''), E'\r\n|[\n\r]') as lines from documents where text is not null),
+b as (select doc_id, trim(lines[1]) = '' as no_subject, len(list_filter(lines[2:], lambda x: starts_with(x, '- ') and length(x) > 2))::bigint as bullets from l)
+select doc_id, no_subject, bullets, not no_subject and bullets >= 2 as valid from b""",
 }

@@ -125,6 +125,11 @@ def matrix_results(spark: SparkSession, path: str) -> DataFrame:
     return placed.select("r.*", F.row_number().over(w).cast("bigint").alias("ordinal"))
 
 
+def telemetry(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Samples of a monitor as comma-separated lines with a header; values that do not fit the schema are null."""
+    return spark.read.schema(schema).csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=True)
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """``name, sha256`` of a checksum list; names with folders and rows of another form are errors."""
     lines = spark.read.text(path).where(F.trim("value") != "")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexivec import schemas
 from lexivec.functions import integrity
-from lexivec.operators import dataset, search
+from lexivec.operators import dataset, pages, search
 from lexivec.operators.embed import HashingEmbedder
 from lexivec.service import BadRequest, Service, authorized
 from lexivec.settings import Settings
@@ -302,3 +302,36 @@ def test_streaming_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("once").count() == 1
+
+
+def test_pages_links_and_messages(spark):
+    rows = [
+        ("docs/a.md", "x Language / Ngôn ngữ [v](a.vi.md) [m](mailto:x@y) [w](https://x) ![i](none.png) [h](#top)"), ("docs/a.vi.md", None), ("docs/b.md", "[up](../README.md#x) [no](sub/./c.md) [out](../../x)"),
+        ("README.md", "[d](docs/b.md) [d](docs/b.md) [abs](/etc)"), ("LICENSE", "Language / Ngôn ngữ"), (None, "[x](y)"), ("docs/a.md", ""),
+    ]
+    df = spark.createDataFrame(rows, "path string, text string").withColumns({c: F.lit(1) for c in ("peer", "leads", "raw", "target", "to")})
+    got = {r.path: r.problem for r in pages.unpaired(df).collect()}
+    assert got == {"docs/a.vi.md": "missing language switch", "docs/b.md": "missing counterpart", "README.md": "missing counterpart", "LICENSE": "missing counterpart"}
+    links = {(r.path, r.target, r.problem) for r in pages.broken_links(df.where("path is not null"), df.select("path")).collect()}
+    assert links == {("docs/b.md", "sub/./c.md", "missing"), ("docs/b.md", "../../x", "outside"), ("README.md", "/etc", "outside")}
+    assert pages.unpaired(df.limit(0)).count() == 0 and pages.broken_links(df.limit(0), df).count() == 0
+    messages = ["Subject\n\n- one\n- two\n- \n", " \n- a\n- b", "Only\n- a", "", None, "S\r\n- a\r\n- b\r\n"]
+    m = spark.createDataFrame([(i, x) for i, x in enumerate(messages)], "i int, m string")
+    forms = {r.i: (r.f.bullets, r.f.valid) for r in m.select("i", pages.message_form(F.col("m")).alias("f")).collect()}
+    assert forms == {0: (2, True), 1: (2, False), 2: (1, False), 3: (0, False), 4: (0, False), 5: (2, True)}
+
+
+def test_archive_and_telemetry(spark, tmp_path):
+    folder = tmp_path / "run"
+    (folder / "in").mkdir(parents=True)
+    write(folder / "b.txt", "b")
+    write(folder / "in" / "a.txt", "ấ")
+    first = dataset.write_archive(str(folder), str(tmp_path / "x.tar.gz"))
+    assert (tmp_path / "x.tar.gz.sha256").read_text() == f"{first}  x.tar.gz\n" and first == dataset.write_archive(str(folder), str(tmp_path / "y.tar.gz"))
+    got = {r.member: r.content.decode() for r in files.members(spark, str(tmp_path / "x.tar.gz")).collect()}
+    assert got == {"run/b.txt": "b", "run/in/a.txt": "ấ"}
+    path = write(tmp_path / "gpu.csv", "ts, used\n1, 10\n2, none\n")
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("ts", T.IntegerType()), T.StructField("used", T.IntegerType())])
+    assert sorted(map(tuple, files.telemetry(spark, path, schema).collect())) == [(1, 10), (2, None)]
