@@ -102,7 +102,9 @@ class Mixture:
             own = docs.join(targets.where(F.col("source").isNotNull()).select("source").distinct(), "source", "left_semi")
         self.sized = cut_lineage(
             spread_out(own.select("doc_id", "source", "text")).select(
-                "doc_id", "source", token_count(F.col("text"), vocabulary).alias("n_tokens")
+                # tells rows without an id apart, so that they are not all in one shard
+                "doc_id", "source", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("row"),
+                token_count(F.col("text"), vocabulary).alias("n_tokens"),
             )
         )
         have = {r.source: r.t for r in self.sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
@@ -156,7 +158,7 @@ class Mixture:
         )
         # at most FEW_SOURCES rows are broadcast
         small = self.sized.where("n_tokens > 0").join(F.broadcast(plan) if self.few else plan, "source")
-        placed = small.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(self.seed)), "shards").cast("int"))
+        placed = small.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row", F.lit(self.seed)), "shards").cast("int"))
         shards = placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).collect()
         quotas = []
         by_source: dict[str, list] = {}
@@ -167,7 +169,7 @@ class Mixture:
             _, tokens = apportion(quota, self.block, [float(p.t) for p in parts], [p.t * uses for p in parts])
             quotas += [(s, p.shard, q, p.t) for p, q in zip(parts, tokens)]
         shard_plan = spark.createDataFrame(quotas, "source string, shard int, shard_quota bigint, shard_tokens bigint")
-        w = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(self.seed + 1)), "doc_id", "n_tokens")
+        w = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", "row", F.lit(self.seed + 1)), "doc_id", "row", "n_tokens")
         run = (
             placed.join(F.broadcast(shard_plan) if self.few else shard_plan, ["source", "shard"])  # <= MAX_SHARDS + FEW_SOURCES rows
             .withColumn("before", F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)))

@@ -202,7 +202,7 @@ def pack(
     ties and null ids do not matter; other columns are ignored.
 
     Only ids and sizes are shuffled, once, into pools of about ``pool_items`` rows chosen by a
-    hash of id and text, so no id, source or size can make a pool large.  A pool leaves at most
+    hash of id and text (of their place for rows without an id), so no id, source or size can make a pool large.  A pool leaves at most
     one container badly filled, a share of about ``1 / containers per pool``.
     """
     kind = df.schema[id_col].dataType.simpleString()
@@ -210,7 +210,8 @@ def pack(
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sized = spread_out(rows).select(
         "id",
-        F.pmod(F.xxhash64("id", "text"), F.lit(pools)).cast("int").alias("pool"),
+        # rows without an id may hold one text very often
+        F.pmod(F.xxhash64("id", "text", F.when(F.col("id").isNull(), F.monotonically_increasing_id())), F.lit(pools)).cast("int").alias("pool"),
         token_count(F.col("text"), vocabulary).alias("n"),
     )
 

@@ -156,3 +156,15 @@ def test_many_sources_and_few_shards_give_the_same_mixture(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_SHARDS", 2)
     rows, report = drawn(shard_tokens=10)
     assert report == first[1] and len({(s, i, u) for s, i, u, _ in rows}) == len(rows)
+
+
+def test_rows_without_an_id_are_spread(spark):
+    rows = [(None, "a", words(20))] * 400 + [(i, "a", words(20)) for i in range(100)] + [(7, "a", words(20))] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(4)
+    packed = packing.pack(df, capacity=64, pool_items=100).collect()
+    assert sum(r.doc_id is None for r in packed) == 400 and len({r.container.split("-")[0] for r in packed if r.doc_id is None}) > 3
+    plan = mixing.mix(df, targets(spark, [("a", 1.0, 1)], 10**6), shard_tokens=1000)
+    got = plan.rows.collect()
+    assert len(got) == 503 and sum(r.doc_id is None for r in got) == 400
+    sizes = plan.report.first()
+    assert sizes.mixed_tokens == sizes.available_tokens
