@@ -46,7 +46,7 @@ INDEXES_AT_ONCE = 1000
 #: Pairs whose cosines a task computes, at most about, and bytes of their vectors.
 RERANK_PAIRS = 200_000
 RERANK_BYTES = 64 << 20
-#: Bytes of all vectors that codes are learned from, at most about; an index has four times its dimensions at least.
+#: Bytes of the vectors of an index that codes are learned from, at most about; it has four times its dimensions at least.
 SAMPLE_BYTES = 256 << 20
 
 
@@ -192,20 +192,29 @@ class Vectors:
             self.codes = cut_lineage(self._encode())
 
     def _learn(self, tables: int) -> list[Codebook]:
-        """Codes of each index, from a share of its own rows chosen by a hash of the id."""
-        got: list[list[np.ndarray]] = [[] for _ in self.dims]
-        # as many as fit into the driver where there are many indexes
-        each = max(4 * max(self.dims, default=1), min(SAMPLE_VECTORS, SAMPLE_BYTES // max(1, sum(4 * d for d in self.dims))))
-        if self.dims:
-            most = 2**31 - 1
-            limits = F.array(*[F.lit(int(min(1.0, 1.2 * each / max(1, n)) * most)) for n in self.counts])
-            picked = self.source.where(F.pmod(F.xxhash64("id"), F.lit(most)) <= F.get(limits, F.col("idx")))
-            table = picked.toArrow().sort_by("id")
-            idx = table["idx"].to_numpy()
-            for i, d in enumerate(self.dims):
-                _, m = usable_rows(table["v"].filter(pa.array(idx == i)), d)
-                got[i].append(unit_rows(m).astype(np.float32))
-        return [learn_codes(np.concatenate(g), d, tables, self.bits) for g, d in zip(got, self.dims)]
+        """Codes of each index, learned in a task of its own from a share of its rows chosen by a hash of the id.
+
+        Only the codes come to the driver.
+        """
+        dims, bits = self.dims, self.bits
+        books = [learn_codes(np.zeros((0, d), np.float32), d, tables, bits) for d in dims]
+        if not dims:
+            return books
+        most = 2**31 - 1
+        each = [max(4 * d, min(SAMPLE_VECTORS, SAMPLE_BYTES // (4 * d))) for d in dims]
+        limits = F.array(*[F.lit(int(min(1.0, 1.2 * e / max(1, n)) * most)) for e, n in zip(each, self.counts)])
+        picked = self.source.where(F.pmod(F.xxhash64("id"), F.lit(most)) <= F.get(limits, F.col("idx")))
+
+        def learn(g: pa.Table) -> pa.Table:
+            i = g["idx"][0].as_py()
+            _, m = usable_rows(g.sort_by("id")["v"], dims[i])
+            book = learn_codes(unit_rows(m).astype(np.float32), dims[i], tables, bits)
+            return pa.table({"idx": pa.array([i], pa.int32()), "mean": [book.mean.tobytes()], "axes": [np.ascontiguousarray(book.axes).tobytes()]})
+
+        for r in picked.groupBy("idx").applyInArrow(learn, "idx int, mean binary, axes binary").collect():
+            d = dims[r.idx]
+            books[r.idx] = Codebook(d, bits, np.frombuffer(r.mean, np.float32), np.frombuffer(r.axes, np.float32).reshape(d, -1))
+        return books
 
     def _each(self, batch: pa.RecordBatch):
         idx = batch["idx"].to_numpy()
