@@ -1,8 +1,9 @@
 """Problem 3: find text decoded with a wrong encoding and restore it.
 
-Method: a multinomial classifier on hashed byte bigrams is trained on correct values of
-the corpus that are garbled synthetically, wholly and in part, by every known encoding
-chain.  It predicts the exact chain of each value; the chain is inverted and the result
+Method: a multinomial classifier on hashed byte bigrams is trained on all correct values of
+the corpus, garbled synthetically by every known encoding chain.  As no chain carries anything
+over a blank, the bigrams of all garbled values are counted exactly from how often each word stands at the
+start, within and at the end of a value.  It predicts the exact chain of each value; the chain is inverted and the result
 verified: multi-byte sequences must decode strictly, single-byte alphabets must give
 words that the corpus' own letter statistics find likelier.  What was restored is examined again,
 so chains of several readings are undone one by one, and a text that stays garbled is not given out.
@@ -14,28 +15,29 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.session import spread_out
 
 FIELDS = ("label_vi", "description_vi")
-#: At most so many correct values are taken to train on, chosen by a hash of the value.
-SAMPLE_VALUES = 6000
-#: At most so many of them are garbled to train the classifier; all of them give letter statistics.
-TRAINED_VALUES = 1500
 BUCKETS = 1 << 14
 SMOOTHING = 0.02
 #: Log odds of a value to be garbled by one chain.
 PRIOR = -9.0
-#: In so many values a pair of letters must occur to count as correct: the sample holds a few garbled values.
+#: In so many values, and in one of so many, a pair of letters must occur to count as correct: there are a few garbled values
+#: among those with correct letters, as many more as the corpus is larger.
 SUPPORT = 4
+SUPPORT_SHARE = 1500
+#: Every correct value counts in so many parts: some of them with signs, and some with decomposed letters.
+PARTS, SIGNED, DECOMPOSED = 24, 6, 4
 #: So many strange pairs a restoration of letters must explain.
 EXPLAINED = 2
 #: Words whose strangeness a task remembers.
@@ -260,13 +262,12 @@ def _undo_utf8(text: str, read: str, last: bool) -> tuple[str, int, int, int]:
 
 
 class Letters:
-    """Pairs of neighbouring letters in correct words."""
+    """Pairs of neighbouring letters in correct words, from the number of values with each pair; that of "" is the number of all."""
 
-    def __init__(self, values: list[str]):
-        seen: Counter = Counter()
-        for v in values:
-            seen.update({p for w in v.lower().split() for p in zip(f" {w}", f"{w} ")})
-        self.pairs = {p for p, n in seen.items() if n >= min(SUPPORT, 1 + len(values) // 500)}
+    def __init__(self, seen: Counter):
+        values = int(seen[""])
+        least = max(min(SUPPORT, 1 + values // 500), values // SUPPORT_SHARE)
+        self.pairs = {tuple(p) for p, n in seen.items() if p and n >= least}
         self.known: dict[str, int] = {}
 
     def strange(self, word: str) -> int:
@@ -411,23 +412,21 @@ class Model:
     """
 
     def __init__(self, values: list[str]):
-        self.letters = Letters(values)
-        values = values[:: max(1, -(-len(values) // TRAINED_VALUES))]
-        pairs: list[list[np.ndarray]] = [[] for _ in CLASSES]
-        for i, v in enumerate(values):
-            if i % 4 == 0 and (words := v.split(" ")):
-                # signs that correct values have now and then
-                first, last = words[0], words[-1]
-                v = f"“{first} {last}” – ‘{last}’ — {first}… «{last}»"
-            forms = (v, unicodedata.normalize("NFD", v))
-            for f in forms:
-                pairs[0].append(_bigrams(f.encode()))
-            for k, chain in enumerate(CHAINS, 1):
-                spoiled = garble(forms[i % 6 == 0], chain)
-                if spoiled is not None:
-                    pairs[k].append(_bigrams(spoiled.encode("utf-8", "surrogatepass")))
-        none = np.zeros(0, np.int64)
-        counts = np.stack([np.bincount(np.concatenate([none, *p]), minlength=BUCKETS) for p in pairs]).astype(float)
+        keys, n = _tally(pa.array(values, pa.string()))
+        counts = np.zeros((len(CLASSES), BUCKETS))
+        _count_bigrams(counts, _forms(zip(keys, n)))
+        self._fit(counts)
+        self.letters = Letters(Counter({k[1:]: c for k, c in zip(keys, n) if k[0] == PAIR}))
+
+    @classmethod
+    def counted(cls, counts: np.ndarray, letters: Letters) -> Model:
+        """The model of a corpus whose bigrams, for each class, were counted."""
+        model = cls.__new__(cls)
+        model._fit(counts)
+        model.letters = letters
+        return model
+
+    def _fit(self, counts: np.ndarray) -> None:
         p = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
         logp = np.log((1 - SMOOTHING) * p + SMOOTHING / BUCKETS)
         self.gain = (logp[1:] - logp[0]).T.astype(np.float32).copy()
@@ -485,12 +484,94 @@ def _bigrams(data: bytes) -> np.ndarray:
     return _hash(a[:-1], a[1:])
 
 
+#: The places of a word in its value: within, first, last, alone; and what stands for a pair of letters.
+WITHIN, FIRST, LAST, ALONE, PAIR = "01234"
+
+
+def _letter_pairs(values: list[str]) -> tuple[list[str], list[int]]:
+    """Each pair of neighbouring letters, or of a letter and a word's bound, and in how many of the values it occurs; "" occurs in all."""
+    text = " " + " \n ".join(values).lower() + " "
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    value = np.cumsum(codes == 10)
+    a, b = codes[:-1], codes[1:]
+    inner = (a != 10) & (b != 10) & ((a != 32) | (b != 32))
+    pairs = np.unique((value[:-1] << 42 | a << 21 | b)[inner]) & ((1 << 42) - 1)
+    pairs, n = np.unique(pairs, return_counts=True)
+    return [chr(p >> 21) + chr(p & ((1 << 21) - 1)) for p in pairs.tolist()] + [""], n.tolist() + [len(values)]
+
+
+def _tally(values: pa.Array) -> tuple[list[str], list[int]]:
+    """Words after the sign of their place, and pairs of letters, with how often they occur in the values."""
+    words = pc.split_pattern(values, " ")
+    bounds = words.offsets.to_numpy()
+    place = np.zeros(bounds[-1] - bounds[0], np.int8)
+    place[bounds[:-1]] += 1
+    place[bounds[1:] - 1] += 2
+    signs = pa.array([WITHIN, FIRST, LAST, ALONE]).take(pa.array(place))
+    counted = pc.value_counts(pc.binary_join_element_wise(signs, words.flatten(), ""))
+    pairs, in_values = _letter_pairs(values.to_pylist())
+    return counted.field(0).to_pylist() + [PAIR + p for p in pairs], counted.field(1).to_pylist() + in_values
+
+
+def _forms(tallied: Iterable[tuple[str, int]]) -> Counter:
+    """How often each word, with its place, is to be learned: as it is, and in values with the signs that these have now and then.
+
+    A signed value is “first last” – ‘last’ — first… «last».
+    """
+    out: Counter = Counter()
+    for key, n in tallied:
+        place, word = key[0], key[1:]
+        if place == PAIR:
+            continue
+        out[key] += n * (PARTS - SIGNED)
+        if place in (FIRST, ALONE):
+            out.update({f"{FIRST}“{word}": n * SIGNED, f"{WITHIN}–": n * SIGNED, f"{WITHIN}—": n * SIGNED, f"{WITHIN}{word}…": n * SIGNED})
+        if place in (LAST, ALONE):
+            out.update({f"{WITHIN}{word}”": n * SIGNED, f"{WITHIN}‘{word}’": n * SIGNED, f"{LAST}«{word}»": n * SIGNED})
+    return out
+
+
+def _in_place(key: str, chain: Chain | None, decomposed: bool = False) -> bytes | None:
+    """A word as the chain spoils it, from the last byte before it to the first it leaves to the next; None if it cannot."""
+    first, last = key[0] in (FIRST, ALONE), key[0] in (LAST, ALONE)
+    text = unicodedata.normalize("NFD", key[1:]) if decomposed else key[1:]
+    text, before = (text if last else text + " "), " "
+    if chain is not None:
+        text, before = garble(text, chain), garble(before, chain)[-1:]
+    if text is None:
+        return None
+    return (("" if first else before) + text).encode("utf-8", "surrogatepass") + (b"\n" if last else b"")
+
+
+def _count_bigrams(counts: np.ndarray, forms: Counter) -> None:
+    """Adds the bigrams of correct text, and of what each chain makes of it, to the row of each class."""
+    for k, chain in enumerate((None, *CHAINS)):
+        if chain is None:  # both ways of writing letters are correct
+            parts = ((False, 1), (True, 1))
+        elif chain.written == "utf_8":
+            parts = ((False, PARTS - DECOMPOSED), (True, DECOMPOSED))
+        else:
+            parts = ((False, 1),)  # letters are composed when written
+        for decomposed, weight in parts:
+            spoiled = [(d, n * weight) for key, n in forms.items() if (d := _in_place(key, chain, decomposed)) is not None]
+            if not spoiled:
+                continue
+            data = np.frombuffer(b"".join([d for d, _ in spoiled]), dtype=np.uint8).astype(np.int64)
+            size = np.array([len(d) for d, _ in spoiled])
+            times = np.repeat(np.array([n for _, n in spoiled], dtype=float), size)
+            times[np.cumsum(size) - 1] = 0  # nothing reaches from one to the next
+            counts[k] += np.bincount(_hash(data[:-1], data[1:]), weights=times[:-1], minlength=BUCKETS)
+
+
 def _first_alike(text: str, chain: Chain, restored: str | None, letters: Letters) -> Chain:
-    """The first chain that restores the same: where readings do not differ for a text, the same one is named always."""
-    if restored is not None:
-        for c in CHAINS[: CHAINS.index(chain)]:
-            if (c.written, c.times, c.lossy) == (chain.written, chain.times, False) and invert(text, c, letters) == (restored, True):
-                return c
+    """The first chain that does the same: where readings do not differ for a text, the same one is named always."""
+    for c in CHAINS[: CHAINS.index(chain)]:
+        if (c.written, c.times, c.family) != (chain.written, chain.times, chain.family) or c.lossy:
+            continue
+        if restored is not None and invert(text, c, letters) == (restored, True):
+            return c
+        if restored is None and c.times == 1 and c.family != "wide" and all(byte_of(c.read).get(ch) == byte_of(chain.read).get(ch) for ch in text):
+            return c
     return chain
 
 
@@ -560,21 +641,73 @@ def _stacked(df: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFrame:
     )
 
 
-def train(df: DataFrame, fields: tuple[str, ...] = FIELDS, sample: int = SAMPLE_VALUES) -> Model:
-    """A model from at most ``sample`` correct values: those written in Vietnamese letters alone."""
-    correct = (
-        _stacked(df, fields[0], fields).where(F.col("value").rlike(_CORRECT.pattern)).where(F.length("value") <= 400)
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            keys, n = _tally(batch.column(0).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n, pa.int64())], ["key", "n"])
+
+
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bigrams of each class for words, and the tallies of letters as they are."""
+    counts = np.zeros((len(CLASSES), BUCKETS))
+    for batch in batches:
+        keys, n = batch["key"].to_pylist(), batch["n"].to_pylist()
+        _count_bigrams(counts, _forms(zip(keys, n)))
+        pairs = [(k[1:], c) for k, c in zip(keys, n) if k[0] == PAIR]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([p for p, _ in pairs], pa.string()), pa.nulls(len(pairs), pa.int32()), pa.array([float(c) for _, c in pairs], pa.float64())],
+            ["pair", "bigram", "n"],
+        )
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays(
+        [pa.nulls(len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts.ravel()[at], pa.float64())], ["pair", "bigram", "n"]
     )
-    total = max(1, df.count() * len(fields))
-    share = min(1.0, 4.0 * sample / total)
-    limit = int(share * (2**31 - 1))
-    chosen = correct.where(F.pmod(F.xxhash64("value"), F.lit(2**31 - 1)) <= limit).select("value").distinct()
-    # by a hash, so the same values whatever the partitions
-    values = sorted(r.value for r in chosen.orderBy(F.xxhash64("value", F.lit(1)), "value").limit(sample).collect())
-    model = Model(values)
+
+
+def _sums(values: DataFrame, parts: int) -> DataFrame:
+    """``key, n``: what is tallied in the distinct values; a row for each word and place, and for each pair of letters.
+
+    Their number is given, so that small partitions are not joined before Python work.
+    """
+    tallied = values.repartition(parts, "value").distinct().mapInArrow(_tallies, "key string, n bigint")
+    return tallied.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _garbled_alone(values: DataFrame, model: Model) -> DataFrame:
+    """``value``: those that the model finds garbled."""
+    shared = values.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [i for i, _, _ in examine(batch["value"].to_pylist(), shared.value)]
+            yield batch.take(pa.array(at, pa.int64()))
+
+    return spread_out(values).mapInArrow(keep, "value string")
+
+
+def train(df: DataFrame, fields: tuple[str, ...] = FIELDS) -> Model:
+    """A model from all distinct correct values: those written in Vietnamese letters alone.
+
+    Only sums come to the driver, at most one for each class and bucket and for each pair of these letters.
+    """
+    correct = _stacked(df, fields[0], fields).where(F.col("value").rlike(_CORRECT.pattern)).select("value")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = max(cores, correct.rdd.getNumPartitions())
+    # sums of whole numbers, the same whatever the partitions
+    sums = (
+        _sums(correct, parts).repartition(cores, "key").mapInArrow(_learned, "pair string, bigram int, n double")
+        .groupBy("pair", "bigram").agg(F.sum("n").alias("n")).toArrow()
+    )
+    of_bigrams, of_pairs = sums.filter(pc.is_valid(sums["bigram"])), sums.filter(pc.is_valid(sums["pair"]))
+    counts = np.zeros(len(CLASSES) * BUCKETS)
+    counts[of_bigrams["bigram"].to_numpy()] = of_bigrams["n"].to_numpy()
+    seen = Counter(dict(zip(of_pairs["pair"].to_pylist(), of_pairs["n"].to_pylist())))
+    model = Model.counted(counts.reshape(len(CLASSES), BUCKETS), Letters(seen))
     # some garbled values have correct letters only
-    garbled = {i for i, _, _ in examine(values, model)}
-    model.letters = Letters([v for i, v in enumerate(values) if i not in garbled])
+    spoiled = _sums(_garbled_alone(correct, model), cores).where(F.col("key").startswith(PAIR)).toArrow()
+    seen.subtract(dict(zip([k[1:] for k in spoiled["key"].to_pylist()], spoiled["n"].to_pylist())))
+    model.letters = Letters(seen)
     return model
 
 
