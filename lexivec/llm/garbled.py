@@ -11,11 +11,12 @@ so chains of several readings are undone one by one, and a text that stays garbl
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.session import spread_out
+from lexivec.session import cut_lineage, spread_out
 
 FIELDS = ("label_vi", "description_vi")
 BUCKETS = 1 << 14
@@ -146,6 +147,11 @@ def alphabet(charset: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+@lru_cache(maxsize=None)
+def _table(charset: str) -> str:
+    return "".join(alphabet(charset))
+
+
 @lru_cache(maxsize=None)
 def byte_of(charset: str) -> dict[str, str]:
     """The byte of each character, as the character of that number."""
@@ -214,7 +220,7 @@ def garble(text: str, chain: Chain) -> str | None:
         if chain.lossy or chain.read in MULTI_BYTE or chain.read == "ascii":
             text = data.decode(chain.read, errors="replace")
         else:
-            text = "".join(alphabet(chain.read)[b] for b in data)
+            text = codecs.charmap_decode(data, "strict", _table(chain.read))[0]
     return text
 
 
@@ -278,6 +284,9 @@ class Letters:
             self.known[word] = self._strange(word)
         return self.known[word]
 
+    def any_strange(self, text: str) -> bool:
+        return any(not w.isascii() and self.strange(w) for w in text.split(" "))
+
     def _strange(self, word: str) -> int:
         w = unicodedata.normalize("NFC", word).strip("()“”‘’«».,;:…!?\"'")
         inner = sum(a.islower() and b.isupper() for a, b in zip(w, w[1:]))
@@ -299,9 +308,9 @@ def _undo_letters(text: str, chain: Chain, letters: Letters) -> tuple[str, int]:
         def read(w: str) -> str:
             return unicodedata.normalize("NFC", "".join(back[ord(to[c])] for c in w))
 
-    words = re.split("( +)", text)
-    if not any(letters.strange(w) for w in words if not w.isascii()):
+    if not letters.any_strange(text):
         return text, 0
+    words = re.split("( +)", text)
     fixed = [read(w) if not w.isascii() and all(c in to for c in w) else w for w in words]
     right = [
         f != w and all(c.isascii() or c in LETTERS for c in f if c not in SIGNS) and not all(c in SIGNS for c in w)
@@ -495,9 +504,12 @@ def _letter_pairs(values: list[str]) -> tuple[list[str], list[int]]:
     value = np.cumsum(codes == 10)
     a, b = codes[:-1], codes[1:]
     inner = (a != 10) & (b != 10) & ((a != 32) | (b != 32))
-    pairs = np.unique((value[:-1] << 42 | a << 21 | b)[inner]) & ((1 << 42) - 1)
-    pairs, n = np.unique(pairs, return_counts=True)
-    return [chr(p >> 21) + chr(p & ((1 << 21) - 1)) for p in pairs.tolist()] + [""], n.tolist() + [len(values)]
+    pairs = np.sort((value[:-1] << 42 | a << 21 | b)[inner])
+    once = np.append(pairs[1:] != pairs[:-1], [True] * bool(len(pairs)))
+    pairs = np.sort(pairs[once] & ((1 << 42) - 1))
+    ends = np.flatnonzero(np.append(pairs[1:] != pairs[:-1], [True] * bool(len(pairs))))
+    n = np.diff(ends, prepend=-1).tolist()
+    return [chr(p >> 21) + chr(p & ((1 << 21) - 1)) for p in pairs[ends].tolist()] + [""], n + [len(values)]
 
 
 def _tally(values: pa.Array) -> tuple[list[str], list[int]]:
@@ -531,34 +543,36 @@ def _forms(tallied: Iterable[tuple[str, int]]) -> Counter:
     return out
 
 
-def _in_place(key: str, chain: Chain | None, decomposed: bool = False) -> bytes | None:
-    """A word as the chain spoils it, from the last byte before it to the first it leaves to the next; None if it cannot."""
-    first, last = key[0] in (FIRST, ALONE), key[0] in (LAST, ALONE)
-    text = unicodedata.normalize("NFD", key[1:]) if decomposed else key[1:]
-    text, before = (text if last else text + " "), " "
-    if chain is not None:
-        text, before = garble(text, chain), garble(before, chain)[-1:]
-    if text is None:
-        return None
-    return (("" if first else before) + text).encode("utf-8", "surrogatepass") + (b"\n" if last else b"")
-
-
 def _count_bigrams(counts: np.ndarray, forms: Counter) -> None:
-    """Adds the bigrams of correct text, and of what each chain makes of it, to the row of each class."""
+    """Adds the bigrams of correct text, and of what each chain makes of it, to the row of each class.
+
+    Those of a word go from the last byte before it to the first it leaves to the next; what a chain cannot write is left out.
+    """
+    # a blank follows all words but the last, and is spoiled with them
+    composed = [(key[1:] + ("" if key[0] in (LAST, ALONE) else " "), key[0], n) for key, n in forms.items()]
+    decomposed = [(unicodedata.normalize("NFD", text), place, n) for text, place, n in composed]
     for k, chain in enumerate((None, *CHAINS)):
         if chain is None:  # both ways of writing letters are correct
-            parts = ((False, 1), (True, 1))
+            parts = ((composed, 1), (decomposed, 1))
         elif chain.written == "utf_8":
-            parts = ((False, PARTS - DECOMPOSED), (True, DECOMPOSED))
+            parts = ((composed, PARTS - DECOMPOSED), (decomposed, DECOMPOSED))
         else:
-            parts = ((False, 1),)  # letters are composed when written
-        for decomposed, weight in parts:
-            spoiled = [(d, n * weight) for key, n in forms.items() if (d := _in_place(key, chain, decomposed)) is not None]
+            parts = ((composed, 1),)  # letters are composed when written
+        blank = " " if chain is None else garble(" ", chain)[-1]
+        before = {WITHIN: blank, FIRST: "", LAST: blank, ALONE: ""}
+        after = {WITHIN: "", FIRST: "", LAST: "\n", ALONE: "\n"}
+        for words, weight in parts:
+            spoiled, times = [], []
+            for text, place, n in words:
+                left = text if chain is None else garble(text, chain)
+                if left is not None:
+                    spoiled.append((before[place] + left + after[place]).encode("utf-8", "surrogatepass"))
+                    times.append(n * weight)
             if not spoiled:
                 continue
-            data = np.frombuffer(b"".join([d for d, _ in spoiled]), dtype=np.uint8).astype(np.int64)
-            size = np.array([len(d) for d, _ in spoiled])
-            times = np.repeat(np.array([n for _, n in spoiled], dtype=float), size)
+            data = np.frombuffer(b"".join(spoiled), dtype=np.uint8).astype(np.int64)
+            size = np.array([len(d) for d in spoiled])
+            times = np.repeat(np.array(times, dtype=float), size)
             times[np.cumsum(size) - 1] = 0  # nothing reaches from one to the next
             counts[k] += np.bincount(_hash(data[:-1], data[1:]), weights=times[:-1], minlength=BUCKETS)
 
@@ -575,11 +589,21 @@ def _first_alike(text: str, chain: Chain, restored: str | None, letters: Letters
     return chain
 
 
+def _suspects(values: list[str], scores: np.ndarray) -> list[int]:
+    """The values that a chain may have spoiled, by their scores or what it left in place of what was lost."""
+    return np.flatnonzero((scores > 0).any(axis=1) | np.array([is_marked(v) for v in values], dtype=bool)).tolist()
+
+
+_LETTERS_ALONE = np.array([c.family == "legacy" for c in CHAINS])
+
+
 def _likeliest(values: list[str], model: Model) -> Iterator[tuple[int, Chain, str | None]]:
     """Index, chain and text with the chain undone of each value that the likeliest verified chain has spoiled."""
     scores = model.scores(values)
-    for i in np.flatnonzero((scores > 0).any(axis=1) | np.array([is_marked(v) for v in values], dtype=bool)).tolist():
+    for i in _suspects(values, scores):
         marked = is_marked(values[i])
+        if not marked and not (scores[i] > 0)[~_LETTERS_ALONE].any() and not model.letters.any_strange(values[i]):
+            continue  # these chains can only be told by strange words
         for k in np.argsort(-scores[i]):
             if scores[i, k] <= 0 and not (marked and CHAINS[k].lossy):
                 continue
@@ -674,41 +698,48 @@ def _sums(values: DataFrame, parts: int) -> DataFrame:
     return tallied.groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _garbled_alone(values: DataFrame, model: Model) -> DataFrame:
-    """``value``: those that the model finds garbled."""
-    shared = values.sparkSession.sparkContext.broadcast(model)
+def _kept(values: DataFrame, model: Model, which: Callable[[list[str], Model], list[int]]) -> DataFrame:
+    """The rows whose values ``which`` picks out of each batch."""
+    shared = values.sparkSession.sparkContext.broadcast(model)  # BUCKETS x chains numbers and the letter pairs
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [i for i, _, _ in examine(batch["value"].to_pylist(), shared.value)]
-            yield batch.take(pa.array(at, pa.int64()))
+            yield batch.take(pa.array(which(batch["value"].to_pylist(), shared.value), pa.int64()))
 
-    return spread_out(values).mapInArrow(keep, "value string")
+    return values.mapInArrow(keep, values.schema)
 
 
-def train(df: DataFrame, fields: tuple[str, ...] = FIELDS) -> Model:
-    """A model from all distinct correct values: those written in Vietnamese letters alone.
+def _trained(values: DataFrame) -> tuple[Model, DataFrame]:
+    """A model from all distinct correct values, those written in Vietnamese letters alone, and the rows it suspects.
 
-    Only sums come to the driver, at most one for each class and bucket and for each pair of these letters.
+    Only sums come to the driver, at most one for each class and bucket and for each pair of these letters. The values are scored
+    once: scores do not depend on the pairs of letters, which are known when all garbled values are.
     """
-    correct = _stacked(df, fields[0], fields).where(F.col("value").rlike(_CORRECT.pattern)).select("value")
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = max(cores, correct.rdd.getNumPartitions())
+    is_correct = F.col("value").rlike(_CORRECT.pattern)
+    cores = values.sparkSession.sparkContext.defaultParallelism
+    parts = max(cores, values.rdd.getNumPartitions())
     # sums of whole numbers, the same whatever the partitions
     sums = (
-        _sums(correct, parts).repartition(cores, "key").mapInArrow(_learned, "pair string, bigram int, n double")
-        .groupBy("pair", "bigram").agg(F.sum("n").alias("n")).toArrow()
+        _sums(values.where(is_correct).select("value"), parts).repartition(cores, "key")
+        .mapInArrow(_learned, "pair string, bigram int, n double").groupBy("pair", "bigram").agg(F.sum("n").alias("n")).toArrow()
     )
     of_bigrams, of_pairs = sums.filter(pc.is_valid(sums["bigram"])), sums.filter(pc.is_valid(sums["pair"]))
     counts = np.zeros(len(CLASSES) * BUCKETS)
     counts[of_bigrams["bigram"].to_numpy()] = of_bigrams["n"].to_numpy()
     seen = Counter(dict(zip(of_pairs["pair"].to_pylist(), of_pairs["n"].to_pylist())))
     model = Model.counted(counts.reshape(len(CLASSES), BUCKETS), Letters(seen))
+    suspects = cut_lineage(_kept(spread_out(values), model, lambda v, m: _suspects(v, m.scores(v))))
     # some garbled values have correct letters only
-    spoiled = _sums(_garbled_alone(correct, model), cores).where(F.col("key").startswith(PAIR)).toArrow()
-    seen.subtract(dict(zip([k[1:] for k in spoiled["key"].to_pylist()], spoiled["n"].to_pylist())))
-    model.letters = Letters(seen)
-    return model
+    spoiled = _kept(suspects.where(is_correct).select("value"), model, lambda v, m: [i for i, _, _ in examine(v, m)])
+    in_spoiled = _sums(spoiled, cores).where(F.col("key").startswith(PAIR)).toArrow()
+    seen.subtract(dict(zip([k[1:] for k in in_spoiled["key"].to_pylist()], in_spoiled["n"].to_pylist())))
+    model = Model.counted(counts.reshape(len(CLASSES), BUCKETS), Letters(seen))
+    return model, suspects
+
+
+def train(df: DataFrame, fields: tuple[str, ...] = FIELDS) -> Model:
+    """A model from all correct values."""
+    return _trained(_stacked(df, fields[0], fields))[0]
 
 
 def find_garbled(
@@ -720,8 +751,10 @@ def find_garbled(
     table none at all; very long values are read whole; repeated rows come out each; other columns are
     ignored.  A narrow operation but for training: every value is classified in its own partition.
     """
-    model = model or train(df, fields)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x chains numbers and the letter pairs
+    values = _stacked(df, id_col, fields)
+    if model is None:
+        model, values = _trained(values)
+    shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[id_col].dataType.simpleString()
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -739,7 +772,7 @@ def find_garbled(
             )
 
     return (
-        spread_out(_stacked(df, id_col, fields))
+        spread_out(values)
         .mapInArrow(classify, f"id {kind}, field string, value string, chain string, restored string")
         .withColumnRenamed("id", id_col)
     )
